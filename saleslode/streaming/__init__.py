@@ -1,0 +1,5 @@
+"""No streaming operators: every job of this engine is a bounded batch run.
+
+The workload has no watermark, event-time window or stateful operator, so
+nothing is offered here; new data arrives as a new Bronze batch.
+"""
