@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslode.functions import RATE_DIGITS, stable_mean
-
 MIN_ROWS, MAX_ROWS = 1, 500
 
 
@@ -16,9 +14,7 @@ def pivot_mean(df: DataFrame, index: str, names: str, value: str,
                values: Sequence[str]) -> DataFrame:
     """Long to wide with the mean per cell; an index whose values are all NULL is dropped."""
     present = df.where(F.col(index).isNotNull() & F.col(value).isNotNull())
-    wide = present.groupBy(index).pivot(names, list(values)).agg(
-        stable_mean(F.col(value), RATE_DIGITS)
-    )
+    wide = present.groupBy(index).pivot(names, list(values)).agg(F.avg(value))
     return wide.where(F.coalesce(*[F.col(name) for name in values]).isNotNull())
 
 

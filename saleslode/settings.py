@@ -28,6 +28,9 @@ EXPECTED_FILES = {
     "product_category_name_translation": "product_category_name_translation.csv",
 }
 
+# Files whose quoted cells hold free text with line breaks.
+MULTILINE_DATASETS = ("order_reviews",)
+
 # CSV cells read as missing.
 MISSING_MARKERS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -71,8 +74,16 @@ NUMBER_COLUMNS = {
     "order_items": ("price", "freight_value"),
     "order_payments": ("payment_value",),
     "products": PRODUCT_MEASURES,
+    "geolocation": ("geolocation_lat", "geolocation_lng"),
+}
+INTEGER_COLUMNS = {
+    "customers": ("customer_zip_code_prefix",),
+    "sellers": ("seller_zip_code_prefix",),
+    "geolocation": ("geolocation_zip_code_prefix",),
+    "order_items": ("order_item_id",),
+    "order_payments": ("payment_sequential", "payment_installments"),
+    "order_reviews": ("review_score",),
 }
-INTEGER_COLUMNS = {"order_reviews": ("review_score",)}
 NON_NEGATIVE_COLUMNS = {
     "order_items": ("price", "freight_value"),
     "order_payments": ("payment_value", "payment_installments"),

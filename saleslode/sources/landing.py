@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saleslode.functions import decimal_comma_number, fixed_date
-from saleslode.settings import EXPECTED_FILES, MISSING_MARKERS
+from saleslode.settings import EXPECTED_FILES, MISSING_MARKERS, MULTILINE_DATASETS
 from saleslode.sources import files
 
 SERIES_SCHEMA = "data string, valor string"
 STATISTICS_FIELDS = ("D1C", "D1N", "D2C", "D2N", "D3C", "D3N", "MC", "MN", "NC", "NN", "V")
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with header, every column a string, missing-value markers as NULL.
 
-    Typing belongs to Silver. Quoted cells may contain line breaks, which is why a
-    file is one split; land large extracts as several files.
+    Typing belongs to Silver. A file is read in parallel splits, except where cells
+    may hold line breaks (``multiline``): such a file is one split, so land a large
+    extract of that kind as several files and pass their folder.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("inferSchema", False)
         .csv(path)
@@ -42,7 +43,7 @@ def scan_expected_csvs(spark: SparkSession,
     for dataset, file_name in EXPECTED_FILES.items():
         path = f"{source_dir}/{file_name}"
         if files.exists(spark, path):
-            found[dataset] = scan_csv(spark, path)
+            found[dataset] = scan_csv(spark, path, dataset in MULTILINE_DATASETS)
         else:
             missing.append(file_name)
     return found, missing
