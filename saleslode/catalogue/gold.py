@@ -192,11 +192,10 @@ def _lags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rolling_means(spark: SparkSession, folder: str) -> DataFrame:
-    rolled = series.rolling_means(
+    return series.rolling_means(
         _daily(spark, folder).select("date", "gmv"), "date", "gmv",
         {"rolling_mean_7": 7, "rolling_mean_30": 30},
     )
-    return _rounded(rolled, "rolling_mean_7", "rolling_mean_30")
 
 
 def _rolling_deviations(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,7 +240,7 @@ def _features_rounded(spark: SparkSession, folder: str) -> DataFrame:
 def _ml_features_rounded(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(
         gold.ml_features(_daily(spark, folder)),
-        "rolling_mean_7", "rolling_mean_30", "rolling_std_7", "rolling_std_30", "log_gmv",
+        "rolling_std_7", "rolling_std_30", "log_gmv",
     )
 
 
@@ -359,8 +358,7 @@ ORACLES = {
         "select date, gmv, sales_lag_1, sales_lag_7, sales_lag_30 from g_ml_features"
     ),
     "w2_rolling_means": oracle(
-        "select date, gmv, round(rolling_mean_7, 4) as rolling_mean_7,"
-        " round(rolling_mean_30, 4) as rolling_mean_30 from g_ml_features"
+        "select date, gmv, rolling_mean_7, rolling_mean_30 from g_ml_features"
     ),
     "w3_rolling_deviations": oracle(
         "select date, gmv, round(rolling_std_7, 4) as rolling_std_7,"
@@ -385,8 +383,7 @@ ORACLES = {
         + _CHANGES + ") from g_features"
     ),
     "t7_ml_features": oracle(
-        "select * replace (round(rolling_mean_7, 4) as rolling_mean_7,"
-        " round(rolling_mean_30, 4) as rolling_mean_30, round(rolling_std_7, 4) as rolling_std_7,"
+        "select * replace (round(rolling_std_7, 4) as rolling_std_7,"
         " round(rolling_std_30, 4) as rolling_std_30, round(log_gmv, 4) as log_gmv)"
         " from g_ml_features"
     ),

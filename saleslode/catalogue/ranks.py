@@ -19,17 +19,19 @@ def _base(spark: SparkSession, folder: str) -> DataFrame:
 
 def _value_scores(spark: SparkSession, folder: str) -> DataFrame:
     base = _base(spark, folder)
+    edges = rfm.value_edges(base, "recency_days", "monetary")
     return base.select(
         "customer_id",
-        (F.lit(6) - rfm.value_score(base, "recency_days")).alias("recency_score"),
-        rfm.value_score(base, "monetary").alias("monetary_score"),
+        (F.lit(6) - rfm.value_score("recency_days", edges)).alias("recency_score"),
+        rfm.value_score("monetary", edges).alias("monetary_score"),
     )
 
 
 def _frequency_scores(spark: SparkSession, folder: str) -> DataFrame:
     base = _base(spark, folder)
     return base.select(
-        "customer_id", "frequency", rfm.frequency_score(base).alias("frequency_score")
+        "customer_id", "frequency",
+        rfm.frequency_score(rfm.frequency_edges(base)).alias("frequency_score"),
     )
 
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saleslode.functions import MONEY_DIGITS
+
 
 def row_lags(df: DataFrame, order: str, value: str, lags: Mapping[str, int]) -> DataFrame:
     """Value n rows earlier. Counts rows, not calendar days: gaps are skipped."""
@@ -24,9 +26,13 @@ def row_lags(df: DataFrame, order: str, value: str, lags: Mapping[str, int]) ->
 def rolling_means(df: DataFrame, order: str, value: str, spans: Mapping[str, int]) -> DataFrame:
     """Mean of the last n rows; the first rows use what there is."""
     by_order = Window.orderBy(order)
-    return df.withColumns(
-        {name: F.avg(value).over(by_order.rowsBetween(1 - n, 0)) for name, n in spans.items()}
-    )
+
+    def mean(n: int) -> Column:
+        last_n = by_order.rowsBetween(1 - n, 0)
+        total = F.round(F.sum(value).over(last_n), MONEY_DIGITS)
+        return F.try_divide(total, F.count(value).over(last_n))
+
+    return df.withColumns({name: mean(n) for name, n in spans.items()})
 
 
 def rolling_deviations(df: DataFrame, order: str, value: str,

@@ -72,7 +72,7 @@ def sales_daily(sales: DataFrame) -> DataFrame:
         *_sums(),
         _ticket(),
         mean_from(F.col("freight_value"), F.col("freight_items")).alias("average_freight"),
-    ).orderBy("date")
+    )
 
 
 def sales_monthly_totals(sales: DataFrame) -> DataFrame:
@@ -86,9 +86,7 @@ def sales_monthly_totals(sales: DataFrame) -> DataFrame:
 
 def sales_monthly(sales: DataFrame) -> DataFrame:
     """Sales per purchase month with growth against the previous month row."""
-    return series.growth(
-        sales_monthly_totals(sales), "month", {"gmv_mom_growth": "gmv"}
-    ).orderBy("month")
+    return series.growth(sales_monthly_totals(sales), "month", {"gmv_mom_growth": "gmv"})
 
 
 def categorised_products(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -129,7 +127,6 @@ def category_performance(items: DataFrame, products: DataFrame,
             stable_sum(line_total()).alias("gmv"),
             stable_mean(line_total(), MONEY_DIGITS).alias("average_ticket"),
         )
-        .orderBy(F.col("gmv").desc(), "category")
     )
 
 
@@ -208,7 +205,6 @@ def delivery_metrics(orders: DataFrame) -> DataFrame:
             late.alias("delayed_orders"),
             F.try_divide(late, F.count(F.lit(1))).alias("delay_rate"),
         )
-        .orderBy("date")
     )
 
 
@@ -224,7 +220,6 @@ def review_metrics(reviews: DataFrame) -> DataFrame:
             sum_when(score >= fixed.POSITIVE_SCORE).alias("positive_reviews"),
             sum_when(score <= fixed.NEGATIVE_SCORE).alias("negative_reviews"),
         )
-        .orderBy("date")
     )
 
 
@@ -296,3 +291,23 @@ def dim_date_of_sales(daily: DataFrame) -> DataFrame:
     return dim_date(
         daily.agg(F.min("date").alias("first"), F.max("date").alias("last")), "first", "last"
     )
+
+
+OUTPUT_ORDER = {
+    "sales_daily": "date",
+    "sales_monthly": "month",
+    "category_performance": "gmv desc, category",
+    "delivery_metrics": "date",
+    "review_metrics": "date",
+}
+
+
+def in_output_order(dataset: str, df: DataFrame) -> DataFrame:
+    """Sort a dataset as it is published. The plans above leave rows unsorted, since
+    anything computed from them would only pay for the sort and lose it again."""
+    keys = []
+    for part in OUTPUT_ORDER.get(dataset, "").split(", "):
+        name, _, direction = part.partition(" ")
+        if name:
+            keys.append(F.col(name).desc() if direction == "desc" else F.col(name))
+    return df.orderBy(*keys) if keys else df

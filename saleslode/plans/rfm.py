@@ -7,6 +7,9 @@ narrowing counts in ``operators.ranking`` and are then compared row by row.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,29 +54,45 @@ def with_recency(base: DataFrame) -> DataFrame:
     )
 
 
-def value_score(df: DataFrame, column: str) -> Column:
-    """1..5 by value quintile, intervals closed on the right."""
-    doubles = df.select(F.col(column).cast("double").alias("_v"))
-    edges = exact_quantiles(doubles, "_v", QUINTILES, out="edges").select("edges").scalar()
-    return bin_by_edges(F.col(column), edges, fixed.RFM_BINS)
+def value_edges(df: DataFrame, *columns: str) -> dict[str, list[float]]:
+    """Quintile edges of each column: four numbers per column come to the driver."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "name", "_v"
+    )
+    rows = exact_quantiles(long, "_v", QUINTILES, ("name",), out="edges").collect()
+    return {row["name"]: list(row["edges"]) for row in rows}
 
 
-def frequency_score(df: DataFrame) -> Column:
-    """1..5 by equal-frequency bins of a first-come rank; ties ordered by hashed id.
+def _tie_key() -> list[Column]:
+    """Order of customers within one frequency: by hashed id."""
+    hashed = F.md5(F.col("customer_id").cast("string"))
+    return [F.col("frequency"), F.substring(hashed, 1, TIE_DIGITS).alias("prefix"),
+            hashed.alias("tie")]
+
+
+def frequency_edges(df: DataFrame) -> list[tuple]:
+    """Keys closing each fifth of the customers ranked by frequency: four keys.
 
     Counting narrows by frequency, then by the leading hash digits, then by the hash.
     There are at most sqrt(2 * orders) distinct frequencies, so every counted level
     stays small even where nearly all customers share one frequency.
     """
-    hashed = F.md5(F.col("customer_id").cast("string"))
-    key = df.select(
-        "frequency", F.substring(hashed, 1, TIE_DIGITS).alias("prefix"), hashed.alias("tie")
-    )
-    edges = rank_bin_edges(key, ["frequency", "prefix", "tie"], fixed.RFM_BINS).scalar()
-    own = F.struct(
-        F.col("frequency"), F.substring(hashed, 1, TIE_DIGITS).alias("prefix"), hashed.alias("tie")
-    )
-    return bin_by_edges(own, edges, fixed.RFM_BINS)
+    edges = rank_bin_edges(
+        df.select(*_tie_key()), ["frequency", "prefix", "tie"], fixed.RFM_BINS
+    ).collect()
+    return [tuple(key) for row in edges for key in row["edges"]]
+
+
+def value_score(column: str, edges: dict[str, list[float]]) -> Column:
+    """1..5 by value quintile, intervals closed on the right."""
+    return bin_by_edges(F.col(column), [F.lit(edge) for edge in edges.get(column, [])])
+
+
+def frequency_score(edges: list[tuple]) -> Column:
+    """1..5 by equal-frequency bins of a first-come rank."""
+    keys = [F.struct(F.lit(f).alias("frequency"), F.lit(p).alias("prefix"), F.lit(t).alias("tie"))
+            for f, p, t in edges]
+    return bin_by_edges(F.struct(*_tie_key()), keys)
 
 
 def score_text(*scores: str) -> Column:
@@ -97,14 +116,20 @@ def rfm_segment() -> Column:
 def score_rfm(base: DataFrame) -> DataFrame:
     """Scores and segment for a (customer_id, recency_days, frequency, monetary) frame.
 
-    ``base`` is read once per narrowing level; hand in a stored frame.
+    The edges are fitted first, which reads ``base`` once per narrowing level, so hand
+    in a stored frame; scoring itself is then a row-by-row projection.
     """
+    own_thread = inheritable_thread_target(base.sparkSession)
+    with ThreadPoolExecutor(2) as fits:
+        values = fits.submit(own_thread(value_edges), base, "recency_days", "monetary")
+        keys = fits.submit(own_thread(frequency_edges), base)
+        edges, boundaries = values.result(), keys.result()
     return (
         base.withColumns(
             {
-                "recency_score": F.lit(fixed.RFM_BINS + 1) - value_score(base, "recency_days"),
-                "frequency_score": frequency_score(base),
-                "monetary_score": value_score(base, "monetary"),
+                "recency_score": F.lit(fixed.RFM_BINS + 1) - value_score("recency_days", edges),
+                "frequency_score": frequency_score(boundaries),
+                "monetary_score": value_score("monetary", edges),
             }
         )
         .withColumn(

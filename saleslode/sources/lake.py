@@ -46,9 +46,9 @@ def latest_batch(spark: SparkSession, dataset_dir: str) -> str:
 def read_latest(spark: SparkSession, dataset_dir: str) -> DataFrame:
     """The newest batch, with ``batch_id`` restored as a column."""
     batch = latest_batch(spark, dataset_dir)
-    return spark.read.option("basePath", dataset_dir).option(
-        "spark.sql.sources.partitionColumnTypeInference.enabled", "false"
-    ).parquet(f"{dataset_dir}/{BATCH_PREFIX}{batch}")
+    return spark.read.option("basePath", dataset_dir).parquet(
+        f"{dataset_dir}/{BATCH_PREFIX}{batch}"
+    )
 
 
 def datasets_below(spark: SparkSession, root: str) -> list[str]:
