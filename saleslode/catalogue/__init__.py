@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("gold", "ranks")
+MODULES = ("gold", "ranks", "columns", "silver")
 
 
 def _merged(attribute: str) -> dict:

@@ -89,6 +89,8 @@ def train_forecast(features: DataFrame, trees: int = TREES,
 
 # -- segmentation -------------------------------------------------------------------
 RESTARTS = 10
+# Rows whose distances to the whole sample are held in memory at once.
+DISTANCE_BLOCK = 200
 
 
 def standardised(rfm: DataFrame) -> DataFrame:
@@ -155,28 +157,26 @@ def mean_silhouette(labelled: DataFrame, features: Sequence[str], cluster: str,
     def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         members = [points[labels == c] for c in clusters]
         for batch in batches:
-            rows = batch[list(features)].to_numpy(dtype=float)
-            sums = np.stack(
-                [np.sqrt(((rows[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)).sum(axis=1)
-                 for m in members], axis=1,
-            )
-            own = np.searchsorted(clusters, batch[cluster].to_numpy())
-            at = np.arange(len(rows))
-            own_size = sizes[own]
-            within = sums[at, own] / np.maximum(own_size - 1, 1)
-            means = sums / sizes
-            means[at, own] = np.inf
-            nearest = means.min(axis=1)
-            width = np.where(
-                own_size > 1, (nearest - within) / np.maximum(np.maximum(nearest, within), 1e-300),
-                0.0,
-            )
-            yield pd.DataFrame({"width": width})
-
-    spark = labelled.sparkSession
-    batch_rows = 1_000
+            for start in range(0, len(batch), DISTANCE_BLOCK):
+                part = batch.iloc[start:start + DISTANCE_BLOCK]
+                rows = part[list(features)].to_numpy(dtype=float)
+                sums = np.stack(
+                    [np.linalg.norm(rows[:, None, :] - m[None, :, :], axis=2).sum(axis=1)
+                     for m in members], axis=1,
+                )
+                own = np.searchsorted(clusters, part[cluster].to_numpy())
+                at = np.arange(len(rows))
+                within = sums[at, own] / np.maximum(sizes[own] - 1, 1)
+                means = sums / sizes
+                means[at, own] = np.inf
+                nearest = means.min(axis=1)
+                largest = np.maximum(np.maximum(nearest, within), 1e-300)
+                width = np.where(sizes[own] > 1, (nearest - within) / largest, 0.0)
+                yield pd.DataFrame({"width": width})
+
+    parallel = labelled.sparkSession.sparkContext.defaultParallelism
     spread = labelled.select(*features, cluster).repartition(
-        max(1, min(spark.sparkContext.defaultParallelism, len(points) // batch_rows + 1))
+        max(1, min(parallel, len(points) // DISTANCE_BLOCK))
     )
     return spread.mapInPandas(widths, "width double").agg(F.avg("width")).first()[0]
 
