@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("gold", "ranks", "columns", "silver")
+MODULES = ("gold", "ranks", "columns", "silver", "quality", "analytics", "warehouse",
+           "serving", "models", "lake")
 
 
 def _merged(attribute: str) -> dict:
