@@ -22,7 +22,9 @@ from saleslode.plans.serving import any_flag
 from saleslode.session import cut_lineage
 
 # -- forecast -----------------------------------------------------------------------
-TREES, TREE_DEPTH, SPLIT_CANDIDATES = 100, 30, 256
+TREES, TREE_DEPTH, SPLIT_CANDIDATES = 100, 30, 64
+# Lets one pass over the rows grow more tree nodes.
+NODE_MEMORY_MB = 1024
 
 
 def forecast_rows(features: DataFrame) -> DataFrame:
@@ -67,6 +69,7 @@ def train_forecast(features: DataFrame, trees: int = TREES,
         "random_forest": RandomForestRegressor(
             labelCol="gmv", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
             maxBins=SPLIT_CANDIDATES, seed=fixed.SEED, predictionCol="predicted",
+            maxMemoryInMB=NODE_MEMORY_MB,
         ),
     }
     parts = []
@@ -89,6 +92,7 @@ def train_forecast(features: DataFrame, trees: int = TREES,
 
 # -- segmentation -------------------------------------------------------------------
 RESTARTS = 10
+CONCURRENT_FITS = 8
 # Rows whose distances to the whole sample are held in memory at once.
 DISTANCE_BLOCK = 200
 
@@ -123,17 +127,23 @@ def _vectors(df: DataFrame) -> DataFrame:
     ).transform(df)
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS,
-                parallelism: int = 4) -> KMeansModel:
-    """Lowest-cost model of several seeded starts, fitted a few at a time."""
+def fit_kmeans(vectors: DataFrame, ks: Sequence[int],
+               restarts: int = RESTARTS) -> dict[int, KMeansModel]:
+    """Lowest-cost model of several seeded starts for each k, fitted a few at a time."""
     own_thread = inheritable_thread_target(vectors.sparkSession)
 
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(vectors)
+    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
+        k, seed = task
+        model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(vectors)
+        return k, model
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(own_thread(fit), range(fixed.SEED, fixed.SEED + restarts)))
-    return min(models, key=lambda model: model.summary.trainingCost)
+    tasks = [(k, fixed.SEED + r) for k in ks for r in range(restarts)]
+    best: dict[int, KMeansModel] = {}
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        for k, model in pool.map(own_thread(fit), tasks):
+            if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+                best[k] = model
+    return best
 
 
 def mean_silhouette(labelled: DataFrame, features: Sequence[str], cluster: str,
@@ -189,9 +199,10 @@ def choose_clusters(sample: DataFrame, candidates: Sequence[int] = fixed.CLUSTER
     """
     vectors = cut_lineage(_vectors(sample))
     features = [f"z_{n}" for n in fixed.SEGMENT_FEATURES]
+    models = fit_kmeans(vectors, candidates, restarts)
     best, best_score, scores = fixed.CLUSTER_DEFAULT, -1.0, []
     for k in candidates:
-        model = best_kmeans(vectors, k, restarts)
+        model = models[k]
         score = mean_silhouette(model.transform(vectors), features, "cluster")
         scores.append((k, float(model.summary.trainingCost), score))
         if score is not None and score > best_score:
@@ -256,7 +267,7 @@ def segment_customers(rfm: DataFrame, restarts: int = RESTARTS) -> tuple[DataFra
         hashed_sample(scaled, "customer_id", fixed.SEGMENT_SAMPLE), restarts=restarts
     )
     vectors = _vectors(scaled)
-    clustered = best_kmeans(vectors, chosen, restarts).transform(vectors)
+    clustered = fit_kmeans(vectors, [chosen], restarts)[chosen].transform(vectors)
     kept = clustered.select(*rfm.columns, "cluster")
     names = name_clusters(centroids(kept)).select("cluster", "ml_segment")
     return kept.join(F.broadcast(names), "cluster"), scores
@@ -426,8 +437,8 @@ def anomaly_counts(compared: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "anomaly_counts", "best_kmeans", "centroids", "choose_clusters", "compare_anomaly_methods",
-    "error_metrics", "forecast_rows", "grow_trees", "isolation_scores", "mean_silhouette",
+    "anomaly_counts", "centroids", "choose_clusters", "compare_anomaly_methods",
+    "error_metrics", "fit_kmeans", "forecast_rows", "grow_trees", "isolation_scores", "mean_silhouette",
     "name_clusters", "ranked_centroids", "segment_counts", "segment_customers", "standardised",
     "train_forecast",
 ]
