@@ -22,9 +22,7 @@ from saleslode.plans.serving import any_flag
 from saleslode.session import cut_lineage
 
 # -- forecast -----------------------------------------------------------------------
-TREES, TREE_DEPTH, SPLIT_CANDIDATES = 100, 30, 64
-# Lets one pass over the rows grow more tree nodes.
-NODE_MEMORY_MB = 1024
+TREES, TREE_DEPTH, SPLIT_CANDIDATES = 100, 30, 32
 
 
 def forecast_rows(features: DataFrame) -> DataFrame:
@@ -69,7 +67,7 @@ def train_forecast(features: DataFrame, trees: int = TREES,
         "random_forest": RandomForestRegressor(
             labelCol="gmv", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
             maxBins=SPLIT_CANDIDATES, seed=fixed.SEED, predictionCol="predicted",
-            maxMemoryInMB=NODE_MEMORY_MB,
+            cacheNodeIds=True,
         ),
     }
     parts = []
