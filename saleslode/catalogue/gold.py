@@ -11,6 +11,7 @@ from saleslode.functions import day_distance, line_total, stable_sum
 from saleslode.operators import series
 from saleslode.operators.reshape import pivot_mean
 from saleslode.plans import gold, rfm
+from saleslode.session import cut_lineage
 from saleslode.sources.shipped import ShippedTables
 
 
@@ -63,6 +64,29 @@ def _dim_date(spark: SparkSession, folder: str) -> DataFrame:
     return gold.dim_date_of_sales(_daily(spark, folder))
 
 
+def shared_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The datasets read by the suites and the warehouse.
+
+    The orders-with-items fact and the small aggregates read more than once are
+    stored, as a layer build does.
+    """
+    t = ShippedTables(spark, folder)
+    sales = cut_lineage(gold.order_sales(t.orders(), t.order_items()))
+    daily = cut_lineage(gold.sales_daily(sales))
+    return {
+        "sales_daily": daily,
+        "sales_monthly": cut_lineage(gold.sales_monthly(sales)),
+        "category_performance": cut_lineage(
+            gold.category_performance(t.order_items(), t.products(), t.translation())
+        ),
+        "customer_metrics": gold.customer_metrics(t.customers(), t.orders(), t.order_items()),
+        "seller_metrics": gold.seller_metrics(t.sellers(), t.order_items()),
+        "economic_indicators": gold.economic_indicators(t.series(), t.statistics()),
+        "customer_rfm": rfm.rfm_base(sales),
+        "dim_date": gold.dim_date_of_sales(daily),
+    }
+
+
 # -- parts of the datasets as queries of their own ----------------------------------
 def _dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = ShippedTables(spark, folder).orders()

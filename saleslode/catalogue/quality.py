@@ -6,19 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
-from saleslode.catalogue.gold import (
-    _category,
-    _customers,
-    _daily,
-    _dim_date,
-    _indicators,
-    _monthly,
-    _sales,
-    _sellers,
-)
+from saleslode.catalogue.gold import shared_gold
 from saleslode.catalogue.sqltext import oracle
 from saleslode.operators import outliers, rules
-from saleslode.plans import build, rfm, silver, suites
+from saleslode.plans import build, silver, suites
 from saleslode.sources.shipped import ShippedTables
 
 
@@ -41,20 +32,6 @@ def silver_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return frames
 
 
-def _gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The Gold datasets that have rules of their own."""
-    return {
-        "sales_daily": _daily(spark, folder),
-        "sales_monthly": _monthly(spark, folder),
-        "category_performance": _category(spark, folder),
-        "customer_metrics": _customers(spark, folder),
-        "seller_metrics": _sellers(spark, folder),
-        "economic_indicators": _indicators(spark, folder),
-        "customer_rfm": rfm.rfm_base(_sales(spark, folder)),
-        "dim_date": _dim_date(spark, folder),
-    }
-
-
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     return ShippedTables(spark, folder).order_items()
 
@@ -116,13 +93,13 @@ def _suite(spark: SparkSession, folder: str, *datasets: str) -> DataFrame:
     for name in datasets:
         results = rules.evaluate(frames[name], suites.silver_rules(name, frames[name]))
         parts.append(results.select(F.lit(name).alias("dataset"), *results.columns))
-    return rules.union_results(parts).drop("message")
+    return rules.gather(parts).drop("message")
 
 
 def _relations(spark: SparkSession, folder: str) -> DataFrame:
     frames = silver_frames(spark, folder)
     children = ("orders", "order_items", "order_payments")
-    return rules.union_results(
+    return rules.gather(
         [rules.evaluate(frames[c], suites.relation_rules(frames, c)) for c in children]
     )
 
@@ -136,11 +113,11 @@ def _silver_verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _gold_results(spark: SparkSession, folder: str) -> DataFrame:
-    return suites.gold_results(_gold(spark, folder))
+    return suites.gold_results(shared_gold(spark, folder))
 
 
 def _gold_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    frames = _gold(spark, folder)
+    frames = shared_gold(spark, folder)
     verdict = suites.layer_verdict(suites.gold_results(frames), suites.missing_gold(frames))
     return verdict.withColumn("missing_datasets", F.concat_ws(",", "missing_datasets"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +15,22 @@ from saleslode.catalogue.gold import (
     _indicators,
     _monthly,
     _sellers,
+    shared_gold,
 )
 from saleslode.catalogue.sqltext import oracle
+from saleslode.operators.rules import gather
 from saleslode.plans import marts, suites, warehouse
 from saleslode.plans.gold import dim_date_of_sales
-from saleslode.session import cut_lineage
 
 
-def _gold(spark: SparkSession, folder: str, stored: bool) -> dict[str, DataFrame]:
-    """Inputs of the warehouse load.
-
-    A load of several tables reads the daily and category datasets more than once, so
-    it stores them; a single table does not.
-    """
-    keep = cut_lineage if stored else (lambda df: df)
-    daily = keep(_daily(spark, folder))
+def _lazy_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Inputs for a single table: nothing is stored, unused inputs cost nothing."""
+    daily = _daily(spark, folder)
     return {
         "dim_date": dim_date_of_sales(daily),
         "customer_metrics": _customers(spark, folder),
         "seller_metrics": _sellers(spark, folder),
-        "category_performance": keep(_category(spark, folder)),
+        "category_performance": _category(spark, folder),
         "economic_indicators": _indicators(spark, folder),
         "sales_daily": daily,
         "sales_monthly": _monthly(spark, folder),
@@ -43,7 +38,9 @@ def _gold(spark: SparkSession, folder: str, stored: bool) -> dict[str, DataFrame
 
 
 def _tables(spark: SparkSession, folder: str, stored: bool = True) -> dict[str, DataFrame]:
-    return warehouse.build_tables(_gold(spark, folder, stored))
+    """Star schema tables; a load of several of them stores what it reads repeatedly."""
+    inputs = shared_gold if stored else _lazy_gold
+    return warehouse.build_tables(inputs(spark, folder))
 
 
 def _money(df: DataFrame) -> DataFrame:
@@ -59,7 +56,7 @@ def _table_counts(spark: SparkSession, folder: str) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         for name, df in _tables(spark, folder).items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return gather(parts)
 
 
 def _constraints(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,17 +46,18 @@ def zscore_flags(df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
     return df.withColumns(flags)
 
 
-def iqr_summaries(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def iqr_summaries(values: DataFrame, value: str, by: Sequence[str],
+                  few_groups: bool = False) -> DataFrame:
     """Quartiles, fences and outlier counts of a long frame (by..., value).
 
-    Quartiles are exact; the second pass counts values beyond the fences with the
-    one-row-per-group quartiles broadcast (as many rows as checked columns).
+    Quartiles are exact; a second pass counts the values beyond the fences. The fences,
+    one row per group, are broadcast only where the groups are a fixed list.
     """
     by = list(by)
     dtype = values.schema[value].dataType
     number = to_number(F.col(value), dtype)
     finite = values.select(*by, F.when(is_finite(number), number).alias("_value"))
-    quartiles = exact_quantiles(finite, "_value", QUARTILES, by, out="_q").select(
+    quartiles = exact_quantiles(finite, "_value", QUARTILES, by, "_q", few_groups).select(
         *by,
         F.col("_q")[0].alias("q1"),
         F.col("_q")[1].alias("q3"),
@@ -69,7 +70,7 @@ def iqr_summaries(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame
     figures = ["q1", "q3", "iqr", "lower_bound", "upper_bound"]
     outside = (F.col("_value") < F.col("lower_bound")) | (F.col("_value") > F.col("upper_bound"))
     return (
-        finite.join(F.broadcast(fenced), by, "left")
+        finite.join(F.broadcast(fenced) if few_groups else fenced, by, "left")
         .groupBy(*by)
         .agg(
             *[F.first(name, ignorenulls=True).alias(name) for name in figures],

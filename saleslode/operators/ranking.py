@@ -8,8 +8,8 @@ task. Here the wanted ranks are narrowed down level by level instead:
 3. repeat until the last level, which is the exact value.
 
 Each level is one map-side-combined aggregation; equal values collapse into one
-counted row, so a value shared by most rows costs nothing extra. Only the handful of
-hit cells is broadcast: at most two per requested quantile and group.
+counted row, so a value shared by most rows costs nothing extra. The cells that hold a
+wanted rank are at most two per requested quantile and group.
 """
 
 from __future__ import annotations
@@ -52,20 +52,26 @@ def whole_part(number: Column, divisor: int) -> Column:
 
 
 def locate_ranks(df: DataFrame, levels: Sequence[str], ranks: Column,
-                 by: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Find the rows' key at given 0-based ranks.
 
     ``levels`` are columns from coarse to exact, ordering the rows lexicographically.
     ``ranks`` is an array<bigint> expression over ``total``, the rows in the group.
     Returns (by..., total, rank, levels...), one row per distinct wanted rank.
+
+    Without groups, or with a fixed list of them (``few_groups``), the hit cells are
+    broadcast: one per wanted rank and group. Groups that grow with the data take an
+    ordinary equi-join, which the runtime may split where a group is large.
     """
     by = list(by)
+    bounded = few_groups or not by
     found = _hits(
         df.groupBy(*by, levels[0]).agg(F.count(F.lit(1)).alias("_n")), by, levels[0], ranks
     )
     for depth in range(1, len(levels)):
         known = [*by, *levels[:depth]]
-        inside = df.join(F.broadcast(found), known).groupBy(*known, levels[depth]).agg(
+        hit = F.broadcast(found) if bounded else found
+        inside = df.join(hit, known).groupBy(*known, levels[depth]).agg(
             F.count(F.lit(1)).alias("_n"),
             F.first("_wanted").alias("_wanted"),
             F.first("total").alias("total"),
@@ -107,7 +113,8 @@ def _hits(cells: DataFrame, within: list[str], level: str, ranks: Column | None)
 
 
 def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[Fraction],
-                    by: Sequence[str] = (), out: str = "quantiles") -> DataFrame:
+                    by: Sequence[str] = (), out: str = "quantiles",
+                    few_groups: bool = False) -> DataFrame:
     """Linearly interpolated quantiles of the non-NULL values of a double column.
 
     Returns (by..., total, out array<double>), one row per group that has values.
@@ -122,7 +129,7 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[Fraction],
         magnitude_cell(F.col(value), COARSE_CELLS).alias("_coarse"),
         F.col(value).alias("_exact"),
     )
-    located = locate_ranks(cells, ["_coarse", "_exact"], ranks, by)
+    located = locate_ranks(cells, ["_coarse", "_exact"], ranks, by, few_groups)
     looked_up = located.groupBy(*by).agg(
         F.first("total").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("rank", "_exact"))).alias("_at"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,48 +103,43 @@ def ingest_one_statistics(spark: SparkSession, path: str, indicator: StatisticsI
     return ingest_statistics(spark, {indicator.name: path}, layout, (indicator,))
 
 
+CONCURRENT_CHECKS = 8
 CHECK_SCHEMA = (
     "path string, passed boolean, rows bigint, columns bigint, "
     "missing_columns array<string>, message string"
 )
 
 
-def check_metadata(df: DataFrame, path: str) -> DataFrame:
-    """Required load columns of one batch: a schema check plus a row count."""
-    missing = sorted(set(fixed.BRONZE_REQUIRED).difference(df.columns))
-    message = f"Missing required bronze columns: {missing}" if missing else "passed"
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(path).alias("path"),
-        F.lit(not missing).alias("passed"),
-        "rows",
-        F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        F.array(*[F.lit(m) for m in missing]).cast("array<string>").alias("missing_columns"),
-        F.lit(message).alias("message"),
-    )
-
+def check_batch(spark: SparkSession, dataset_dir: str, batch: str) -> tuple:
+    """Required load columns and rows of one batch; an unreadable batch has failed.
 
-def validate_batch(spark: SparkSession, dataset_dir: str, batch: str) -> DataFrame:
-    """Check one batch folder; a batch that cannot be read is a failed check."""
+    The columns come from the schema and the count from Parquet footers.
+    """
     path = f"{dataset_dir}/{batch}"
     try:
-        rows = check_metadata(
-            spark.read.option("basePath", dataset_dir).parquet(path), path
-        ).collect()
+        df = spark.read.option("basePath", dataset_dir).parquet(path)
+        rows = df.count()
     except Exception as unreadable:  # noqa: BLE001 - any read error is a finding
-        rows = [(path, False, 0, 0, list(fixed.BRONZE_REQUIRED),
-                 f"Could not read parquet file: {type(unreadable).__name__}")]
-    return spark.createDataFrame(rows, CHECK_SCHEMA)
+        return (path, False, 0, 0, list(fixed.BRONZE_REQUIRED),
+                f"Could not read parquet file: {type(unreadable).__name__}")
+    missing = sorted(set(fixed.BRONZE_REQUIRED).difference(df.columns))
+    message = f"Missing required bronze columns: {missing}" if missing else "passed"
+    return (path, not missing, rows, len(df.columns), missing, message)
 
 
 def validate_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
-    """One check row per batch of every dataset of every source."""
-    checks = spark.createDataFrame([], CHECK_SCHEMA)
-    for source in fixed.SOURCES:
-        for entry in files.entries(spark, f"{layout.bronze}/{source}"):
-            if entry.is_dir and not entry.name.startswith("_"):
-                for batch in lake.batches(spark, entry.path):
-                    checks = checks.unionByName(validate_batch(spark, entry.path, batch.name))
-    return checks
+    """One check row per batch of every dataset of every source, a few batches at a time."""
+    targets = [
+        (entry.path, batch.name)
+        for source in fixed.SOURCES
+        for entry in files.entries(spark, f"{layout.bronze}/{source}")
+        if entry.is_dir and not entry.name.startswith("_")
+        for batch in lake.batches(spark, entry.path)
+    ]
+    own_thread = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(CONCURRENT_CHECKS) as pool:
+        rows = list(pool.map(own_thread(lambda target: check_batch(spark, *target)), targets))
+    return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
 def bronze_verdict(checks: DataFrame) -> DataFrame:

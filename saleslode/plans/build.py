@@ -162,4 +162,6 @@ def outlier_values(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 def outlier_report(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Interquartile summary per configured (dataset, column)."""
-    return outliers.iqr_summaries(outlier_values(frames), "value", ("dataset", "column"))
+    return outliers.iqr_summaries(
+        outlier_values(frames), "value", ("dataset", "column"), few_groups=True
+    )

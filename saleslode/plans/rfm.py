@@ -59,7 +59,9 @@ def value_edges(df: DataFrame, *columns: str) -> dict[str, list[float]]:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "name", "_v"
     )
-    rows = exact_quantiles(long, "_v", QUINTILES, ("name",), out="edges").collect()
+    rows = exact_quantiles(
+        long, "_v", QUINTILES, ("name",), out="edges", few_groups=True
+    ).collect()
     return {row["name"]: list(row["edges"]) for row in rows}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.functions import date_key
-from saleslode.operators.rules import RelationRule, evaluate, not_null, union_results, unique_key
+from saleslode.operators.rules import RelationRule, evaluate, gather, not_null, unique_key
 
 MONEY = "decimal(18,2)"
 
@@ -172,7 +172,7 @@ def constraint_results(tables: Mapping[str, DataFrame]) -> DataFrame:
         ]
         results = evaluate(df, rules)
         parts.append(results.select(F.lit(name).alias("table_name"), *results.columns))
-    return union_results(parts)
+    return gather(parts)
 
 
 class ConstraintViolation(ValueError):

@@ -7,10 +7,11 @@ equi-join, so scans stay column-pruned.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saleslode.functions import month_of, to_day
 
@@ -24,9 +25,16 @@ SERIES_CODE_OF_FLAG = {"A": 432, "N": 1, "R": 24363}
 class ShippedTables:
     spark: SparkSession
     folder: str
+    schemas: dict[str, T.StructType] = field(default_factory=dict, compare=False)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A new scan of one table; its schema is looked up in the files only once."""
+        reader = self.spark.read
+        if name in self.schemas:
+            return reader.schema(self.schemas[name]).parquet(f"{self.folder}/{name}.parquet")
+        df = reader.parquet(f"{self.folder}/{name}.parquet")
+        self.schemas[name] = df.schema
+        return df
 
     # -- sales ---------------------------------------------------------------------
     def orders(self) -> DataFrame:
