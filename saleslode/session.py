@@ -9,6 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Settings the plans are written for. Shuffles start wide and are merged at run time to
+# partitions that fit an executor; skewed join partitions are split even where that
+# costs one more shuffle, since one key may own a large share of all rows.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
+def cluster_session(app: str = "saleslode") -> SparkSession:
+    """Session on whatever master the launcher chose, with the settings above."""
+    builder = SparkSession.builder.appName(app)
+    for name, value in CLUSTER_SETTINGS.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
+
 
 def local_session(app: str = "saleslode", cores: str = "8", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
@@ -21,6 +43,7 @@ def local_session(app: str = "saleslode", cores: str = "8", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
