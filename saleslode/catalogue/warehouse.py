@@ -18,7 +18,7 @@ from saleslode.catalogue.gold import (
     shared_gold,
 )
 from saleslode.catalogue.sqltext import oracle
-from saleslode.operators.rules import gather
+from saleslode.operators.rules import union_results
 from saleslode.plans import marts, suites, warehouse
 from saleslode.plans.gold import dim_date_of_sales
 
@@ -56,7 +56,7 @@ def _table_counts(spark: SparkSession, folder: str) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         for name, df in _tables(spark, folder).items()
     ]
-    return gather(parts)
+    return union_results(parts)
 
 
 def _constraints(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,11 +9,9 @@ not exist fails on every row, and an empty table passes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ from saleslode.functions import missing_or_negative, not_accepted, truthy
 from saleslode.functions.coerce import number_column
 from saleslode.operators.keys import duplicate_key_rows, orphan_rows
 
-CONCURRENT_JOBS = 8
 CRITICAL, WARNING, INFORMATIONAL = "critical", "warning", "informational"
 
 
@@ -138,20 +135,6 @@ def union_results(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def gather(parts: Sequence[DataFrame]) -> DataFrame:
-    """Run small result frames side by side and return their rows as one frame.
-
-    For whole-layer suites: every table is its own job with its own plan, instead of
-    one plan holding all tables that is re-planned after each of their stages. A part
-    holds one row per rule, so what reaches the driver is as long as the rule list.
-    """
-    spark = parts[0].sparkSession
-    own_thread = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
-        collected = list(pool.map(own_thread(lambda part: part.collect()), parts))
-    return spark.createDataFrame([row for rows in collected for row in rows], parts[0].schema)
-
-
 def _row_results(df: DataFrame, rules: Sequence[RowRule | NotEmptyRule]) -> DataFrame:
     total = F.count(F.lit(1))
     counts = []

@@ -18,10 +18,10 @@ from saleslode.operators.rules import (
     between,
     evaluate,
     false_flag,
-    gather,
     non_negative,
     not_null,
     severity_rollup,
+    union_results,
     unique_key,
 )
 
@@ -138,7 +138,7 @@ def silver_results(frames: Mapping[str, DataFrame]) -> DataFrame:
         rules = [*silver_rules(dataset, df), *relation_rules(frames, dataset)]
         if rules:
             parts.append(_named(dataset, evaluate(df, rules)))
-    return gather(parts)
+    return union_results(parts)
 
 
 def gold_rules(dataset: str) -> tuple[Rule, ...]:
@@ -147,7 +147,7 @@ def gold_rules(dataset: str) -> tuple[Rule, ...]:
 
 def gold_results(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Result rows of the Gold suites of the datasets given."""
-    return gather(
+    return union_results(
         [_named(name, evaluate(df, gold_rules(name))) for name, df in sorted(frames.items())]
     )
 
@@ -181,4 +181,4 @@ def model_test_results(models: Mapping[str, DataFrame]) -> DataFrame:
                         F.lit(test).alias("test"), "passed", "failed_count",
                     )
                 )
-    return gather(parts)
+    return union_results(parts)
