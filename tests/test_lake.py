@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.plans import bronze, build, marts, monitoring, serving, warehouse
-from saleslode.settings import SERIES_INDICATORS, STATISTICS_INDICATORS
+from saleslode.settings import SERIES_INDICATORS
 from saleslode.sinks import writers
 from saleslode.sources import files, lake, landing, reports
 
