@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from saleslode.llm import stages
 
 STAGES = [
+    ("gram_jaccard", stages.deduplicated),
     ("benchmark_decontamination", stages.decontaminated),
+    ("pseudonyms", stages.pseudonymised),
     ("packing", stages.packed),
 ]
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, kkpacking
+from . import decontamination, gramjoin, kkpacking, pseudonyms
 from .common import NO_ID, id_and_text, stored, table
 
+STAGE_WORDS, STAGE_THRESHOLD = 5, 80
+
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Documents whose (id, text) key is not among the rejected ``k_id``, ``k_tx``."""
@@ -20,11 +22,24 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return inner.join(rejected, ["k_id", "k_tx"], "left_anti").select("row_.*")
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies: five words, 0.8 or more.
+
+    Rows that repeat a document id stay or go together; NULL ids stay.
+    """
+    return without(docs, gramjoin.surplus(id_and_text(docs), STAGE_WORDS, STAGE_THRESHOLD))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(id_and_text(docs), table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated"))
 
 
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values replaced; ``n_chars`` stays right, as lengths are kept."""
+    return pseudonyms.replaced_column(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kkpacking.pack(id_and_text(docs))
 
