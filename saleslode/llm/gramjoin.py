@@ -4,20 +4,23 @@ A document is the set of its distinct word shingles. Two sets link when
 ``100 * |A & B| >= threshold * |A | B|``, which bounds their symmetric difference by
 ``(100 - t) * (|A| + |B|) / (100 + t)``. Shingles are XOR-ed into a bit sketch; each
 shingle flips one bit, so the Hamming distance of two sketches never exceeds the symmetric
-difference. Sketches of a size band (sizes up to a power of two) have one 64-bit word more
-than the largest difference allowed in it, so linked sets agree on a word: words are the
-join keys. A set near the upper end of its band is sketched for the next band too. Words
-without a bit say nothing and are left out, but for sets with so many of them that the
-pigeonhole might have no other; both sets of such a pair keep them.
+difference. Sketches of a size band (sizes up to a power of two) have about a third more
+64-bit words than the largest difference allowed in it, so linked sets agree on some words:
+words are the join keys. A set near the upper end of its band is sketched for the next band
+too. Words without a bit say nothing and are left out, but for sets with so many of them that
+the pigeonhole might have no other; both sets of such a pair keep them.
 
 Equal sets are one candidate from the start (64-bit digest; a wrong merge needs two
 different sets among 2**32). Sets that share a word make a group. Groups up to ``SMALL``
-give all their pairs; a larger one only links its members to its smallest, and if the
-verified links do not join such a group to one component, its members are grouped again by
-a second, independent sketch together with the first word. What is still apart then is
-compared in full, but only across components. Every candidate is verified exactly on the
-shingle sets. So a group of copies costs its size, not its square, and no link that could
-change a component is lost.
+give all their pairs; a larger one only pairs its members with its smallest. The words that a
+pair is seen to share, with those of either set that lie in large groups, bound its Hamming
+distance; only pairs that may link by this bound are verified, exactly, on the shingle sets.
+A link can be unseen only between sets with very many words in large groups. Where such a
+group is not one component by the verified links, its members form a family; families are cut
+into tiles of at most about ``TILE`` sets a side, and within a tile sets of different
+components whose fixed-length sketches are near enough are compared exactly. So a group of
+copies costs its size, not its square (only families that stay apart at the threshold cost
+tiles, of one popcount a pair), and no link that could change a component is lost.
 
 Edge cases: NULL, empty and blank texts have no shingle, link with nothing and are their own
 component; fewer words than a shingle make one shingle; repeated rows share a component;
@@ -54,7 +57,9 @@ from .common import (
 from .graph import connected_components
 
 WORDS, THRESHOLD = 4, 85
-SMALL = 12
+SMALL = 10
+TILE = 512
+TILE_WORDS = 64
 _U = np.uint64
 
 
@@ -87,9 +92,10 @@ def bands(size: int, threshold: int) -> list[tuple[int, int, int]]:
         largest = (2 << b) - 1
         if b > band and 100 * size // threshold <= largest // 2:
             continue
-        words = (100 - threshold) * 2 * largest // (100 + threshold) + 1
+        widest = (100 - threshold) * 2 * largest // (100 + threshold)
+        words = widest + 1 + max(1, widest // 3)
         partner = min(100 * size // threshold, largest)
-        if words > 1:
+        if widest:
             found.append((b, words, (100 - threshold) * (size + partner) // (100 + threshold)))
     return found
 
@@ -102,7 +108,7 @@ def sketch(shingles: np.ndarray, words: int, seed: int) -> np.ndarray:
 
 
 def word_keys(shingles: np.ndarray, threshold: int, seed: int) -> np.ndarray:
-    """Join keys of a set: band, place and content of its sketch words."""
+    """Join keys of a set: band (last six bits), place and content of its sketch words."""
     keys = []
     for band, words, difference in bands(len(shingles), threshold):
         bits = sketch(shingles, words, seed)
@@ -110,23 +116,39 @@ def word_keys(shingles: np.ndarray, threshold: int, seed: int) -> np.ndarray:
         full = bits != 0
         if words - int(full.sum()) < words - difference:
             bits, place = bits[full], place[full]
-        keys.append(mix(bits ^ mix(place)))
+        keys.append(mix(bits ^ mix(place)) & ~_U(63) | _U(band))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def describe_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, k_id, k_tx, n_shingles, set_id) of every row; ``set_id`` NULL when empty."""
+def empty_words(shingles: np.ndarray, threshold: int) -> list[int]:
+    """Words without a bit in the sketches of the set's own band and of the next."""
+    own = len(shingles).bit_length() - 1
+    counts = [0, 0]
+    for band, words, _ in bands(len(shingles), threshold):
+        counts[band - own] = words - np.count_nonzero(sketch(shingles, words, 1))
+    return counts
+
+
+def describe_sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(doc_id, k_id, k_tx, n_shingles, own, bare, bare_next, set_id) of every row.
+
+    ``own`` is the set's band, the next two count words without a bit in its sketches.
+    """
     rows = docs.select("doc_id", *row_key(), "text")
 
     def run(batch):
         count, digest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        bare = np.zeros((batch.num_rows, 3), np.int64)
         for row, shingles in shingle_sets(batch["text"], words):
             count[row] = len(shingles)
             digest[row] = set_digest(shingles)
+            bare[row] = [len(shingles).bit_length() - 1, *empty_words(shingles, threshold)]
         yield {"doc_id": batch["doc_id"], "k_id": batch["k_id"], "k_tx": batch["k_tx"],
-               "n_shingles": count, "set_id": pa.array(digest, mask=count == 0)}
+               "n_shingles": count, "own": bare[:, 0], "bare": bare[:, 1],
+               "bare_next": bare[:, 2], "set_id": pa.array(digest, mask=count == 0)}
 
-    return map_arrow(rows, run, "doc_id long, k_id long, k_tx long, n_shingles long, set_id long")
+    return map_arrow(rows, run, "doc_id long, k_id long, k_tx long, n_shingles long, "
+                                "own long, bare long, bare_next long, set_id long")
 
 
 def sketch_words(docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -151,8 +173,8 @@ def sketch_words(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 
 
 def group_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b, key): all pairs of small groups (key NULL), leader and member of large ones."""
-    schema = "a long, b long, key long"
+    """(a, b, key, large): all pairs of small groups, smallest and other members of large ones."""
+    schema = "a long, b long, key long, large boolean"
 
     def run(batches):
         tail_key, tail_set = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -169,7 +191,7 @@ def group_pairs(keyed: DataFrame) -> DataFrame:
                 if own.any():
                     member = ids[own & (ids != leader[1])]
                     parts.append((np.full(len(member), leader[1]), member,
-                                  np.full(len(member), leader[0]), False))
+                                  np.full(len(member), leader[0]), True))
                     key, ids = key[~own], ids[~own]
             if len(key):
                 start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -180,17 +202,15 @@ def group_pairs(keyed: DataFrame) -> DataFrame:
                     both = (key[step:] == key[:-step]) & ~big[:-step]
                     if not both.any():
                         break
-                    parts.append((ids[:-step][both], ids[step:][both], None, True))
+                    parts.append((ids[:-step][both], ids[step:][both], key[step:][both], False))
                 rest = np.flatnonzero(big)
                 rest = rest[rest != start[of[rest]]]
                 if len(rest):
-                    parts.append((ids[start[of[rest]]], ids[rest], key[rest], False))
-            for a, b, k, few in parts:
-                if few:
-                    pair = np.unique(np.stack([a, b], 1), axis=0)
-                    a, b, k = pair[:, 0], pair[:, 1], pa.nulls(len(pair), pa.int64())
+                    parts.append((ids[start[of[rest]]], ids[rest], key[rest], True))
+            for a, b, k, many in parts:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                       pa.array(k, pa.int64())], names=["a", "b", "key"])
+                                       pa.array(k, pa.int64()), pa.array([many] * len(a), pa.bool_())],
+                                      names=["a", "b", "key", "large"])
 
         for batch in batches:
             key = np.concatenate([tail_key, batch["key"].to_numpy()])
@@ -249,11 +269,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def apart(large: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, set_id, root) of the members of groups that lie in more than one component."""
     root = F.coalesce("root", "set_id").alias("root")
-    members = large.select("key", F.col("b").alias("set_id")).unionByName(
-        large.select("key", F.col("a").alias("set_id"))).distinct()
     rooted = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "key", "set_id", root)
     split = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where(
@@ -261,49 +279,120 @@ def apart(large: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(split.select("key"), "key", "left_semi")
 
 
+def band_words(threshold: int) -> str:
+    """SQL for the words of a band's sketch, as in ``bands``."""
+    widest = f"({100 - threshold} * 2 * (shiftleft(2L, band) - 1) div {100 + threshold})"
+    return f"({widest} + 1 + greatest(1, {widest} div 3))"
+
+
+def promising(grouped: DataFrame, described: DataFrame, threshold: int) -> tuple:
+    """Pairs that may link by the words they share, and the sets that may have unseen links."""
+    band = F.col("key").bitwiseAND(63).cast("int").alias("band")
+    large = grouped.where("large")
+    members = large.select("key", F.col("b").alias("set_id")).unionByName(
+        large.select("key", F.col("a").alias("set_id"))).distinct()
+    heavy = members.groupBy("set_id", band).agg(F.count("*").alias("heavy"))
+    sizes = described.where("set_id is not null").groupBy("set_id").agg(
+        F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in ("own", "bare", "bare_next")))
+    bare = "if(band = {0}own, {0}bare, {0}bare_next)"
+    shared = grouped.groupBy("a", "b", band).agg(F.count("*").alias("shared"))
+
+    def about(side):
+        return (sizes.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"),
+                             *(F.col(c).alias(f"{side}_{c}") for c in ("own", "bare", "bare_next"))),
+                heavy.select(F.col("set_id").alias(side), "band", F.col("heavy").alias(f"h_{side}")))
+
+    for side in ("a", "b"):
+        size, weight = about(side)
+        shared = shared.join(size, side).join(weight, [side, "band"], "left").fillna(
+            0, [f"h_{side}"])
+    allowed = f"({100 - threshold} * (n_a + n_b) div {100 + threshold})"
+    pairs = shared.where("100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and shared + "
+                         "least(h_a, h_b) + least({p}, {q}) >= {w} - {d}".format(
+                             t=threshold, w=band_words(threshold), d=allowed,
+                             p=bare.format("a_"), q=bare.format("b_")))
+    partner = f"least(100 * n div {threshold}, shiftleft(2L, band) - 1)"
+    most = f"({100 - threshold} * (n + {partner}) div {100 + threshold})"
+    unsure = heavy.join(sizes, "set_id").where(
+        f"heavy + {bare.format('')} >= {band_words(threshold)} - {most}").select("set_id").distinct()
+    return pairs.select("a", "b").distinct(), members.join(unsure, "set_id", "left_semi")
+
+
 def link_sets(docs: DataFrame, described: DataFrame, words: int, threshold: int) -> DataFrame:
     """Verified links (a, b) between set ids: enough of them to give all components."""
     grouped = stored(group_pairs(sketch_words(docs, words, threshold)), "grampairs")
-    pairs = kept(grouped.select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    pairs, members = map(kept, promising(grouped, described, threshold))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(
+        members.select("set_id")).distinct()
     sets = stored(load_sets(docs, described, wanted, words), "gramsets")
     links = [kept(verified(pairs, sets, threshold))]
-    large = grouped.where("key is not null")
-    left = kept(apart(large, connected_components(links[0])))
-    if left.isEmpty():
-        return links[0]
-
-    def again(batch):
-        keys, ids = [], []
-        for key, set_id, data in zip(batch["key"].to_numpy(), batch["set_id"].to_numpy(),
-                                     batch["shingles"], strict=True):
-            own = word_keys(packed_rows(data.as_buffer(), np.uint64), threshold, 2)
-            keys.append(mix(own ^ mix(np.full(1, key).view(np.uint64))))
-            ids.append(np.full(len(own), set_id, np.int64))
-        if keys:
-            yield {"key": signed(np.concatenate(keys)), "set_id": np.concatenate(ids)}
-
-    deeper = map_arrow(left.join(sets, "set_id").select("key", "set_id", "shingles"), again,
-                       "key long, set_id long")
-    grouped = stored(group_pairs(deeper), "grampairs")
-    more = grouped.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    links.append(kept(verified(more, sets, threshold)))
-    left = kept(apart(grouped.where("key is not null"),
-                      connected_components(reduce(DataFrame.unionByName, links))))
+    roots = kept(connected_components(links[0]))
+    left = kept(apart(members, roots))
     if not left.isEmpty():
-        a = left.select("key", F.col("set_id").alias("a"), F.col("root").alias("p"))
-        b = left.select("key", F.col("set_id").alias("b"), F.col("root").alias("q"))
-        rest = a.join(b, "key").where("a < b and p != q").select("a", "b").distinct()
-        links.append(kept(verified(rest, sets, threshold)))
+        links.append(kept(family_links(left, sets, threshold)))
     return reduce(DataFrame.unionByName, links)
 
 
+def family_links(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between sets of different components that share large groups.
+
+    ``left`` has key, set_id and root. Within a tile only links that join components are given.
+    """
+    smallest = left.groupBy("key").agg(F.min("set_id").alias("b"))
+    edges = left.join(smallest, "key").select(F.col("set_id").alias("a"), "b").distinct()
+    family = connected_components(edges).select(F.col("node").alias("set_id"),
+                                                F.col("root").alias("family"))
+    rows = kept(left.select("set_id", "root").distinct().join(family, "set_id"))
+    sizes = rows.groupBy("family").agg(
+        F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
+    placed = rows.join(sizes, "family").withColumn(
+        "chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "family", "set_id", "root", "chunk", F.least("chunk", "other").alias("i"),
+        F.greatest("chunk", "other").alias("j"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        ids, chunk = tile["set_id"].to_numpy(), tile["chunk"].to_numpy()
+        held = [packed_rows(v.as_buffer(), np.uint64) for v in tile["shingles"].combine_chunks()]
+        root = tile["root"].to_numpy().tolist()
+        same = tile["i"][0].as_py() == tile["j"][0].as_py()
+        left_side = np.flatnonzero(chunk == tile["i"][0].as_py())
+        right_side = left_side if same else np.flatnonzero(chunk == tile["j"][0].as_py())
+        bits = np.stack([sketch(s, TILE_WORDS, 2) for s in held])
+        size = np.array([len(s) for s in held])
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for x in left_side.tolist():
+            others = right_side[right_side > x] if same else right_side
+            allowed = (100 - threshold) * (size[x] + size[others]) // (100 + threshold)
+            apart_by = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
+            for y in others[apart_by <= allowed].tolist():
+                p, q = find(root[x]), find(root[y])
+                if p == q:
+                    continue
+                both = size[x] + size[y] - len(np.union1d(held[x], held[y]))
+                if 100 * both >= threshold * (size[x] + size[y] - both):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiles.join(sets, "set_id").groupBy("family", "i", "j").applyInArrow(
+        compare, "a long, b long")
+
+
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, k_id, k_tx, n_shingles, n_links, component_id) of every row.
 
     ``n_links`` counts the verified links between different sets at the row's set.
     """
-    described = stored(describe_sets(docs, words), "gramrows")
+    described = stored(describe_sets(docs, words, threshold), "gramrows")
     links = link_sets(docs, described, words, threshold)
     roots = kept(connected_components(links)).withColumnRenamed("node", "set_id")
     degree = (links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id")
