@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from saleslode.llm import stages
 
 STAGES = [
+    ("toxicity", stages.civil),
     ("gram_jaccard", stages.deduplicated),
     ("benchmark_decontamination", stages.decontaminated),
     ("pseudonyms", stages.pseudonymised),

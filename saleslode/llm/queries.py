@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bfdpacking, decontamination, gramjoin, kkpacking, pseudonyms
+from . import bfdpacking, decontamination, gramjoin, kkpacking, pseudonyms, toxicity
 
 QUERIES = {
     "op1_gram_join": gramjoin.op1_gram_join,
     "op2_token_rows": bfdpacking.op2_token_rows,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_packing": kkpacking.op10_packing,
 }

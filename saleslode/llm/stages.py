@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gramjoin, kkpacking, pseudonyms
-from .common import NO_ID, id_and_text, stored, table
+from . import decontamination, gramjoin, kkpacking, pseudonyms, toxicity
+from .common import NO_ID, id_and_text, row_key, stored, table
 
 STAGE_WORDS, STAGE_THRESHOLD = 5, 80
 
@@ -22,6 +22,14 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return inner.join(rejected, ["k_id", "k_tx"], "left_anti").select("row_.*")
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned on those present, does not reject."""
+    texts = id_and_text(docs)
+    model = toxicity.learn(texts, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(texts.select(*row_key(), "text"), model)
+    return without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD))
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies: five words, 0.8 or more.
 
