@@ -7,8 +7,9 @@ shingle flips one bit, so the Hamming distance of two sketches never exceeds the
 difference. Sketches of a size band (sizes up to a power of two) have about a third more
 64-bit words than the largest difference allowed in it, so linked sets agree on some words:
 words are the join keys. A set near the upper end of its band is sketched for the next band
-too. Words without a bit say nothing and are left out, but for sets with so many of them that
-the pigeonhole might have no other; both sets of such a pair keep them.
+too. Words with no or one bit are shared by chance, above all where shingles are common. A
+set leaves them out as long as they are fewer than the words it must share with any
+partner; as shared words are equally poor in both sets, some shared word stays.
 
 Equal sets are one candidate from the start (64-bit digest; a wrong merge needs two
 different sets among 2**32). Sets that share a word make a group. Groups up to ``SMALL``
@@ -107,32 +108,38 @@ def sketch(shingles: np.ndarray, words: int, seed: int) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.uint64)
 
 
+def poorest(bits: np.ndarray, difference: int) -> int:
+    """Number of bits up to which words are left out: one, none, or no word at all (-1)."""
+    shared = len(bits) - difference
+    none, one = np.bincount(np.minimum(np.bitwise_count(bits), 2), minlength=3)[:2].tolist()
+    return 1 if none + one <= 2 * shared // 3 else 0 if none < shared else -1
+
+
 def word_keys(shingles: np.ndarray, threshold: int, seed: int) -> np.ndarray:
     """Join keys of a set: band (last six bits), place and content of its sketch words."""
     keys = []
     for band, words, difference in bands(len(shingles), threshold):
         bits = sketch(shingles, words, seed)
         place = np.arange(words, dtype=np.uint64) | _U((band << 40) | (seed << 48))
-        full = bits != 0
-        if words - int(full.sum()) < words - difference:
-            bits, place = bits[full], place[full]
+        rich = np.bitwise_count(bits).astype(int) > poorest(bits, difference)
+        bits, place = bits[rich], place[rich]
         keys.append(mix(bits ^ mix(place)) & ~_U(63) | _U(band))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def empty_words(shingles: np.ndarray, threshold: int) -> list[int]:
-    """Words without a bit in the sketches of the set's own band and of the next."""
+def poor_words(shingles: np.ndarray, threshold: int) -> list[int]:
+    """Words with at most one bit in the sketches of the set's own band and of the next."""
     own = len(shingles).bit_length() - 1
     counts = [0, 0]
     for band, words, _ in bands(len(shingles), threshold):
-        counts[band - own] = words - np.count_nonzero(sketch(shingles, words, 1))
+        counts[band - own] = int((np.bitwise_count(sketch(shingles, words, 1)) < 2).sum())
     return counts
 
 
 def describe_sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """(doc_id, k_id, k_tx, n_shingles, own, bare, bare_next, set_id) of every row.
 
-    ``own`` is the set's band, the next two count words without a bit in its sketches.
+    ``own`` is the set's band, the next two count words of at most one bit in its sketches.
     """
     rows = docs.select("doc_id", *row_key(), "text")
 
@@ -142,7 +149,7 @@ def describe_sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         for row, shingles in shingle_sets(batch["text"], words):
             count[row] = len(shingles)
             digest[row] = set_digest(shingles)
-            bare[row] = [len(shingles).bit_length() - 1, *empty_words(shingles, threshold)]
+            bare[row] = [len(shingles).bit_length() - 1, *poor_words(shingles, threshold)]
         yield {"doc_id": batch["doc_id"], "k_id": batch["k_id"], "k_tx": batch["k_tx"],
                "n_shingles": count, "own": bare[:, 0], "bare": bare[:, 1],
                "bare_next": bare[:, 2], "set_id": pa.array(digest, mask=count == 0)}
