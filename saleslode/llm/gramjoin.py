@@ -12,12 +12,13 @@ set leaves them out as long as they are fewer than the words it must share with
 partner; as shared words are equally poor in both sets, some shared word stays.
 
 Equal sets are one candidate from the start (64-bit digest; a wrong merge needs two
-different sets among 2**32). Sets that share a word make a group. Groups up to ``SMALL``
-give all their pairs; a larger one only pairs its members with its smallest. The words that a
-pair is seen to share, with those of either set that lie in large groups, bound its Hamming
-distance; only pairs that may link by this bound are verified, exactly, on the shingle sets.
-A link can be unseen only between sets with very many words in large groups. Where such a
-group is not one component by the verified links, its members form a family; families are cut
+different sets among 2**32). Of the words that a set shares with any other it must share a
+known number with a linked set. So join keys are the rarest of them, all but that number less
+``MEET``, and a linked pair meets in ``MEET`` of them (or in as many as it must share). Sets
+with fewer shared words have no link. Sets that share a key make a group. Groups up to
+``SMALL`` give all their pairs; a larger one only pairs its members with its smallest. Pairs
+that meet often enough are verified exactly on the shingle sets. Where a large group is not
+one component by the verified links, its members form a family; families are cut
 into tiles of at most about ``TILE`` sets a side, and within a tile sets of different
 components whose fixed-length sketches are near enough are compared exactly. So a group of
 copies costs its size, not its square (only families that stay apart at the threshold cost
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import (
     LOWER,
@@ -59,6 +61,8 @@ from .graph import connected_components
 
 WORDS, THRESHOLD = 4, 85
 SMALL = 10
+HUGE = 1024
+MEET = 4
 TILE = 512
 TILE_WORDS = 64
 _U = np.uint64
@@ -292,43 +296,95 @@ def band_words(threshold: int) -> str:
     return f"({widest} + 1 + greatest(1, {widest} div 3))"
 
 
-def promising(grouped: DataFrame, described: DataFrame, threshold: int) -> tuple:
-    """Pairs that may link by the words they share, and the sets that may have unseen links."""
-    band = F.col("key").bitwiseAND(63).cast("int").alias("band")
-    large = grouped.where("large")
-    members = large.select("key", F.col("b").alias("set_id")).unionByName(
-        large.select("key", F.col("a").alias("set_id"))).distinct()
-    heavy = members.groupBy("set_id", band).agg(F.count("*").alias("heavy"))
+def repeated_words(keyed: DataFrame) -> DataFrame:
+    """(key, set_id, size) of the words that two sets or more share; ``HUGE`` is any size above."""
+
+    def run(batches):
+        names = ["key", "set_id", "size"]
+        tail_key, tail_set, huge = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def emit(key, ids, known=None):
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+            key, ids = key[fresh], ids[fresh]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+            size = np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key))))
+            size = np.full(len(key), known) if known else np.minimum(size, HUGE)
+            some = size > 1
+            yield pa.record_batch([pa.array(key[some]), pa.array(ids[some]),
+                                   pa.array(size[some].astype(np.int64))], names=names)
+
+        for batch in batches:
+            key = np.concatenate([tail_key, batch["key"].to_numpy()])
+            ids = np.concatenate([tail_set, batch["set_id"].to_numpy()])
+            if huge is not None and len(key):
+                own = int(np.searchsorted(key, huge, "right"))
+                yield from emit(key[:own], ids[:own], HUGE)
+                key, ids = key[own:], ids[own:]
+            if not len(key):
+                tail_key, tail_set = key, ids
+                continue
+            huge = None
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from emit(key[:cut], ids[:cut])
+            tail_key, tail_set = key[cut:], ids[cut:]
+            if len(np.unique(tail_set)) >= HUGE:
+                huge = tail_key[0]
+                yield from emit(tail_key, tail_set, HUGE)
+                tail_key, tail_set = tail_key[:0], tail_set[:0]
+        if len(tail_key):
+            yield from emit(tail_key, tail_set)
+
+    sorted_rows = keyed.repartition("key").sortWithinPartitions("key", "set_id")
+    return sorted_rows.mapInArrow(run, "key long, set_id long, size long")
+
+
+def shared_words_needed(described: DataFrame, threshold: int) -> DataFrame:
+    """(set_id, band, needed): words that a set of the band shares with any it links to."""
     sizes = described.where("set_id is not null").groupBy("set_id").agg(
         F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in ("own", "bare", "bare_next")))
-    bare = "if(band = {0}own, {0}bare, {0}bare_next)"
-    shared = grouped.groupBy("a", "b", band).agg(F.count("*").alias("shared"))
-
-    def about(side):
-        return (sizes.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"),
-                             *(F.col(c).alias(f"{side}_{c}") for c in ("own", "bare", "bare_next"))),
-                heavy.select(F.col("set_id").alias(side), "band", F.col("heavy").alias(f"h_{side}")))
-
-    for side in ("a", "b"):
-        size, weight = about(side)
-        shared = shared.join(size, side).join(weight, [side, "band"], "left").fillna(
-            0, [f"h_{side}"])
-    allowed = f"({100 - threshold} * (n_a + n_b) div {100 + threshold})"
-    pairs = shared.where("100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and shared + "
-                         "least(h_a, h_b) + least({p}, {q}) >= {w} - {d}".format(
-                             t=threshold, w=band_words(threshold), d=allowed,
-                             p=bare.format("a_"), q=bare.format("b_")))
+    banded = sizes.withColumn("band", F.explode(F.array(F.col("own").cast("int"), (F.col("own") + 1).cast("int"))))
     partner = f"least(100 * n div {threshold}, shiftleft(2L, band) - 1)"
     most = f"({100 - threshold} * (n + {partner}) div {100 + threshold})"
-    unsure = heavy.join(sizes, "set_id").where(
-        f"heavy + {bare.format('')} >= {band_words(threshold)} - {most}").select("set_id").distinct()
-    return pairs.select("a", "b").distinct(), members.join(unsure, "set_id", "left_semi")
+    return banded.select("set_id", "band", F.expr(
+        f"greatest(1, {band_words(threshold)} - {most} - if(band = own, bare, bare_next))")
+        .alias("needed"))
+
+
+def rarest_words(repeated: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, set_id): of each set's repeated words, the rarest that a link must touch."""
+    of = Window.partitionBy("set_id", "band")
+    banded = repeated.withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+    meet = F.least("needed", F.lit(MEET))
+    return (banded.withColumn("held", F.count("*").over(of))
+            .withColumn("place", F.row_number().over(of.orderBy("size", "key")))
+            .join(needed, ["set_id", "band"]).where(F.col("held") >= F.col("needed"))
+            .where(F.col("place") <= F.col("held") - F.col("needed") + meet)
+            .select("key", "set_id"))
+
+
+def meeting_pairs(grouped: DataFrame, needed: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that meet in ``MEET`` groups, or in as many as either must share."""
+    met = grouped.groupBy("a", "b", F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(
+        F.count("*").alias("met"))
+    few = needed.where(F.col("needed") < MEET)
+    rare = met.where(F.col("met") < MEET)
+    by_either = [rare.join(few.withColumnRenamed("set_id", side), [side, "band"])
+                 .where("met >= needed").select("a", "b") for side in ("a", "b")]
+    often = met.where(F.col("met") >= MEET).select("a", "b")
+    return often.unionByName(by_either[0]).unionByName(by_either[1]).distinct()
 
 
 def link_sets(docs: DataFrame, described: DataFrame, words: int, threshold: int) -> DataFrame:
     """Verified links (a, b) between set ids: enough of them to give all components."""
-    grouped = stored(group_pairs(sketch_words(docs, words, threshold)), "grampairs")
-    pairs, members = map(kept, promising(grouped, described, threshold))
+    repeated = repeated_words(sketch_words(docs, words, threshold))
+    needed = shared_words_needed(described, threshold)
+    grouped = stored(group_pairs(rarest_words(repeated, needed)), "grampairs")
+    pairs = kept(meeting_pairs(grouped, needed))
+    large = grouped.where("large")
+    members = kept(large.select("key", F.col("b").alias("set_id")).unionByName(
+        large.select("key", F.col("a").alias("set_id"))).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(
         members.select("set_id")).distinct()
     sets = stored(load_sets(docs, described, wanted, words), "gramsets")
