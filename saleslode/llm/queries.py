@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bfdpacking, decontamination, gramjoin, kkpacking, pseudonyms, toxicity
+from . import bfdpacking, decontamination, gramjoin, kkpacking, pseudonyms, spotsigs, toxicity
 
 QUERIES = {
     "op1_gram_join": gramjoin.op1_gram_join,
     "op2_token_rows": bfdpacking.op2_token_rows,
+    "op3_fingerprints": spotsigs.op3_fingerprints,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
