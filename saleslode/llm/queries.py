@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import bfdpacking, decontamination, gramjoin, kkpacking, pseudonyms, spotsigs, toxicity
+from . import (
+    bfdpacking,
+    bwtmerge,
+    decontamination,
+    fmindex,
+    gramjoin,
+    kkpacking,
+    pseudonyms,
+    spotsigs,
+    toxicity,
+)
 
 QUERIES = {
     "op1_gram_join": gramjoin.op1_gram_join,
     "op2_token_rows": bfdpacking.op2_token_rows,
     "op3_fingerprints": spotsigs.op3_fingerprints,
+    "op4_substring_index": fmindex.op4_substring_index,
+    "op5_suffix_merge": bwtmerge.op5_suffix_merge,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
