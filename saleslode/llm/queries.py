@@ -9,6 +9,7 @@ from . import (
     fmindex,
     gramjoin,
     kkpacking,
+    licenses,
     pseudonyms,
     spotsigs,
     toxicity,
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_suffix_merge": bwtmerge.op5_suffix_merge,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_licenses": licenses.op8_licenses,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_packing": kkpacking.op10_packing,
 }
