@@ -63,7 +63,7 @@ WORDS, THRESHOLD = 4, 85
 SMALL = 10
 HUGE = 1024
 MEET = 4
-TILE = 512
+TILE = 2048
 TILE_WORDS = 64
 _U = np.uint64
 
@@ -251,13 +251,14 @@ def load_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, words: i
     """(set_id, shingles) of the wanted sets, from one document of each."""
     holder = (described.join(wanted, "set_id").groupBy("set_id")
               .agg(F.min(F.struct("k_id", "k_tx")).alias("k")).select("set_id", "k.*"))
-    rows = docs.select(*row_key(), "text").join(holder, ["k_id", "k_tx"]).select("set_id", "text")
+    rows = (docs.select(*row_key(), "text").join(holder, ["k_id", "k_tx"])
+            .dropDuplicates(["k_id", "k_tx"]).select("set_id", "text"))
 
     def run(batch):
         chunks = [s for _, s in shingle_sets(batch["text"], words)]
         yield {"set_id": batch["set_id"], "shingles": binary_column(chunks)}
 
-    return map_arrow(rows, run, "set_id long, shingles binary").dropDuplicates(["set_id"])
+    return map_arrow(rows, run, "set_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:

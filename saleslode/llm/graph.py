@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
+# Steps on few edges run in few tasks, however many partitions a shuffle has.
+EDGES_A_TASK = 250_000
+
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root): ``root`` is the smallest node reachable from ``node``.
@@ -19,16 +22,20 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
                                 F.least(left, right).alias("v"))
                    .where(F.col(left).isNotNull() & F.col(right).isNotNull()
                           & (F.col("u") != F.col("v"))).distinct())
+    tasks = 1 + current.count() // EDGES_A_TASK
     mark = None
     while True:
+        current = current.coalesce(tasks)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.where("v > u").join(least, "u")
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+                 .coalesce(tasks).distinct().coalesce(tasks))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(lowest, "u").where("v != m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
-        current = kept(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
+        current = kept(small.unionByName(lowest.withColumnRenamed("m", "v")).coalesce(tasks)
+                       .distinct().coalesce(tasks))
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
