@@ -93,6 +93,8 @@ def bands(size: int, threshold: int) -> list[tuple[int, int, int]]:
     """(band, words of its sketch, largest difference of a linked pair) for a set size."""
     found = []
     band = size.bit_length() - 1
+    if not size:
+        return found
     for b in (band, band + 1):
         largest = (2 << b) - 1
         if b > band and 100 * size // threshold <= largest // 2:

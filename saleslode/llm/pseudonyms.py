@@ -228,7 +228,7 @@ def token(found: str, key: bytes, undo: bool) -> str | None:
 KINDS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
      email),
-    ("secret", r"\b(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[^\s\"',;]{6,}", secret),
+    ("secret", r"\b(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[^\s\"',;]{5,}[^\s\"',;.]", secret),
     ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", access_key),
     ("token", r"(?:\"[0-9a-f]{32,64}\"|'[0-9a-f]{32,64}')", token),
     ("iban", r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
