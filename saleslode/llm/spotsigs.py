@@ -41,7 +41,18 @@ COMMON = (
     "pour que qui sa se ses son sont sur un une "
     "al como con del el ella era esta lo los las más no para pero por su sus sin una unos y ya"
 ).split()
-ANCHOR = "(?:" + "|".join(sorted(set(COMMON))) + ")"
+
+
+def one_of(words: set[str]) -> str:
+    """Pattern for the words that tries each beginning once; the longest word wins."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    ways = "|".join(c + (one_of(rest) if rest != {""} else "") for c, rest in sorted(heads.items()))
+    return f"(?:{ways})" + ("?+" if "" in words else "")
+
+
+ANCHOR = one_of(set(COMMON))
 SPOT = f"{ANCHOR} (?:(?!{ANCHOR} )[^ ]+ ){{1,{CHAIN}}}"
 
 
@@ -52,7 +63,7 @@ def plain_words(text: Column) -> Column:
 
 
 def hashed(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.xxhash64(v))))
+    return F.sort_array(F.array_distinct(F.transform(values, lambda v: F.xxhash64(v))))
 
 
 def signature_set(words: Column, text: Column) -> Column:
