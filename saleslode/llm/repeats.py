@@ -263,7 +263,7 @@ def removed(docs: DataFrame, unit: Unit, matcher: Matcher, shard: int, keep_text
     """
     described = stored(describe(docs, unit), "repeatrows")
     anchors = repeated_anchors(described)
-    texts = docs.select(*row_key(), F.col("text").cast("binary").alias("text")).distinct()
+    texts = docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
     held = stored(texts.join(anchors, ["k_id", "k_tx"]), "repeattexts")
     rows = stored(segments(held, unit), "repeatsegments")
     spans = matched(rows, unit, matcher, shard).unionByName(hot_windows(rows, unit))
@@ -293,6 +293,7 @@ def removed(docs: DataFrame, unit: Unit, matcher: Matcher, shard: int, keep_text
     schema = "k_id long, k_tx long, n_removed long, n_spans long, sha_kept string"
     changed = map_arrow(held.select("k_id", "k_tx", "text").join(lists, ["k_id", "k_tx"]), cut,
                         schema + (", kept binary" if keep_text else ""))
+    changed = changed.dropDuplicates(["k_id", "k_tx"])  # rows that repeat are alike
     joined = described.drop("anchors", "places").join(changed, ["k_id", "k_tx"], "left")
     more = ["kept"] if keep_text else []
     return joined.select("doc_id", "k_id", "k_tx", "n_units",
