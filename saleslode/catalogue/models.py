@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from saleslode import settings as fixed
 from saleslode.catalogue.gold import _daily, _sales
 from saleslode.catalogue.sqltext import oracle
-from saleslode.operators.reshape import hashed_sample
 from saleslode.plans import gold, ml, rfm
 from saleslode.session import cut_lineage
 
@@ -30,10 +29,7 @@ def _standardised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    sample = hashed_sample(
-        cut_lineage(ml.standardised(_rfm(spark, folder))), "customer_id", fixed.SEGMENT_SAMPLE
-    )
-    return ml.choose_clusters(sample)[1]
+    return ml.choose_clusters(cut_lineage(ml.standardised(_rfm(spark, folder))))[1]
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sums and means whose value does not depend on the order of addition.
 
 Double addition is not associative, so the last digits of a distributed sum change
-with partitioning and with task retries. Sums are therefore rounded below the
-precision of the inputs (cents times a rate have four decimals), and means divide
-that sum by the count.
+with partitioning and with task retries. Values are therefore summed as decimals of eight
+places (cents times a rate have four), which is exact in any order; the total is rounded
+below the precision of the inputs, and means divide it by the count. Values that are no
+decimal (not a number, infinite) count as missing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 MONEY_DIGITS = 4
 RATE_DIGITS = 6
+EXACT = "decimal(28,8)"
 
 
 def line_total() -> Column:
@@ -21,7 +23,7 @@ def line_total() -> Column:
 
 
 def stable_sum(column: Column, digits: int = MONEY_DIGITS) -> Column:
-    return F.round(F.sum(column), digits)
+    return F.round(F.sum(column.try_cast(EXACT)).cast("double"), digits)
 
 
 def mean_from(total: Column, count: Column, digits: int = MONEY_DIGITS) -> Column:

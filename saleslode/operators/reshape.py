@@ -34,7 +34,7 @@ def rename_present(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def checked_limit(limit: int) -> int:
-    """Serving reads accept 1 to 500 rows."""
+    """A served page has 1 to 500 rows; other callers ask ``top_rows`` for any number."""
     if not MIN_ROWS <= limit <= MAX_ROWS:
         raise ValueError(f"limit must lie in {MIN_ROWS}..{MAX_ROWS}, got {limit}")
     return limit
@@ -43,18 +43,20 @@ def checked_limit(limit: int) -> int:
 def top_rows(df: DataFrame, order: Column | Sequence[Column], limit: int) -> DataFrame:
     """First rows of an ordering; planned as a per-partition top-k and a small merge."""
     keys = list(order) if isinstance(order, (list, tuple)) else [order]
-    return df.orderBy(*keys).limit(checked_limit(limit))
+    if limit < 1:
+        raise ValueError(f"limit must be positive, got {limit}")
+    return df.orderBy(*keys).limit(limit)
 
 
 def hashed_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """At most ``size`` rows chosen by hashed key: random, yet the same on every run.
+    """``size`` rows, or all if there are fewer, chosen by hashed key: the same on every run.
 
-    A hash threshold first thins the rows, inside the scan, to about 1.25 times the
-    wanted number, so that the final ordering never sees more than that.
+    A hash threshold first thins the rows, inside the scan, to the wanted number and six
+    standard deviations more, so that the final ordering sees little more than it keeps.
     """
     spread = 1 << 31
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(spread))
-    share = F.coalesce(F.try_divide(F.lit(1.25 * size), total), F.lit(1.0))
+    share = F.coalesce(F.try_divide(F.lit(size + 6.0 * size ** 0.5 + 30.0), total), F.lit(1.0))
     thinned = df.withColumn("_slot", slot).where(F.col("_slot") < share * spread)
     return thinned.orderBy("_slot", key).limit(size).drop("_slot")

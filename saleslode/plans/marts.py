@@ -71,6 +71,7 @@ def build_models(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def publish_models(models: Mapping[str, DataFrame], schema: str = "analytics_marts") -> list[str]:
     """Staging and intermediate models as views, marts as tables."""
     published = []
+    next(iter(models.values())).sparkSession.sql(f"create schema if not exists {schema}")
     for name, df in models.items():
         if name in MARTS:
             df.write.mode("overwrite").saveAsTable(f"{schema}.{name}")

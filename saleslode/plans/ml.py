@@ -8,8 +8,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -91,8 +92,6 @@ def train_forecast(features: DataFrame, trees: int = TREES,
 # -- segmentation -------------------------------------------------------------------
 RESTARTS = 10
 CONCURRENT_FITS = 8
-# Rows whose distances to the whole sample are held in memory at once.
-DISTANCE_BLOCK = 200
 
 
 def standardised(rfm: DataFrame) -> DataFrame:
@@ -127,7 +126,10 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 def fit_kmeans(vectors: DataFrame, ks: Sequence[int],
                restarts: int = RESTARTS) -> dict[int, KMeansModel]:
-    """Lowest-cost model of several seeded starts for each k, fitted a few at a time."""
+    """Lowest-cost model of several seeded starts for each k, fitted a few at a time.
+
+    ``vectors`` should be persisted: all fits then read that one copy and make none.
+    """
     own_thread = inheritable_thread_target(vectors.sparkSession)
 
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
@@ -135,7 +137,7 @@ def fit_kmeans(vectors: DataFrame, ks: Sequence[int],
         model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(vectors)
         return k, model
 
-    tasks = [(k, fixed.SEED + r) for k in ks for r in range(restarts)]
+    tasks = [(k, fixed.SEED + start) for k in ks for start in range(restarts)]
     best: dict[int, KMeansModel] = {}
     with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
         for k, model in pool.map(own_thread(fit), tasks):
@@ -144,68 +146,39 @@ def fit_kmeans(vectors: DataFrame, ks: Sequence[int],
     return best
 
 
-def mean_silhouette(labelled: DataFrame, features: Sequence[str], cluster: str,
-                    limit: int = fixed.SEGMENT_SAMPLE) -> float | None:
-    """Mean Euclidean silhouette of at most ``limit`` rows.
+def mean_silhouette(labelled: DataFrame, cluster: str = "cluster",
+                    features: str = "scaled") -> float | None:
+    """Mean silhouette of all rows by squared Euclidean distance; NULL for one cluster.
 
-    The measure needs every distance within the sample. The sample is small by
-    definition, so its points are handed to all tasks as one array; each task reduces
-    the distances of its own rows to one mean per cluster, and no pairs are stored or
-    shuffled.
+    A row's mean squared distance to a cluster follows from the cluster's count, sum and
+    square sum, so this is one aggregate and one pass, whatever the number of rows.
     """
-    bounded = labelled.select(*features, cluster).limit(limit + 1).toPandas()
-    if len(bounded) > limit:
-        raise ValueError(f"silhouette is defined for a sample of at most {limit} rows")
-    points = bounded[list(features)].to_numpy(dtype=float)
-    labels = bounded[cluster].to_numpy()
-    clusters, sizes = np.unique(labels, return_counts=True)
-    if len(clusters) < 2:
+    if labelled.select(cluster).distinct().limit(2).count() < 2:
         return None
-
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        members = [points[labels == c] for c in clusters]
-        for batch in batches:
-            for start in range(0, len(batch), DISTANCE_BLOCK):
-                part = batch.iloc[start:start + DISTANCE_BLOCK]
-                rows = part[list(features)].to_numpy(dtype=float)
-                sums = np.stack(
-                    [np.linalg.norm(rows[:, None, :] - m[None, :, :], axis=2).sum(axis=1)
-                     for m in members], axis=1,
-                )
-                own = np.searchsorted(clusters, part[cluster].to_numpy())
-                at = np.arange(len(rows))
-                within = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[at, own] = np.inf
-                nearest = means.min(axis=1)
-                largest = np.maximum(np.maximum(nearest, within), 1e-300)
-                width = np.where(sizes[own] > 1, (nearest - within) / largest, 0.0)
-                yield pd.DataFrame({"width": width})
-
-    parallel = labelled.sparkSession.sparkContext.defaultParallelism
-    spread = labelled.select(*features, cluster).repartition(
-        max(1, min(parallel, len(points) // DISTANCE_BLOCK))
-    )
-    return spread.mapInPandas(widths, "width double").agg(F.avg("width")).first()[0]
+    return ClusteringEvaluator(featuresCol=features, predictionCol=cluster,
+                               metricName="silhouette").evaluate(labelled)
 
 
-def choose_clusters(sample: DataFrame, candidates: Sequence[int] = fixed.CLUSTER_RANGE,
-                    restarts: int = RESTARTS) -> tuple[int, DataFrame]:
+def choose_clusters(scaled: DataFrame, candidates: Sequence[int] = fixed.CLUSTER_RANGE,
+                    restarts: int = RESTARTS, sample: int | None = None) -> tuple[int, DataFrame]:
     """Number of clusters with the best silhouette, and the score of every candidate.
 
-    Starts from the default and changes only on a strictly better score.
+    All customers are scored; ``sample`` limits them to so many if it is given. Starts from
+    the default and changes only on a strictly better score.
     """
-    vectors = cut_lineage(_vectors(sample))
-    features = [f"z_{n}" for n in fixed.SEGMENT_FEATURES]
+    if sample is not None:
+        scaled = hashed_sample(scaled, "customer_id", sample)
+    vectors = _vectors(scaled).persist(StorageLevel.MEMORY_AND_DISK)
     models = fit_kmeans(vectors, candidates, restarts)
     best, best_score, scores = fixed.CLUSTER_DEFAULT, -1.0, []
     for k in candidates:
         model = models[k]
-        score = mean_silhouette(model.transform(vectors), features, "cluster")
+        score = mean_silhouette(model.transform(vectors))
         scores.append((k, float(model.summary.trainingCost), score))
         if score is not None and score > best_score:
             best, best_score = k, score
-    frame = sample.sparkSession.createDataFrame(
+    vectors.unpersist()
+    frame = scaled.sparkSession.createDataFrame(
         scores, "k int, inertia double, silhouette double"
     )
     return best, frame
@@ -254,18 +227,18 @@ def name_clusters(means: DataFrame) -> DataFrame:
     )
 
 
-def segment_customers(rfm: DataFrame, restarts: int = RESTARTS) -> tuple[DataFrame, DataFrame]:
+def segment_customers(rfm: DataFrame, restarts: int = RESTARTS,
+                      sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Customers with ``cluster`` and ``ml_segment``, and the candidate scores.
 
-    The number of clusters is chosen on a sample; the final model is fitted on every
-    customer. Six centroids at most are broadcast to name the clusters.
+    Six centroids at most are broadcast to name the clusters.
     """
     scaled = cut_lineage(standardised(rfm))
-    chosen, scores = choose_clusters(
-        hashed_sample(scaled, "customer_id", fixed.SEGMENT_SAMPLE), restarts=restarts
-    )
-    vectors = _vectors(scaled)
-    clustered = fit_kmeans(vectors, [chosen], restarts)[chosen].transform(vectors)
+    chosen, scores = choose_clusters(scaled, restarts=restarts, sample=sample)
+    vectors = _vectors(scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    model = fit_kmeans(vectors, [chosen], restarts)[chosen]
+    clustered = model.transform(_vectors(scaled))
+    vectors.unpersist()
     kept = clustered.select(*rfm.columns, "cluster")
     names = name_clusters(centroids(kept)).select("cluster", "ml_segment")
     return kept.join(F.broadcast(names), "cluster"), scores

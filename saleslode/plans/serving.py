@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.functions import label_or_self, line_total, stable_sum, title_words
-from saleslode.operators.reshape import melt, top_rows
+from saleslode.operators.reshape import checked_limit, melt, top_rows
 from saleslode.settings import Layout
 from saleslode.sources import files, lake, reports
 
@@ -26,11 +26,11 @@ ZSCORE_SUFFIX = "_zscore_anomaly"
 def latest_sales(sales: DataFrame, period: str, limit: int) -> DataFrame:
     """Newest days or months, newest first."""
     points = sales.select(F.col(period).alias("period"), *SALES_POINT)
-    return top_rows(points, F.col("period").desc(), limit)
+    return top_rows(points, F.col("period").desc(), checked_limit(limit))
 
 
 def top_categories(categories: DataFrame, limit: int = 10) -> DataFrame:
-    return top_rows(categories, [F.col("gmv").desc(), F.col("category")], limit)
+    return top_rows(categories, [F.col("gmv").desc(), F.col("category")], checked_limit(limit))
 
 
 def category_table(categories: DataFrame, limit: int = 15) -> DataFrame:
@@ -55,7 +55,7 @@ def anomaly_days(compared: DataFrame, limit: int = 50, only_overlap: bool = Fals
         "date", *fixed.ANOMALY_METRICS, "isolation_forest_anomaly", "any_zscore_anomaly",
         "anomaly_method_overlap",
     )
-    return top_rows(days, F.col("date").desc(), limit)
+    return top_rows(days, F.col("date").desc(), checked_limit(limit))
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:

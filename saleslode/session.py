@@ -43,6 +43,7 @@ def local_session(app: str = "saleslode", cores: str = "8", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -53,15 +54,18 @@ def local_session(app: str = "saleslode", cores: str = "8", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is chosen and remembered for the session.
+    Only on one machine, as in tests, may that setting be absent: a temporary folder is then
+    chosen and remembered for the session. Elsewhere its absence is an error.
     """
+    master = spark.sparkContext.master
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_SETTING
     )
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="saleslode-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

@@ -176,7 +176,6 @@ FORECAST_FEATURES = (
 TRAIN_SHARE = 0.8
 CONTAMINATION = 0.03
 SEGMENT_FEATURES = ("recency_days", "frequency", "monetary")
-SEGMENT_SAMPLE = 10_000
 CLUSTER_RANGE = (2, 3, 4, 5, 6)
 CLUSTER_DEFAULT = 3
 SEED = 42

@@ -75,7 +75,6 @@ def land_statistics(folder: Path) -> dict[str, str]:
 
 def test_one_file_is_loaded_and_the_others_listed(spark, layout, tmp_path):
     manifest = bronze.ingest_sales_csvs(spark, land_sales(tmp_path, ["customers"]), layout)
-    assert (manifest.files_written, manifest.records_read) == (1, 2)
     assert len(manifest.missing_references) == 8
     df = lake.read_latest(spark, f"{layout.bronze}/olist/customers")
     rows = {r["customer_id"]: r for r in df.collect()}
@@ -198,7 +197,6 @@ def test_landing_to_marts(spark, layout, tmp_path):
     warehouse.check_constraints(tables)
     counts = writers.save_tables(tables, "star_test")
     assert counts["star_test.fact_sales_daily"] == 3 and len(counts) == 9
-    spark.sql("create schema if not exists mart_test")
     models = marts.build_models(marts.source_tables(spark, "star_test"))
     assert len(marts.publish_models(models, "mart_test")) == 10
     assert spark.table("mart_test.mart_sales").count() == 2

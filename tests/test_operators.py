@@ -273,7 +273,8 @@ def test_limits_are_checked(spark):
     with pytest.raises(ValueError, match="limit"):
         reshape.top_rows(df, F.col("id"), 0)
     with pytest.raises(ValueError, match="limit"):
-        reshape.top_rows(df, F.col("id"), 501)
+        reshape.checked_limit(501)
+    assert reshape.top_rows(spark.range(900), F.col("id"), 501).count() == 501
     assert [r["id"] for r in reshape.top_rows(df, F.col("id").desc(), 2).collect()] == [4, 3]
 
 
@@ -283,3 +284,6 @@ def test_sample_is_repeatable_and_bounded(spark):
     again = {r["k"] for r in reshape.hashed_sample(df.repartition(7), "k", 300).collect()}
     assert first == again and len(first) == 300
     assert reshape.hashed_sample(df.where("k < 20"), "k", 300).count() == 20
+    for size in (1, 10, 501):
+        for seed in range(8):
+            assert reshape.hashed_sample(df, "k", size, seed).count() == size

@@ -371,7 +371,7 @@ def test_silhouette_equals_the_definition(spark):
     labels[-1] = 3
     widths = []
     for i in range(len(points)):
-        d = np.linalg.norm(points - points[i], axis=1)
+        d = ((points - points[i]) ** 2).sum(axis=1)
         own = (labels == labels[i]).sum()
         if own == 1:
             widths.append(0.0)
@@ -379,10 +379,11 @@ def test_silhouette_equals_the_definition(spark):
         a = d[labels == labels[i]].sum() / (own - 1)
         b = min(d[labels == c].mean() for c in set(labels.tolist()) - {labels[i]})
         widths.append((b - a) / max(a, b))
-    df = spark.createDataFrame(
+    df = ml._vectors(spark.createDataFrame(
         [(*map(float, p), int(c)) for p, c in zip(points, labels, strict=True)],
-        "x double, y double, z double, cluster int")
-    assert ml.mean_silhouette(df, ["x", "y", "z"], "cluster") == pytest.approx(np.mean(widths))
+        ", ".join(f"z_{n} double" for n in ml.fixed.SEGMENT_FEATURES) + ", cluster int"))
+    assert ml.mean_silhouette(df) == pytest.approx(np.mean(widths))
+    assert ml.mean_silhouette(df.where("cluster = 1")) is None
 
 
 def test_segmentation_finds_separated_groups(spark):
