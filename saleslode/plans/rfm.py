@@ -23,8 +23,9 @@ from saleslode.operators.ranking import (
 )
 from saleslode.session import cut_lineage
 
-# Hash digits that split one frequency's customers into at most 16^4 counted cells.
-TIE_DIGITS = 4
+# Hash digits that split one frequency's customers into at most 16^4 counted cells, and
+# each of those into as many.
+TIE_DIGITS = (4, 8)
 
 
 def order_totals(sales: DataFrame) -> DataFrame:
@@ -68,8 +69,11 @@ def value_edges(df: DataFrame, *columns: str) -> dict[str, list[float]]:
 def _tie_key() -> list[Column]:
     """Order of customers within one frequency: by hashed id."""
     hashed = F.md5(F.col("customer_id").cast("string"))
-    return [F.col("frequency"), F.substring(hashed, 1, TIE_DIGITS).alias("prefix"),
-            hashed.alias("tie")]
+    prefixes = [F.substring(hashed, 1, n).alias(f"prefix_{n}") for n in TIE_DIGITS]
+    return [F.col("frequency"), *prefixes, hashed.alias("tie")]
+
+
+TIE_LEVELS = ("frequency", *(f"prefix_{n}" for n in TIE_DIGITS), "tie")
 
 
 def frequency_edges(df: DataFrame) -> list[tuple]:
@@ -80,7 +84,7 @@ def frequency_edges(df: DataFrame) -> list[tuple]:
     stays small even where nearly all customers share one frequency.
     """
     edges = rank_bin_edges(
-        df.select(*_tie_key()), ["frequency", "prefix", "tie"], fixed.RFM_BINS
+        df.select(*_tie_key()), TIE_LEVELS, fixed.RFM_BINS
     ).collect()
     return [tuple(key) for row in edges for key in row["edges"]]
 
@@ -92,8 +96,8 @@ def value_score(column: str, edges: dict[str, list[float]]) -> Column:
 
 def frequency_score(edges: list[tuple]) -> Column:
     """1..5 by equal-frequency bins of a first-come rank."""
-    keys = [F.struct(F.lit(f).alias("frequency"), F.lit(p).alias("prefix"), F.lit(t).alias("tie"))
-            for f, p, t in edges]
+    keys = [F.struct(*[F.lit(part).alias(name) for name, part in zip(TIE_LEVELS, key, strict=True)])
+            for key in edges]
     return bin_by_edges(F.struct(*_tie_key()), keys)
 
 

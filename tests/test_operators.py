@@ -287,3 +287,26 @@ def test_sample_is_repeatable_and_bounded(spark):
     for size in (1, 10, 501):
         for seed in range(8):
             assert reshape.hashed_sample(df, "k", size, seed).count() == size
+
+
+def test_quantiles_of_values_close_together(spark):
+    """300,000 distinct values within one coarse cell, and 95 % of rows on one value."""
+    from saleslode.operators import ranking
+
+    df = spark.range(300_000).select((F.col("id") + 1e9).cast("double").alias("v"))
+    assert ranking.exact_quantiles(df, "v", ranking.QUARTILES).first()["quantiles"] == [
+        1e9 + 74_999.75, 1e9 + 224_999.25]
+    fine = df.groupBy(ranking.magnitude_cell(F.col("v"), ranking.FINE_CELLS)).count()
+    assert fine.agg(F.max("count")).first()[0] < 1_000
+    same = spark.range(1_000).select(F.when(F.col("id") < 950, 7.0).otherwise(F.col("id"))
+                                     .cast("double").alias("v"))
+    assert ranking.exact_quantiles(same, "v", ranking.QUARTILES).first()["quantiles"] == [7.0, 7.0]
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    from saleslode.functions.measures import stable_sum
+
+    df = spark.range(200_000).select((F.rand(3) * 1e9).alias("v"))
+    df = spark.createDataFrame(df.toPandas())
+    totals = {df.repartition(n).agg(stable_sum(F.col("v"))).first()[0] for n in (3, 17)}
+    assert len(totals) == 1
