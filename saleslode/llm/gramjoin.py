@@ -5,8 +5,9 @@ A document is the set of its distinct word shingles. Two sets link when
 ``(100 - t) * (|A| + |B|) / (100 + t)``. Shingles are XOR-ed into a bit sketch; each
 shingle flips one bit, so the Hamming distance of two sketches never exceeds the symmetric
 difference. Sketches of a size band (sizes up to a power of two) have about a third more
-64-bit words than the largest difference allowed in it, so linked sets agree on some words:
-words are the join keys. A set near the upper end of its band is sketched for the next band
+words than the largest difference allowed in it, so linked sets agree on some words: words
+are the join keys. A word is very wide and has few bits set, so it is held as the XOR of a
+64-bit hash of each bit; different words agree by chance only once in 2**64. A set near the upper end of its band is sketched for the next band
 too. Words with no or one bit are shared by chance, above all where shingles are common. A
 set leaves them out as long as they are fewer than the words it must share with any
 partner; as shared words are equally poor in both sets, some shared word stays.
@@ -108,28 +109,38 @@ def bands(size: int, threshold: int) -> list[tuple[int, int, int]]:
 
 
 def sketch(shingles: np.ndarray, words: int, seed: int) -> np.ndarray:
-    """Parity sketch of ``words`` 64-bit words."""
+    """Parity sketch of ``words`` 64-bit words, to bound distances within a tile."""
     place = mix(shingles ^ _U(seed)) % _U(64 * words)
     parity = (np.bincount(place.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view(np.uint64)
 
 
+def wide_sketch(shingles: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(content, bits set) of each word of a parity sketch of ``words`` wide words."""
+    place = (mix(shingles ^ _U(1)) % _U(words)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.diff(place[order], prepend=-1))
+    content = np.zeros(words, np.uint64)
+    bits = mix(shingles ^ _U(0x8CB92BA72F3D8DD7))[order]
+    content[place[order[first]]] = np.bitwise_xor.reduceat(bits, first)
+    return content, np.bincount(place, minlength=words)
+
+
 def poorest(bits: np.ndarray, difference: int) -> int:
     """Number of bits up to which words are left out: one, none, or no word at all (-1)."""
     shared = len(bits) - difference
-    none, one = np.bincount(np.minimum(np.bitwise_count(bits), 2), minlength=3)[:2].tolist()
+    none, one = np.bincount(np.minimum(bits, 2), minlength=3)[:2].tolist()
     return 1 if none + one <= 2 * shared // 3 else 0 if none < shared else -1
 
 
-def word_keys(shingles: np.ndarray, threshold: int, seed: int) -> np.ndarray:
+def word_keys(shingles: np.ndarray, threshold: int) -> np.ndarray:
     """Join keys of a set: band (last six bits), place and content of its sketch words."""
     keys = []
     for band, words, difference in bands(len(shingles), threshold):
-        bits = sketch(shingles, words, seed)
-        place = np.arange(words, dtype=np.uint64) | _U((band << 40) | (seed << 48))
-        rich = np.bitwise_count(bits).astype(int) > poorest(bits, difference)
-        bits, place = bits[rich], place[rich]
-        keys.append(mix(bits ^ mix(place)) & ~_U(63) | _U(band))
+        content, bits = wide_sketch(shingles, words)
+        place = np.arange(words, dtype=np.uint64) | _U(band << 40)
+        rich = bits > poorest(bits, difference)
+        keys.append(mix(content[rich] ^ mix(place[rich])) & ~_U(63) | _U(band))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -138,7 +149,7 @@ def poor_words(shingles: np.ndarray, threshold: int) -> list[int]:
     own = len(shingles).bit_length() - 1
     counts = [0, 0]
     for band, words, _ in bands(len(shingles), threshold):
-        counts[band - own] = int((np.bitwise_count(sketch(shingles, words, 1)) < 2).sum())
+        counts[band - own] = int((wide_sketch(shingles, words)[1] < 2).sum())
     return counts
 
 
@@ -176,7 +187,7 @@ def sketch_words(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             if digest in seen:
                 continue
             seen.add(digest)
-            own = word_keys(shingles, threshold, 1)
+            own = word_keys(shingles, threshold)
             keys.append(own)
             ids.append(np.full(len(own), digest, np.int64))
         if keys:
