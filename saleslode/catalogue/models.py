@@ -51,7 +51,57 @@ def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _model_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of both trained forecasts, whatever their errors are."""
+    return ml.train_forecast(_features(spark, folder)).agg(
+        F.array_join(F.sort_array(F.collect_list("model_name")), ",").alias("models"),
+        F.min("train_rows").alias("train_rows"), F.max("test_rows").alias("test_rows"),
+        F.bool_and((F.col("mae") > 0) & (F.col("mae") <= F.col("rmse"))
+                   & (F.col("rmse") < float("inf")) & (F.col("mape") >= 0)).alias("sound"),
+    )
+
+
+def _score_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates, their inertia (falling) and silhouettes (between -1 and 1)."""
+    rows = F.sort_array(F.collect_list(F.struct("k", "inertia")))
+    return _scores(spark, folder).agg(
+        F.array_join(F.sort_array(F.collect_list("k")), ",").alias("candidates"),
+        F.forall(F.sequence(F.lit(0), F.size(rows) - 2),
+                 lambda i: rows[i]["inertia"] > rows[i + 1]["inertia"]).alias("falling"),
+        F.bool_and(F.col("silhouette").between(-1.0, 1.0)).alias("in_range"),
+    )
+
+
+def _segment_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer once, two to six clusters, one name per cluster, all features kept."""
+    found = _segments(spark, folder)
+    return found.agg(
+        F.count("*").alias("customers"), F.countDistinct("customer_id").alias("distinct"),
+        F.countDistinct("cluster").between(2, 6).alias("clusters_in_range"),
+        (F.countDistinct("cluster", "ml_segment") == F.countDistinct("cluster"))
+        .alias("one_name"),
+        F.round(F.sum(F.col("monetary").cast("decimal(28,8)")).cast("double"), 2)
+        .alias("monetary"),
+    )
+
+
+def _method_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Z-score days exactly, the forest's share of days, and overlap as conjunction."""
+    share = F.count_if("isolation_forest_anomaly")
+    wanted = F.count("*") * fixed.CONTAMINATION
+    both = F.col("isolation_forest_anomaly") & F.col("any_zscore_anomaly")
+    return _anomalies(spark, folder).agg(
+        F.count("*").alias("days"), F.count_if("any_zscore_anomaly").alias("zscore_days"),
+        share.between(F.floor(wanted), F.ceil(wanted)).alias("forest_share"),
+        F.bool_and(both == F.col("anomaly_method_overlap")).alias("overlap_is_both"),
+    )
+
+
 QUERIES = {
+    "m1_model_facts": _model_facts,
+    "m4_score_facts": _score_facts,
+    "m5_segment_facts": _segment_facts,
+    "m7_method_facts": _method_facts,
     "m1_forecast_rows": _split_rows,
     "m1_forecast_models": lambda s, d: ml.train_forecast(_features(s, d)),
     "m3_standardised": _standardised,
@@ -75,6 +125,24 @@ _CENTROIDS = """
     from g_rfm_base group by 1"""
 
 ORACLES = {
+    "m1_model_facts": oracle("""
+        select 'linear_regression,random_forest' as models,
+               cast(floor(count(*) * 0.8) as bigint) as train_rows,
+               cast(count(*) - floor(count(*) * 0.8) as bigint) as test_rows, true as sound
+        from g_ml_features where sales_lag_7 is not null and sales_lag_1 is not null"""),
+    "m4_score_facts": oracle("""
+        select '2,3,4,5,6' as candidates, count(*) > 6 as falling, count(*) > 6 as in_range
+        from g_rfm_base"""),
+    "m5_segment_facts": oracle("""
+        select count(*) as customers, count(distinct customer_id) as distinct,
+               true as clusters_in_range, true as one_name, round(sum(monetary), 2) as monetary
+        from g_rfm_base"""),
+    "m7_method_facts": oracle("""
+        select count(*) as days,
+               count(*) filter (where gmv_zscore_anomaly or orders_zscore_anomaly
+                                or average_ticket_zscore_anomaly
+                                or freight_value_zscore_anomaly) as zscore_days,
+               true as forest_share, true as overlap_is_both from g_anomalies"""),
     "m1_forecast_rows": oracle("""
         select date, cast(isodow(date) - 1 as int) as day_of_week, cast(month(date) as int) as month,
                sales_lag_7, cast(row_number() over (order by date) - 1 as int) as row_index,

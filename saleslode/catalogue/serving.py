@@ -126,6 +126,8 @@ QUERIES = {
     "p13_failed_checks": lambda s, d: monitoring.attention(_described(s, d)),
     "o10_check_audit": lambda s, d: monitoring.audit(_described(s, d)),
     "q22_overall_status": lambda s, d: monitoring.overall_status(_health_rows(s, d)),
+    "f20_age_facts": lambda s, d: monitoring.dataset_age(ShippedTables(s, d).raw("orders"), _now())
+    .agg(F.count("*").alias("rows"), F.bool_and(F.col("age_hours") >= 0).alias("past")),
     "f20_file_age": lambda s, d: monitoring.dataset_age(
         ShippedTables(s, d).raw("orders"), _now()
     ),
@@ -272,6 +274,7 @@ ORACLES = {
     "o9_best_model": oracle(
         "select model_name as best_model from n order by mae, position limit 1", n=_NAIVE
     ),
+    "f20_age_facts": "select cast(1 as bigint) as rows, count(*) > 0 as past from orders",
     "o11_hashed_sample": "select least(count(*), 1000) as sampled,"
                          " least(count(*), 1000) as \"distinct\" from customer",
 }
