@@ -10,7 +10,7 @@ from saleslode.catalogue.sqltext import oracle
 from saleslode.functions import day_distance, line_total, stable_sum
 from saleslode.operators import series
 from saleslode.operators.reshape import pivot_mean
-from saleslode.plans import gold, rfm
+from saleslode.plans import build, gold, rfm
 from saleslode.session import cut_lineage
 from saleslode.sources.shipped import ShippedTables
 
@@ -87,6 +87,17 @@ def shared_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def whole_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All 13 datasets, as a layer build makes them."""
+    t = ShippedTables(spark, folder)
+    sources = {
+        "orders": cut_lineage(t.delivered_orders()), "order_items": t.order_items(),
+        "order_reviews": t.order_reviews(), "customers": t.customers(), "sellers": t.sellers(),
+        "products": t.products(), "product_category_name_translation": t.translation(),
+    }
+    return build.gold_frames(sources, t.series(), t.statistics())
+
+
 # -- parts of the datasets as queries of their own ----------------------------------
 def _dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = ShippedTables(spark, folder).orders()
