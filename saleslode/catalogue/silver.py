@@ -194,12 +194,11 @@ def _duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.profile_columns(ShippedTables(spark, folder).order_reviews()).drop("dtype")
+    return profile.profile_columns(ShippedTables(spark, folder).order_reviews())
 
 
 def _profile_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    t = ShippedTables(spark, folder)
-    items = t.order_items().select("order_id", "order_item_id")
+    items = ShippedTables(spark, folder).order_items()
     return profile.profile_summary(items).withColumn("columns", F.col("columns").cast("bigint"))
 
 
@@ -211,6 +210,13 @@ def _row_counts(spark: SparkSession, folder: str) -> DataFrame:
         "order_reviews": (raw_reviews(spark, folder), "olist"),
         "ipca": (raw_statistics(spark, folder), "ibge"),
     }
+    t = ShippedTables(spark, folder)
+    raws |= {n: (t.one_series(n), "bcb") for n in ("selic_target", "usd_brl", "ibc_br")}
+    raws |= {
+        "order_payments": (t.order_payments(), "olist"), "products": (t.products(), "olist"),
+        "customers": (t.customers(), "olist"), "sellers": (t.sellers(), "olist"),
+        "product_category_name_translation": (t.translation(), "olist"),
+    }
     counts = None
     for dataset, (raw, source) in raws.items():
         typed, _ = silver.transform(source, dataset, raw)
@@ -238,8 +244,8 @@ QUERIES = {
     "q9_profile_summary": _profile_sizes,
 }
 
-_REVIEW_COLUMNS = ("review_id", "order_id", "review_score", "review_comment_message",
-                   "review_creation_date")
+_REVIEW_COLUMNS = {"review_id": "bigint", "order_id": "bigint", "review_score": "bigint",
+                   "review_comment_message": "string", "review_creation_date": "timestamp_ntz"}
 
 ORACLES = {
     "s3_series_scan": """
@@ -303,26 +309,34 @@ ORACLES = {
                          as is_duplicate_key
               from lineitem) x
         group by 1, 2, 3, 4, 5, 6""",
-    "t6_row_counts": """
+    "t6_row_counts": oracle("""
         select 'order_items' as dataset, count(*) as rows_input, count(*) as rows_output
         from lineitem
         union all select 'orders', count(*), count(*) from orders
         union all select 'order_reviews', count(*), count(*) from documents
-        union all select 'ipca', count(*) + 1, count(*) from lineitem""",
+        union all select 'ipca', count(*) + 1, count(*) from lineitem
+        union all select 'order_payments', count(*), count(*) from orders
+        union all select 'products', count(*), count(*) from part
+        union all select 'customers', count(*), count(*) from customer
+        union all select 'sellers', count(*), count(*) from supplier
+        union all select 'product_category_name_translation', count(*), count(*)
+        from lg_translation
+        union all select indicator_name, count(*), count(*) from lg_series
+        group by indicator_name"""),
     "w9_duplicate_keys": oracle("""
         select order_id, order_item_id,
                count(*) over (partition by order_id, order_item_id) > 1 as is_duplicate_key
         from lg_items"""),
     "q9_profile_columns": oracle(
         " union all ".join(
-            f"select '{c}' as \"column\", count(*) - count({c}) as null_count,"
+            f"select '{c}' as \"column\", '{kind}' as dtype, count(*) - count({c}) as null_count,"
             f" (count(*) - count({c})) / cast(count(*) as double) as null_ratio,"
             f" count(distinct {c}) as unique_count from lg_reviews"
-            for c in _REVIEW_COLUMNS
+            for c, kind in _REVIEW_COLUMNS.items()
         )
     ),
     "q9_profile_summary": oracle("""
-        select cast(sum(n) as bigint) as rows, cast(2 as bigint) as columns,
+        select cast(sum(n) as bigint) as rows, cast(7 as bigint) as columns,
                cast(sum(n - 1) as bigint) as duplicate_rows
-        from (select count(*) as n from lg_items group by order_id, order_item_id) x"""),
+        from (select *, count(*) as n from lg_items group by all) x"""),
 }

@@ -52,8 +52,12 @@ def error_metrics(predictions: DataFrame, target: str, predicted: str,
 
 
 def train_forecast(features: DataFrame, trees: int = TREES,
-                   depth: int = TREE_DEPTH) -> DataFrame:
-    """Linear regression against a random forest: one metric row per model."""
+                   depth: int = TREE_DEPTH, candidates: int = SPLIT_CANDIDATES) -> DataFrame:
+    """Linear regression against a random forest: one metric row per model.
+
+    A split is chosen among ``candidates`` quantiles of a feature; as many as there are
+    training days make splits exact.
+    """
     rows = forecast_rows(features).select("date", "gmv", "is_train", *fixed.FORECAST_FEATURES)
     assembled = cut_lineage(
         VectorAssembler(inputCols=list(fixed.FORECAST_FEATURES), outputCol="features")
@@ -67,7 +71,7 @@ def train_forecast(features: DataFrame, trees: int = TREES,
         ),
         "random_forest": RandomForestRegressor(
             labelCol="gmv", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
-            maxBins=SPLIT_CANDIDATES, seed=fixed.SEED, predictionCol="predicted",
+            maxBins=candidates, seed=fixed.SEED, predictionCol="predicted",
             cacheNodeIds=True,
         ),
     }
@@ -377,9 +381,12 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str],
     return df.select(key, *names).mapInPandas(score, f"{key} {kind}, score double")
 
 
-def compare_anomaly_methods(metrics: DataFrame) -> DataFrame:
+def compare_anomaly_methods(metrics: DataFrame, trees: int = FOREST_TREES,
+                            size: int = SUBSAMPLE) -> DataFrame:
     """Daily metrics with isolation-forest flag, any z-score flag and their overlap.
 
+    ``size`` rows per tree are the algorithm's own definition; all days are scored.
+
     The share ``CONTAMINATION`` of days with the highest scores is flagged. The series
     holds one row per day, so its threshold percentile is bounded by the calendar.
     """
@@ -388,7 +395,7 @@ def compare_anomaly_methods(metrics: DataFrame) -> DataFrame:
     filled = known.select(
         "date", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
     )
-    scores = cut_lineage(isolation_scores(filled, "date", names))
+    scores = cut_lineage(isolation_scores(filled, "date", names, trees, size))
     threshold = scores.agg(F.percentile("score", F.lit(1.0 - fixed.CONTAMINATION))).scalar()
     flags = scores.select("date", (F.col("score") > threshold).alias("isolation_forest_anomaly"))
     joined = known.join(flags, "date", "left")
