@@ -9,7 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("gold", "ranks", "columns", "silver", "quality", "analytics", "warehouse",
-           "serving", "models", "lake")
+           "serving", "models", "lake", "published")
 
 
 def _merged(attribute: str) -> dict:
