@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from saleslode.session import cut_lineage, scratch_path
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 NO_ID = -(1 << 63)
 _U = np.uint64
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)

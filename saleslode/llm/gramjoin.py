@@ -63,6 +63,7 @@ from .graph import connected_components
 WORDS, THRESHOLD = 4, 85
 SMALL = 10
 HUGE = 1024
+FLUSH = 100_000  # keys that a task holds before it hands them on
 MEET = 4
 TILE = 2048
 TILE_WORDS = 64
@@ -179,7 +180,7 @@ def sketch_words(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """(key, set_id); equal sets of a batch give their keys once."""
 
     def run(batch):
-        seen, keys, ids = set(), [], []
+        seen, keys, ids, size = set(), [], [], 0
         for _, shingles in shingle_sets(batch["text"], words):
             if not len(shingles):
                 continue
@@ -190,6 +191,10 @@ def sketch_words(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             own = word_keys(shingles, threshold)
             keys.append(own)
             ids.append(np.full(len(own), digest, np.int64))
+            size += len(own)
+            if size >= FLUSH:
+                yield {"key": signed(np.concatenate(keys)), "set_id": np.concatenate(ids)}
+                keys, ids, size = [], [], 0
         if keys:
             yield {"key": signed(np.concatenate(keys)), "set_id": np.concatenate(ids)}
 

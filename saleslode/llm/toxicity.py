@@ -46,7 +46,7 @@ THRESHOLD = 0.3
 FUZZY = 5
 WINDOW = 4
 STEMS = range(3, 9)
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 
 # Plain insults, words of reporting and words of address.
 INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid",
