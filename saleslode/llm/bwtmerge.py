@@ -28,7 +28,7 @@ from .repeats import Unit, removed
 
 WINDOW, GRAM, STRIDE = 400, 32, 100
 DEPTH = WINDOW // STRIDE
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 PARTS = 2
 
 
