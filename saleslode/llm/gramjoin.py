@@ -490,13 +490,6 @@ def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
                          .otherwise(F.col("component_id")).alias("component_id"))
 
 
-def surplus(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Keys (k_id, k_tx) of the documents that are not the smallest of their component."""
-    return components(docs, words, threshold).where(
-        F.col("component_id").isNotNull() & (F.col("k_id") != F.col("component_id"))
-        & (F.col("k_id") != NO_ID)).select("k_id", "k_tx")
-
-
 def op1_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     return components(docs).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, gramjoin, kkpacking, pseudonyms, toxicity
-from .common import NO_ID, id_and_text, row_key, stored, table
+from .common import NO_ID, id_and_text, kept, row_key, stored, table
 
 STAGE_WORDS, STAGE_THRESHOLD = 5, 80
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose (id, text) key is not among the rejected ``k_id``, ``k_tx``."""
+def without(docs: DataFrame, rejected: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Documents whose (id, text) key is not among the rejected ``k_id``, ``k_tx``.
+
+    With ``how="left_semi"`` those whose key is.
+    """
     names = docs.columns
     rejected = rejected.select("k_id", "k_tx").distinct()
     inner = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row_"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"),
                         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
                         .alias("k_tx"))
-    return inner.join(rejected, ["k_id", "k_tx"], "left_anti").select("row_.*")
+    return inner.join(rejected, ["k_id", "k_tx"], how).select("row_.*")
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +36,22 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies: five words, 0.8 or more.
 
-    Rows that repeat a document id stay or go together; NULL ids stay.
+    Of several rows with that id one stays, that of the smallest text hash; NULL ids stay, and
+    so do documents without words.
     """
-    return without(docs, gramjoin.surplus(id_and_text(docs), STAGE_WORDS, STAGE_THRESHOLD))
+    found = kept(gramjoin.components(id_and_text(docs), STAGE_WORDS, STAGE_THRESHOLD)
+                 .where(F.col("component_id").isNotNull() & (F.col("n_shingles") > 0)
+                        & (F.col("k_id") != NO_ID)).select("k_id", "k_tx", "component_id"))
+    stays = found.where("k_id = component_id").groupBy("component_id").agg(
+        F.min("k_tx").alias("first"))
+    judged = found.join(stays, "component_id").withColumn(
+        "stays", (F.col("k_id") == F.col("component_id")) & (F.col("k_tx") == F.col("first")))
+    left = without(docs, judged.where("not stays"))
+    twice = kept(judged.where("stays").groupBy("k_id", "k_tx").count().where("count > 1"))
+    if twice.isEmpty():
+        return left
+    return without(left, twice).unionByName(
+        without(left, twice, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
