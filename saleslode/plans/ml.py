@@ -288,8 +288,7 @@ def _tree_samples(df: DataFrame, key: str, trees: int, size: int, seed: int) ->
     )
     picked = (
         df.withColumn("_share", share)
-        .withColumn("_d", F.explode(drawn))
-        .where(F.col("_d.slot") < F.col("_share"))
+        .withColumn("_d", F.explode(F.filter(drawn, lambda d: d["slot"] < F.col("_share"))))
     )
     order = Window.partitionBy("tree").orderBy("slot", key)
     return (

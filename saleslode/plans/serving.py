@@ -79,21 +79,24 @@ def segment_categories(segments: DataFrame, orders: DataFrame, items: DataFrame,
                        categorised: DataFrame) -> DataFrame:
     """Sales per (segment, category).
 
-    Orders get their segment first, so the item side joins once on the order and once
-    on the product; all joins are plain equi-joins the runtime may broadcast or split.
+    Items get their category and are summed per order and category, with map-side combine;
+    only these sums meet the segmented orders, so a hot order or bestseller is a few rows.
     """
     owned = orders.select("order_id", "customer_id").join(
         segments.select("customer_id", "ml_segment"), "customer_id"
     )
+    known = F.coalesce("category", F.lit(fixed.UNKNOWN_CATEGORY)).alias("category")
     sold = items.select("order_id", "product_id", "price", "freight_value").join(
-        owned.select("order_id", "ml_segment"), "order_id"
+        categorised, "product_id", "left"
+    ).groupBy("order_id", known).agg(
+        stable_sum(line_total()).alias("gmv"), F.count(F.lit(1)).alias("items")
     )
-    return sold.join(categorised, "product_id", "left").groupBy(
-        "ml_segment", F.coalesce("category", F.lit(fixed.UNKNOWN_CATEGORY)).alias("category")
+    return sold.join(owned.select("order_id", "ml_segment"), "order_id").groupBy(
+        "ml_segment", "category"
     ).agg(
-        stable_sum(line_total()).alias("gmv"),
+        stable_sum(F.col("gmv")).alias("gmv"),
         F.countDistinct("order_id").alias("orders"),
-        F.count(F.lit(1)).alias("items"),
+        F.sum("items").alias("items"),
     )
 
 
