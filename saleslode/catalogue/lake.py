@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
-from saleslode.catalogue.silver import raw_items, raw_orders, raw_series, raw_statistics
+from saleslode.catalogue.silver import (
+    raw_items,
+    raw_orders,
+    raw_reviews,
+    raw_series,
+    raw_statistics,
+)
 from saleslode.catalogue.sqltext import oracle
 from saleslode.plans import bronze, build, monitoring, serving, silver
 from saleslode.session import scratch_path
@@ -28,17 +34,20 @@ def _land_csv(df: DataFrame, path: str) -> None:
 
 
 def _landed_sales(spark: SparkSession, folder: str, base: str) -> str:
-    """Orders, items and products as CSV under their expected names."""
+    """All nine files as CSV under their expected names; reviews span several lines."""
     t = ShippedTables(spark, folder)
     tables = {"orders": raw_orders(spark, folder), "order_items": raw_items(spark, folder),
-              "products": t.products()}
+              "order_reviews": raw_reviews(spark, folder), "products": t.products(),
+              "customers": t.customers(), "order_payments": t.order_payments(),
+              "sellers": t.sellers(), "geolocation": t.geolocation(),
+              "product_category_name_translation": t.translation()}
     for name, df in tables.items():
         _land_csv(df, f"{base}/{fixed.EXPECTED_FILES[name]}")
     return base
 
 
 def _csv_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest rows of landing three of the nine expected files."""
+    """Manifest rows of landing the nine expected files."""
     layout = _layout(spark, "csv")
     source = _landed_sales(spark, folder, scratch_path(spark, "landing"))
     manifest = bronze.ingest_sales_csvs(spark, source, layout)
@@ -240,10 +249,17 @@ ORACLES = {
         with t as (select 'order_items' as name, count(*) as rows_read,
                           cast(11 as bigint) as columns_read from lineitem
                    union all select 'orders', count(*), cast(10 as bigint) from orders
-                   union all select 'products', count(*), cast(13 as bigint) from part)
-        select *, cast(3 as bigint) as files_written,
+                   union all select 'products', count(*), cast(13 as bigint) from part
+                   union all select 'order_reviews', count(*), cast(9 as bigint) from documents
+                   union all select 'customers', count(*), cast(9 as bigint) from customer
+                   union all select 'order_payments', count(*), cast(9 as bigint) from orders
+                   union all select 'sellers', count(*), cast(7 as bigint) from supplier
+                   union all select 'geolocation', count(*), cast(7 as bigint) from nation
+                   union all select 'product_category_name_translation',
+                                    count(distinct p_type) - 1, cast(6 as bigint) from part)
+        select *, cast(9 as bigint) as files_written,
                cast((select sum(rows_read) from t) as bigint) as records_read,
-               cast(6 as int) as missing_files from t""",
+               cast(0 as int) as missing_files from t""",
     "k1_bronze_items": oracle("""
         select 'olist_first' as batch_id, 'olist' as source,
                cast(order_id as varchar) as order_id, cast(order_item_id as bigint)
