@@ -250,7 +250,9 @@ def unit_count(unit: Unit, data: bytes) -> int:
 
 def hot_windows(rows: DataFrame, unit: Unit) -> DataFrame:
     """(k_id, k_tx, low, high) of repeated windows with hot anchors."""
-    single = rows.where("window is not null").select("anchor", "window", "k_id", "k_tx", "first")
+    # 80 bits of hash in all: the window's, and 16 of its anchor's, to keep shuffled rows short.
+    single = rows.where("window is not null").select(
+        F.col("anchor").bitwiseAND(0xFFFF).alias("anchor"), "window", "k_id", "k_tx", "first")
     repeated = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1")
     return single.join(repeated.select("anchor", "window"), ["anchor", "window"]).select(
         "k_id", "k_tx", F.col("first").alias("low"), (F.col("first") + unit.window).alias("high"))
