@@ -18,12 +18,13 @@ known number with a linked set. So join keys are the rarest of them, all but tha
 ``MEET``, and a linked pair meets in ``MEET`` of them (or in as many as it must share). Sets
 with fewer shared words have no link. Sets that share a key make a group. Groups up to
 ``SMALL`` give all their pairs; a larger one only pairs its members with its smallest. Pairs
-that meet often enough are verified exactly on the shingle sets. Where a large group is not
-one component by the verified links, its members form a family; families are cut
-into tiles of at most about ``TILE`` sets a side, and within a tile sets of different
-components whose fixed-length sketches are near enough are compared exactly. So a group of
-copies costs its size, not its square (only families that stay apart at the threshold cost
-tiles, of one popcount a pair), and no link that could change a component is lost.
+that meet often enough are verified exactly on the shingle sets. Large groups that share
+members form a family; families are cut into tiles of at most about ``TILE`` sets or
+``TILE_BYTES`` a side, and each pair of a family lies in one tile, where it is compared exactly
+if its sizes and fixed-length sketches are near enough. So every link is counted once: in its
+tile, or among the pairs of small groups if it lies in no family. A family costs the square of
+its different sets, as it may hold that many links (equal texts are one set and cost nothing);
+a tile hands on its counts and the links that join its components, not all its pairs.
 
 Edge cases: NULL, empty and blank texts have no shingle, link with nothing and are their own
 component; fewer words than a shingle make one shingle; repeated rows share a component;
@@ -66,6 +67,7 @@ HUGE = 1024
 FLUSH = 100_000  # keys that a task holds before it hands them on
 MEET = 4
 TILE = 2048
+TILE_BYTES = 1 << 23
 TILE_WORDS = 64
 _U = np.uint64
 
@@ -299,16 +301,6 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, set_id, root) of the members of groups that lie in more than one component."""
-    root = F.coalesce("root", "set_id").alias("root")
-    rooted = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "key", "set_id", root)
-    split = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where(
-        "p != q")
-    return rooted.join(split.select("key"), "key", "left_semi")
-
-
 def band_words(threshold: int) -> str:
     """SQL for the words of a band's sketch, as in ``bands``."""
     widest = f"({100 - threshold} * 2 * (shiftleft(2L, band) - 1) div {100 + threshold})"
@@ -395,90 +387,140 @@ def meeting_pairs(grouped: DataFrame, needed: DataFrame) -> DataFrame:
     return often.unionByName(by_either[0]).unionByName(by_either[1]).distinct()
 
 
-def link_sets(docs: DataFrame, described: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Verified links (a, b) between set ids: enough of them to give all components."""
+def link_sets(docs: DataFrame, described: DataFrame, words: int,
+              threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between set ids, enough of them to give all components, and
+    (set_id, n_links), the number of all verified links of each linked set."""
     repeated = repeated_words(sketch_words(docs, words, threshold))
     needed = shared_words_needed(described, threshold)
     grouped = stored(group_pairs(rarest_words(repeated, needed)), "grampairs")
     pairs = kept(meeting_pairs(grouped, needed))
     large = grouped.where("large")
-    members = kept(large.select("key", F.col("b").alias("set_id")).unionByName(
-        large.select("key", F.col("a").alias("set_id"))).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(
-        members.select("set_id")).distinct()
+        large.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
     sets = stored(load_sets(docs, described, wanted, words), "gramsets")
-    links = [kept(verified(pairs, sets, threshold))]
-    roots = kept(connected_components(links[0]))
-    left = kept(apart(members, roots))
-    if not left.isEmpty():
-        links.append(kept(family_links(left, sets, threshold)))
-    return reduce(DataFrame.unionByName, links)
-
-
-def family_links(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between sets of different components that share large groups.
-
-    ``left`` has key, set_id and root. Within a tile only links that join components are given.
+    links = kept(verified(pairs, sets, threshold))
+    counted = links
+    found = []
+    if not large.isEmpty():
+        family = kept(connected_components(large)).select(F.col("node").alias("set_id"),
+                                                          F.col("root").alias("family"))
+        met = kept(family_links(family, sets, threshold))
+        for side in ("a", "b"):
+            counted = counted.join(family.select(F.col("set_id").alias(side), F.col("family")
+                                                 .alias(f"of_{side}")), side, "left")
+        counted = counted.where("of_a is null or of_b is null or of_a != of_b")
+        found.append(met.where("b is null").select(F.col("a").alias("set_id"), "n"))
+        links = links.unionByName(met.where("b is not null").select("a", "b"))
+    found.append(counted.select(F.explode(F.array("a", "b")).alias("set_id"),
+                                F.lit(1).cast("long").alias("n")))
+    degrees = reduce(DataFrame.unionByName, found).groupBy("set_id").agg(
+        F.sum("n").alias("n_links"))
+    return links, degrees
+
+
+def family_links(family: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links within families: (a, b, NULL) to join components and (a, NULL, n) to count.
+
+    ``family`` has set_id and family. Each pair of a family is compared in one tile; a tile
+    gives a row for each of its sets with links, and of its links only those that join sets
+    that no other link of the tile joins.
     """
-    smallest = left.groupBy("key").agg(F.min("set_id").alias("b"))
-    edges = left.join(smallest, "key").select(F.col("set_id").alias("a"), "b").distinct()
-    family = connected_components(edges).select(F.col("node").alias("set_id"),
-                                                F.col("root").alias("family"))
-    rows = kept(left.select("set_id", "root").distinct().join(family, "set_id"))
-    sizes = rows.groupBy("family").agg(
-        F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
+    rows = family.join(sets.select("set_id", F.octet_length("shingles").alias("size")), "set_id")
+    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(
+        F.count("*") / F.lit(TILE), F.sum("size") / F.lit(TILE_BYTES))).cast("int").alias("chunks"))
     placed = rows.join(sizes, "family").withColumn(
         "chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "family", "set_id", "root", "chunk", F.least("chunk", "other").alias("i"),
+        "family", "set_id", "chunk", F.least("chunk", "other").alias("i"),
         F.greatest("chunk", "other").alias("j"))
 
     def compare(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
         ids, chunk = tile["set_id"].to_numpy(), tile["chunk"].to_numpy()
-        held = [packed_rows(v.as_buffer(), np.uint64) for v in tile["shingles"].combine_chunks()]
-        root = tile["root"].to_numpy().tolist()
-        same = tile["i"][0].as_py() == tile["j"][0].as_py()
-        left_side = np.flatnonzero(chunk == tile["i"][0].as_py())
-        right_side = left_side if same else np.flatnonzero(chunk == tile["j"][0].as_py())
-        bits = np.stack([sketch(s, TILE_WORDS, 2) for s in held])
+        held = [packed_rows(v.as_buffer(), np.uint64) for v in tile["shingles"]]
+        low, high = tile["i"][0].as_py(), tile["j"][0].as_py()
         size = np.array([len(s) for s in held])
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        a, b = [], []
-        for x in left_side.tolist():
-            others = right_side[right_side > x] if same else right_side
-            allowed = (100 - threshold) * (size[x] + size[others]) // (100 + threshold)
-            apart_by = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
-            for y in others[apart_by <= allowed].tolist():
-                p, q = find(root[x]), find(root[y])
-                if p == q:
-                    continue
-                both = size[x] + size[y] - len(np.union1d(held[x], held[y]))
-                if 100 * both >= threshold * (size[x] + size[y] - both):
-                    parent[max(p, q)] = min(p, q)
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        order = np.argsort(size, kind="stable")
+        sides = [order[chunk[order] == c] for c in (low, high)]
+        bits = np.stack([sketch(s, TILE_WORDS, 2) for s in held])
+        a, b, degree = compare_sides(held, size, bits, *sides, low == high, threshold)
+        some = np.flatnonzero(degree)
+        return pa.table({
+            "a": pa.array(np.concatenate([ids[a], ids[some]]), pa.int64()),
+            "b": pa.array(ids[b].tolist() + [None] * len(some), pa.int64()),
+            "n": pa.array([None] * len(a) + degree[some].tolist(), pa.int64())})
 
     return tiles.join(sets, "set_id").groupBy("family", "i", "j").applyInArrow(
-        compare, "a long, b long")
+        compare, "a long, b long, n long")
+
+
+def compare_sides(held: list[np.ndarray], size: np.ndarray, bits: np.ndarray, left: np.ndarray,
+                  right: np.ndarray, same: bool, threshold: int):
+    """(a, b, degree): joining links between two lists of sets, and the links of every set.
+
+    Both lists are in order of size; if they are the ``same``, each pair is taken once.
+    """
+    parent = np.arange(len(held))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    # Shingles as small numbers, those of the right side in one run.
+    coded = np.unique(np.concatenate(held), return_inverse=True)[1].astype(np.int32)
+    ends = np.cumsum(size)
+    codes = [coded[e - n:e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(held), np.int64)
+    run = np.concatenate([codes[y] for y in right.tolist()])
+    start = np.concatenate([[0], np.cumsum(size[right])])
+    right_size, right_bits = size[right], bits[right]
+    mark = np.zeros(int(coded.max()) + 1, np.int32)
+    degree = np.zeros(len(held), np.int64)
+    a, b = [], []
+    for at, x in enumerate(left.tolist()):
+        first = at + 1 if same else int(np.searchsorted(
+            right_size, -(-threshold * int(size[x]) // 100)))
+        last = int(np.searchsorted(right_size, 100 * int(size[x]) // threshold, "right"))
+        if first >= last:
+            continue
+        total = size[x] + right_size[first:last]
+        apart_by = np.bitwise_count(right_bits[first:last] ^ bits[x]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(apart_by <= (100 - threshold) * total // (100 + threshold))
+        if not len(near):
+            continue
+        mark[codes[x]] = 1
+        if 2 * len(near) > last - first:
+            both = np.add.reduceat(mark[run[start[first]:start[last]]],
+                                   start[first:last] - start[first])[near]
+        else:
+            of = np.concatenate([codes[y] for y in right[first + near].tolist()])
+            both = np.add.reduceat(mark[of], np.concatenate(
+                [[0], np.cumsum(right_size[first + near])[:-1]]))
+        mark[codes[x]] = 0
+        linked = right[first + near[100 * both >= threshold * (total[near] - both)]]
+        degree[x] += len(linked)
+        degree[linked] += 1
+        p = find(x)
+        for y in linked[parent[linked] != p].tolist():
+            q = find(y)
+            if p != q:
+                parent[q] = p
+                a.append(x)
+                b.append(y)
+    return np.array(a, np.int64), np.array(b, np.int64), degree
 
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, k_id, k_tx, n_shingles, n_links, component_id) of every row.
 
-    ``n_links`` counts the verified links between different sets at the row's set.
+    ``n_links`` counts all verified links between different sets at the row's set.
     """
     described = stored(describe_sets(docs, words, threshold), "gramrows")
-    links = link_sets(docs, described, words, threshold)
+    links, degree = link_sets(docs, described, words, threshold)
     roots = kept(connected_components(links)).withColumnRenamed("node", "set_id")
-    degree = (links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id")
-              .agg(F.count("*").alias("n_links")))
     rooted = (described.join(roots, "set_id", "left").join(degree, "set_id", "left")
               .withColumn("root", F.coalesce("root", "set_id")))
     smallest = rooted.where("root is not null").groupBy("root").agg(

@@ -122,6 +122,34 @@ def test_large_groups_use_families(spark, monkeypatch):
     assert got == brute_components(list(enumerate(texts)), 4, 85)
 
 
+def brute_links(texts, size=4, threshold=85):
+    """Links between different shingle sets at each text's set."""
+    sets = []
+    for text in texts:
+        words = text.split(" ")
+        sets.append(frozenset(tuple(words[j:j + size]) for j in range(len(words) - size + 1)))
+    different = set(sets)
+    degree = {a: sum(100 * len(a & b) >= threshold * len(a | b) for b in different) - 1
+              for a in different}
+    return [degree[s] for s in sets]
+
+
+@pytest.mark.parametrize("small,tile,size", [(10, 2048, 1 << 23), (2, 16, 1 << 23),
+                                             (10, 2048, 4000)])
+def test_all_links_of_large_groups_are_counted(spark, monkeypatch, small, tile, size):
+    monkeypatch.setattr(gramjoin, "SMALL", small)
+    monkeypatch.setattr(gramjoin, "TILE", tile)
+    monkeypatch.setattr(gramjoin, "TILE_BYTES", size)
+    base = ["c%d" % i for i in range(300)]
+    copies = [" ".join([*base[:4 * i], "x%d" % i, *base[4 * i + 1:]]) for i in range(4, 44)]
+    texts = copies + copies[:5] + [t for t in families(11, 240) if t.count(" ") > 4]
+    got = {r.doc_id: r.n_links
+           for r in gramjoin.components(id_and_text(frame(spark, texts))).collect()}
+    want = brute_links(texts)
+    assert want[:40] == [39] * 40
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components_of_odd_texts(spark, odd, nothing):
     texts = odd_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id)
