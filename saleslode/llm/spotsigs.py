@@ -4,8 +4,10 @@ Everything here is DataFrame functions. A text is lower-cased and reduced to its
 common word (an anchor) that content words follow opens a chain of up to ``CHAIN`` content
 words, up to the next common word. The set of the 64-bit hashes of anchor and chain is the
 document's fingerprint. A text with fewer than ``FEW`` chains is fingerprinted by all its
-words instead (also where only one word in ``SPARSE`` opens a chain), and with fewer than ``FEW`` words by its letter triples, so that short
-texts and texts without common words are told apart too.
+words instead (also where fewer than one word in ``SPARSE`` opens a chain), and with fewer than
+``FEW`` words by its letter triples, so that short texts and texts without common words are
+told apart too. Two texts are compared by signatures of one kind: where their own kinds
+differ, both by the one that the other falls back to (chains, then words, then triples).
 
 Two sets can be alike to a degree t only if the smaller has at least t times the size of the
 larger: sets are partitioned by size so that this holds for the same partition and the next
@@ -66,15 +68,32 @@ def hashed(values: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(values, lambda v: F.xxhash64(v))))
 
 
-def signature_set(words: Column, text: Column) -> Column:
-    """Sorted distinct signatures of a text, from its plain words."""
-    spots = F.regexp_extract_all(words, F.lit("(?<![^ ])(" + SPOT + ")"), 1)
-    singles = F.array_remove(F.split(words, " "), "")
+CHAINS, SINGLES, TRIPLES = 0, 1, 2
+
+
+def spots_of(words: Column) -> Column:
+    """Anchors with their chains, in order."""
+    return F.regexp_extract_all(words, F.lit("(?<![^ ])(" + SPOT + ")"), 1)
+
+
+def singles_of(words: Column) -> Column:
+    return F.array_remove(F.split(words, " "), "")
+
+
+def signature_kind(spots: Column, words: Column) -> Column:
+    """The first of the three kinds that a text has enough signatures of."""
+    count = F.size(singles_of(words))
+    return (F.when((F.size(spots) >= FEW) & (F.size(spots) * SPARSE >= count), CHAINS)
+            .when(count >= FEW, SINGLES).otherwise(TRIPLES))
+
+
+def signature_set(kind: Column, spots: Column, words: Column, text: Column) -> Column:
+    """Sorted distinct signatures of one kind of a text."""
     letters = F.coalesce(text, F.lit(""))
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 2, F.lit(1))),
                           lambda i: F.substring(letters, i, F.lit(3)))
     triples = F.when(F.length(letters) > 0, triples).otherwise(F.array().cast("array<string>"))
-    return hashed(F.when((F.size(spots) >= FEW) & (F.size(spots) * SPARSE >= F.size(singles)), spots).when(F.size(singles) >= FEW, singles)
+    return hashed(F.when(kind == CHAINS, spots).when(kind == SINGLES, singles_of(words))
                   .otherwise(triples))
 
 
@@ -98,9 +117,30 @@ def likeness(a: Column, b: Column, degree: float = DEGREE) -> Column:
             .otherwise(both / (total - both)))
 
 
+def with_parts(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Plain words, chains, kind and signatures of a text, in columns that begin with ``name``."""
+    words, spots, kind = (F.col(f"{name}_{part}") for part in ("words", "spots", "kind"))
+    return (docs.withColumn(f"{name}_words", plain_words(F.col(text)))
+            .withColumn(f"{name}_spots", spots_of(words))
+            .withColumn(f"{name}_kind", signature_kind(spots, words))
+            .withColumn(name, signature_set(kind, spots, words, F.col(text))))
+
+
 def with_signatures(docs: DataFrame, text: str = "text", name: str = "signatures") -> DataFrame:
-    worded = docs.withColumn("words_", plain_words(F.col(text)))
-    return worded.withColumn(name, signature_set(F.col("words_"), F.col(text))).drop("words_")
+    return with_parts(docs, text, name).drop(*(f"{name}_{p}" for p in ("words", "spots", "kind")))
+
+
+def pair_likeness(a: str, a_text: str, b: str, b_text: str, degree: float = DEGREE) -> Column:
+    """Likeness of two texts of ``with_parts`` by the kind that either of them falls back to."""
+    kind = F.greatest(F.col(f"{a}_kind"), F.col(f"{b}_kind"))
+
+    def by_kind(name, text):
+        other = signature_set(kind, F.col(f"{name}_spots"), F.col(f"{name}_words"), F.col(text))
+        return F.when(F.col(f"{name}_kind") == kind, F.col(name)).otherwise(other)
+
+    same = F.col(f"{a}_kind") == F.col(f"{b}_kind")
+    return F.when(same, likeness(F.col(a), F.col(b), degree)).otherwise(
+        likeness(by_kind(a, a_text), by_kind(b, b_text), degree))
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -164,11 +204,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.substring("next_text", F.lit(1), cut))
     rows = docs.withColumn("edited", edited)
     for name, own in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
-        rows = with_signatures(rows, name, own)
+        rows = with_parts(rows, name, own)
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"))
+        pair_likeness("own", "text", "changed", "edited").alias("near_edited"),
+        pair_likeness("own", "text", "following", "next_text").alias("near_next"))

@@ -425,6 +425,28 @@ def test_fingerprints(spark, nothing):
     assert prints[0] == prints[1] == "" and prints[5] == prints[6] != prints[7]
 
 
+def test_pairs_of_different_kinds_are_compared(spark, tmp_path):
+    """Texts whose edit or neighbour has another kind of signatures are alike by one kind."""
+    chains = " ".join("the %s" % w for w in ["stone", "river", "cloud", "mast"])
+    dense = " ".join("the " + " ".join("%s%d" % (c, i) for c in "abcdefghij") for i in range(8))
+    junk = " ".join("zz%d" % i for i in range(400))
+    # The document of the next lower id lends its beginning to the edited text.
+    texts = ["qqqqqqqq rrrrrrrr ssssssss tttttttt", chains, junk, dense,
+             "x" * 30, "one two three four",
+             "the stone the river the cloud", chains]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in spotsigs.op3_fingerprints(spark, str(tmp_path)).collect()}
+    parts = spotsigs.with_parts(frame(spark, [texts[1], texts[3], texts[5], texts[6], texts[7]]
+                                      + [t[:len(t) - len(t) // 3] + texts[i - 1][:len(t) // 3]
+                                         for i, t in enumerate(texts) if i in (1, 3, 5)]),
+                                "text", "s")
+    kinds = [r.s_kind for r in parts.orderBy("doc_id").collect()]
+    assert kinds == [0, 0, 1, 1, 0, 1, 1, 2]
+    assert all(rows[i].near_edited > 0.25 for i in (1, 3, 5))
+    assert rows[7].near_next > 0.5
+    assert rows[3].near_next == 0 and rows[4].near_next < 0.05
+
+
 def test_likeness(spark):
     row = spark.sql("select array(1L,2L,3L) a, array(2L,3L,4L) b, array() e").select(
         spotsigs.likeness(F.col("a"), F.col("b")).alias("x"),
