@@ -225,26 +225,31 @@ def token(found: str, key: bytes, undo: bool) -> str | None:
     return found[0] + classes_permuted(found[1:-1], key, undo, "abcdef") + found[-1]
 
 
+# Three digits in a row or with single separators, which every longer number has.
+DIGITS = r"\d[ -]?\d[ -]?\d"
+
+# Name, shape, change, and a short pattern that every text with the shape holds.
 KINDS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-     email),
-    ("secret", r"\b(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[^\s\"',;]{5,}[^\s\"',;.]", secret),
-    ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", access_key),
-    ("token", r"(?:\"[0-9a-f]{32,64}\"|'[0-9a-f]{32,64}')", token),
+     email, "@"),
+    ("secret", r"\b(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[^\s\"',;]{5,}[^\s\"',;.]",
+     secret, "[=:]"),
+    ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", access_key, "AKIA|ASIA"),
+    ("token", r"(?:\"[0-9a-f]{32,64}\"|'[0-9a-f]{32,64}')", token, "[\"'][0-9a-f]{32}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
-     iban),
-    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ipv4),
+     iban, r"[A-Z]{2}\d{2}[ A-Z0-9]"),
+    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ipv4, r"\d\.\d+\.\d"),
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}"
-             r"|\d{2}\.\d{2}\.\d{4})(?![\d/-])", date),
+             r"|\d{2}\.\d{2}\.\d{4})(?![\d/-])", date, DIGITS),
     ("phone", r"(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
-     phone),
-    ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
+     phone, DIGITS),
+    ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social, DIGITS),
+    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card, DIGITS),
 ]
-PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape, _ in KINDS))
-CHANGE = {name: change for name, _, change in KINDS}
-# A text without any of these has no candidate; most texts are passed over here.
-HINT = re.compile(r"@|\d{3}|\d\.\d+\.\d|AKIA|ASIA|[=:]")
+PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape, _, _ in KINDS))
+CHANGE = {name: change for name, _, change, _ in KINDS}
+# A text without any of these has no candidate and is passed over.
+HINT = re.compile("|".join(dict.fromkeys(hint for *_, hint in KINDS)))
 
 
 def kind_key(key: bytes, name: str) -> bytes:
