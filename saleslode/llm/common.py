@@ -75,6 +75,22 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
     return df.mapInArrow(run, fields)
 
 
+def map_stream(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
+               schema: str) -> DataFrame:
+    """As ``map_arrow``, for a function over all batches of a task."""
+    fields = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(fields)
+        for part in function(batches):
+            yield pa.record_batch([pa.array(part[f.name], f.type) for f in target],
+                                  schema=target)
+
+    return df.mapInArrow(run, fields)
+
+
 def byte_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
     """Blocks (first row, end row, bytes, offsets) of a string or binary column; NULL is empty."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

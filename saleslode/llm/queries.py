@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    alignment,
     bfdpacking,
     bwtmerge,
     decontamination,
@@ -11,8 +12,10 @@ from . import (
     kkpacking,
     licenses,
     pseudonyms,
+    rendezvous,
     spotsigs,
     toxicity,
+    treapsearch,
 )
 
 QUERIES = {
@@ -26,7 +29,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_packing": kkpacking.op10_packing,
+    "op11_rendezvous": rendezvous.op11_rendezvous,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_treap_search": treapsearch.op13_treap_search,
 }
 ORACLES = {
     "op6_decontamination": decontamination.OP6_SQL,
+    "op11_rendezvous": rendezvous.OP11_SQL,
+    "op13_treap_search": treapsearch.OP13_SQL,
 }

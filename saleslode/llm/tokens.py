@@ -37,3 +37,10 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint16)
     return np.array(_encoder(path).encode_ordinary(text), np.uint16)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of each id; the free ids between the ranks have none."""
+    encoder = _encoder(path)
+    return [encoder.decode_single_token_bytes(i) for i in range(encoder.n_vocab)]
