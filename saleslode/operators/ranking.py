@@ -3,13 +3,16 @@
 ``percentile`` and ``ntile`` keep every distinct value, or every row, in a single
 task. Here the wanted ranks are narrowed down level by level instead:
 
-1. count rows per coarse cell (a bounded number of cells, whatever the row count),
-2. keep only the cells that hold a wanted rank, and count inside them per finer cell,
-3. repeat until the last level, which is the exact value.
-
-Each level is one map-side-combined aggregation; equal values collapse into one
-counted row, so a value shared by most rows costs nothing extra. The cells that hold a
-wanted rank are at most two per requested quantile and group.
+1. count rows per cell of the first level (a bounded number of cells),
+2. keep only the cells that hold a wanted rank, and count inside them by the next level,
+3. repeat until the last level, which is the exact key.
+
+Quantiles of doubles are narrowed by the four 16-bit digits of an order-preserving key
+(``operators.radix``): no level has more than 65,536 cells a group, however the values lie.
+The source is read twice: once for counts by the first two digits, once for the values
+under the few prefixes that hold a wanted rank; both are stored, and all narrowing reads
+those. Equal values collapse into one counted
+row, so a value shared by most rows costs nothing extra.
 """
 
 from __future__ import annotations
@@ -20,11 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells per decade of a double at the two counted levels. The first has at most 632,001
-# cells over any doubles; a cell of it has at most 20,001 of the second, each so narrow
-# (2.3e-7 of the value) that amounts with cents up to a billion put 23,000 values into one.
-COARSE_CELLS = 500
-FINE_CELLS = COARSE_CELLS * 20_000
+from saleslode.operators import radix
+from saleslode.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -39,50 +39,53 @@ QUINTILES = tuple(Fraction(i, 5) for i in range(1, 5))
 QUARTILES = (Fraction(1, 4), Fraction(3, 4))
 
 
-def magnitude_cell(value: Column, per_decade: int) -> Column:
-    """Order-preserving cell number of a double: equal steps of its logarithm.
-
-    A double spans 632 decades, so there can be no more than 2 * 632 * per_decade + 1
-    cells over any data whatsoever.
-    """
-    size = F.floor(F.log10(F.abs(value)) * F.lit(per_decade)) + F.lit(330 * per_decade)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
-
-
 def whole_part(number: Column, divisor: int) -> Column:
     """Integer division, exact for every bigint."""
     return F.call_function("div", number, F.lit(divisor))
 
 
 def locate_ranks(df: DataFrame, levels: Sequence[str], ranks: Column,
-                 by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+                 by: Sequence[str] = ()) -> DataFrame:
     """Find the rows' key at given 0-based ranks.
 
     ``levels`` are columns from coarse to exact, ordering the rows lexicographically.
     ``ranks`` is an array<bigint> expression over ``total``, the rows in the group.
     Returns (by..., total, rank, levels...), one row per distinct wanted rank.
+    """
+    rows = df.withColumn("_n", F.lit(1).cast("bigint"))
+    found = _narrowed(rows, levels, list(by), _first_hits(rows, levels[0], ranks, list(by)),
+                      not by)
+    return _wanted_rows(found, [*by, "total"], levels)
+
+
+def _wanted_rows(found: DataFrame, kept: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    return found.select(*kept, F.explode("_wanted").alias("_w"), *levels).select(
+        *kept, F.col("_w.rank").alias("rank"), *levels)
+
+
+def _first_hits(df: DataFrame, level: str, ranks: Column, by: list[str]) -> DataFrame:
+    cells = df.groupBy(*by, level).agg(F.sum("_n").alias("_n"))
+    return _hits(cells, by, level, ranks)
+
 
-    Without groups, or with a fixed list of them (``few_groups``), the hit cells are
-    broadcast: one per wanted rank and group. Groups that grow with the data take an
-    ordinary equi-join, which the runtime may split where a group is large.
+def _narrowed(df: DataFrame, levels: Sequence[str], by: list[str], found: DataFrame,
+              bounded: bool) -> DataFrame:
+    """Hits of the last level, from those of the first; ``df`` has rows counted ``_n``.
+
+    Without groups, or with a fixed list of them (``bounded``), the hit cells are broadcast:
+    one per wanted rank and group. Groups that grow with the data take an ordinary
+    equi-join, which the runtime may split where a group is large.
     """
-    by = list(by)
-    bounded = few_groups or not by
-    found = _hits(
-        df.groupBy(*by, levels[0]).agg(F.count(F.lit(1)).alias("_n")), by, levels[0], ranks
-    )
     for depth in range(1, len(levels)):
         known = [*by, *levels[:depth]]
         hit = F.broadcast(found) if bounded else found
         inside = df.join(hit, known).groupBy(*known, levels[depth]).agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.sum("_n").alias("_n"),
             F.first("_wanted").alias("_wanted"),
             F.first("total").alias("total"),
         )
         found = _hits(inside, known, levels[depth], None)
-    return found.select(
-        *by, "total", F.explode("_wanted").alias("_w"), *levels
-    ).select(*by, "total", F.col("_w.rank").alias("rank"), *levels)
+    return found
 
 
 def _hits(cells: DataFrame, within: list[str], level: str, ranks: Column | None) -> DataFrame:
@@ -115,31 +118,50 @@ def _hits(cells: DataFrame, within: list[str], level: str, ranks: Column | None)
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[Fraction],
-                    by: Sequence[str] = (), out: str = "quantiles",
-                    few_groups: bool = False) -> DataFrame:
-    """Linearly interpolated quantiles of the non-NULL values of a double column.
+def prefix_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by..., _prefix, _n): rows by the first two digits of their value's key.
 
-    Returns (by..., total, out array<double>), one row per group that has values.
+    Rows without a value are counted under a NULL prefix.
     """
+    return with_prefix(df.select(*by, value), value).groupBy(*by, "_prefix").agg(
+        F.count(F.lit(1)).alias("_n"))
+
+
+def with_prefix(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_prefix``, the first two digits of the value's key."""
+    return radix.with_radix_key(df, value, "_key").withColumn(
+        "_prefix", radix.prefix(F.col("_key"))).drop("_key")
+
+
+def quantile_prefixes(counts: DataFrame, fractions: Sequence[Fraction], by: Sequence[str],
+                      bounded: bool) -> DataFrame:
+    """(by..., _prefix, total, _wanted): the prefixes that hold a rank next to a quantile."""
     by = list(by)
     last = F.col("total") - 1
-
     lows = [whole_part(last * f.part, f.whole) for f in fractions]
     ranks = F.array(*[r for p in lows for r in (p, F.least(p + 1, last))])
-    cells = df.where(F.col(value).isNotNull()).select(
-        *by,
-        magnitude_cell(F.col(value), COARSE_CELLS).alias("_coarse"),
-        magnitude_cell(F.col(value), FINE_CELLS).alias("_fine"),
-        F.col(value).alias("_exact"),
-    )
-    located = locate_ranks(cells, ["_coarse", "_fine", "_exact"], ranks, by, few_groups)
-    looked_up = located.groupBy(*by).agg(
+    cells = counts.where(F.col("_prefix").isNotNull()).select(
+        *by, radix.leading_digit(F.col("_prefix"), 2).alias("_digit1"), "_prefix", "_n")
+    found = _narrowed(cells, ["_digit1", "_prefix"], by,
+                      _first_hits(cells, "_digit1", ranks, by), bounded)
+    return found.select(*by, "_prefix", "total", "_wanted")
+
+
+def quantiles_inside(inside: DataFrame, hits: DataFrame, fractions: Sequence[Fraction],
+                     by: Sequence[str], out: str, bounded: bool) -> DataFrame:
+    """Quantiles from counted values (by..., _prefix, _exact, _n) under the hit prefixes."""
+    by = list(by)
+    cells = radix.with_radix_key(inside, "_exact", "_key").withColumn(
+        "_digit3", radix.digit(F.col("_key"), 1)).drop("_key")
+    found = _narrowed(cells, ["_prefix", "_digit3", "_exact"], by, hits, bounded)
+    looked_up = _wanted_rows(found, [*by, "total"], ["_exact"]).groupBy(*by).agg(
         F.first("total").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("rank", "_exact"))).alias("_at"),
     )
+    last = F.col("total") - 1
     quantiles = []
-    for f, position in zip(fractions, lows, strict=True):
+    for f in fractions:
+        position = whole_part(last * f.part, f.whole)
         below = F.col("_at")[position]
         above = F.col("_at")[F.least(position + 1, last)]
         share = F.pmod(last * f.part, F.lit(f.whole)) / F.lit(float(f.whole))
@@ -147,6 +169,26 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[Fraction],
     return looked_up.select(*by, "total", F.array(*quantiles).alias(out))
 
 
+def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[Fraction],
+                    by: Sequence[str] = (), out: str = "quantiles",
+                    few_groups: bool = False) -> DataFrame:
+    """Linearly interpolated quantiles of the non-NULL values of a double column.
+
+    Returns (by..., total, out array<double>), one row per group that has values.
+    """
+    by = list(by)
+    bounded = few_groups or not by
+    counts = cut_lineage(prefix_counts(df, value, by))
+    hits = cut_lineage(quantile_prefixes(counts, fractions, by, bounded))
+    wanted = hits.select(*by, "_prefix")
+    keyed = with_prefix(df.where(F.col(value).isNotNull())
+                        .select(*by, F.col(value).alias("_exact")), "_exact")
+    inside = cut_lineage(
+        keyed.join(F.broadcast(wanted) if bounded else wanted, [*by, "_prefix"])
+        .groupBy(*by, "_prefix", "_exact").agg(F.count(F.lit(1)).alias("_n")))
+    return quantiles_inside(inside, hits, fractions, by, out, bounded)
+
+
 def bin_by_edges(value: Column, edges: Sequence[Column]) -> Column:
     """1-based bin of right-closed intervals; NULL stays NULL."""
     score = F.lit(1)

@@ -11,13 +11,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saleslode.operators import keys, outliers, profile, reshape, rules, series
+from saleslode.operators import keys, outliers, profile, radix, reshape, rules, series
 from saleslode.operators.ranking import (
     QUARTILES,
     QUINTILES,
     Fraction,
     exact_quantiles,
-    magnitude_cell,
 )
 from saleslode.plans import rfm
 
@@ -30,15 +29,17 @@ def days(n):
 
 
 # -- ranks ---------------------------------------------------------------------------
-@QUICK
-@given(st.lists(st.one_of(st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, -1.0, 0.1])),
-                min_size=1, max_size=60))
-def test_quantiles_equal_numpy(spark, numbers):
-    df = spark.createDataFrame([(float(v),) for v in numbers], "v double").repartition(3)
-    row = exact_quantiles(df, "v", QUINTILES).first()
-    assert row["total"] == len(numbers)
-    want = np.quantile(np.array(numbers, dtype=float), [0.2, 0.4, 0.6, 0.8])
-    np.testing.assert_allclose(row["quantiles"], want, rtol=1e-9, atol=1e-9)
+@settings(QUICK, max_examples=3)
+@given(st.lists(st.lists(st.one_of(st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, -1.0, 0.1])),
+                         min_size=1, max_size=60), min_size=1, max_size=30))
+def test_quantiles_equal_numpy(spark, groups):
+    df = spark.createDataFrame([(g, float(v)) for g, vs in enumerate(groups) for v in vs],
+                               "g int, v double").repartition(3)
+    for row in exact_quantiles(df, "v", QUINTILES, ["g"]).collect():
+        numbers = groups[row["g"]]
+        assert row["total"] == len(numbers)
+        want = np.quantile(np.array(numbers, dtype=float), [0.2, 0.4, 0.6, 0.8])
+        np.testing.assert_allclose(row["quantiles"], want, rtol=1e-9, atol=1e-9)
 
 
 def test_quantiles_with_one_value_owning_most_rows(spark):
@@ -60,12 +61,25 @@ def test_quantiles_by_group_ignore_null_and_empty(spark):
     assert got == {"a": (2, 1.5), "c": (1, -5.0)}
 
 
-def test_magnitude_cells_keep_the_order(spark):
-    numbers = sorted([0.0, 1e-300, 5e-324, 1.0, 1.0000001, 999.999, 1000.0, 1e308, -1.0, -1e-9,
-                      -1e300, *np.random.default_rng(1).normal(size=500).tolist()])
+def test_radix_keys_are_the_bits_of_doubles(spark):
+    """Every power of two, its neighbours, subnormals, both zeros and random values."""
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    random = np.random.default_rng(1)
+    bits = random.integers(0, 2047 << 52, 3000, dtype=np.int64).view(np.float64)
+    numbers = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), bits,
+                              random.normal(size=500), [0.0, np.finfo(float).max]])
+    numbers = np.concatenate([numbers, -numbers])
     df = spark.createDataFrame([(float(v),) for v in numbers], "v double")
-    cells = [r[1] for r in df.select("v", magnitude_cell(F.col("v"), 10_000)).collect()]
-    assert cells == sorted(cells)
+    rows = radix.with_radix_key(df, "v", "k").withColumn(
+        "back", radix.radix_value(F.col("k"))).collect()
+    got = np.array([r["k"] for r in rows])
+    np.testing.assert_array_equal(
+        got, np.where(numbers < 0, -1, 1) * np.abs(numbers).view(np.int64))
+    assert [r["back"] for r in rows] == numbers.tolist()
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (-float("inf"),), (None,)],
+                                "v double")
+    top = 2047 << 52
+    assert [r["k"] for r in radix.with_radix_key(odd, "v", "k").collect()] == [top, top + 1, -top, None]
 
 
 @pytest.mark.parametrize("n", [5, 7, 23, 64, 111])
@@ -179,6 +193,30 @@ def test_iqr_of_small_column(spark):
     assert row["outlier_ratio"] == 0.2
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_iqr_equals_numpy(spark, seed):
+    """Ties, both signs, heavy tails, groups without values; fences meet values exactly."""
+    random = np.random.default_rng(seed)
+    frames = {
+        "tails": random.standard_cauchy(400), "cents": np.round(random.normal(0, 50, 400), 2),
+        "whole": random.integers(-4, 5, 300).astype(float), "one": np.full(20, 3.25),
+        "tiny": random.normal(size=300) * 1e-310, "huge": random.normal(size=300) * 1e307,
+        "few": random.normal(size=int(random.integers(1, 4))),
+        "edges": np.array([0.0, 1, 2, 3, 4, 7, -3, 7.000001, -3.000001]),
+    }
+    rows = [(g, float(v)) for g, vs in frames.items() for v in vs] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    for few in (True, False):
+        got = {r["g"]: r for r in outliers.iqr_summaries(df, "v", ["g"], few).collect()}
+        assert (got["none"]["q1"], got["none"]["total_count"]) == (None, 0)
+        for g, vs in frames.items():
+            q1, q3 = np.quantile(vs, [0.25, 0.75])
+            np.testing.assert_allclose([got[g]["q1"], got[g]["q3"]], [q1, q3], rtol=1e-12)
+            low, high = got[g]["lower_bound"], got[g]["upper_bound"]
+            assert got[g]["outlier_count"] == int(((vs < low) | (vs > high)).sum()), (g, few)
+            assert got[g]["total_count"] == len(vs)
+
+
 def test_iqr_without_finite_values(spark):
     df = spark.createDataFrame([("c", float("nan")), ("c", None)], "column string, v double")
     row = outliers.iqr_summaries(df, "v", ["column"]).first()
@@ -296,13 +334,28 @@ def test_quantiles_of_values_close_together(spark):
     df = spark.range(300_000).select((F.col("id") + 1e9).cast("double").alias("v"))
     assert ranking.exact_quantiles(df, "v", ranking.QUARTILES).first()["quantiles"] == [
         1e9 + 74_999.75, 1e9 + 224_999.25]
-    fine = df.groupBy(ranking.magnitude_cell(F.col("v"), ranking.FINE_CELLS)).count()
-    assert fine.agg(F.max("count")).first()[0] < 1_000
     same = spark.range(1_000).select(F.when(F.col("id") < 950, 7.0).otherwise(F.col("id"))
                                      .cast("double").alias("v"))
     assert ranking.exact_quantiles(same, "v", ranking.QUARTILES).first()["quantiles"] == [7.0, 7.0]
 
 
+def test_quantiles_of_a_million_doubles_under_one_prefix(spark):
+    """All values share their first 32 bits: no level has more cells than a digit has values."""
+    df = spark.range(1_000_000).select(
+        (F.lit(1.0) + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) * 1e-13).alias("v"))
+    keys = radix.with_radix_key(df, "v", "k").select(
+        radix.prefix(F.col("k")).alias("p"), radix.digit(F.col("k"), 1).alias("d3"), "k")
+    assert keys.select("p").distinct().count() == 1
+    assert keys.select("d3").distinct().count() <= 65_536
+    assert keys.groupBy("p", "d3").agg(F.countDistinct("k").alias("n")).agg(
+        F.max("n")).first()[0] <= 65_536
+    values = np.array([r[0] for r in df.collect()])
+    got = exact_quantiles(df, "v", QUARTILES).first()["quantiles"]
+    np.testing.assert_allclose(got, np.quantile(values, [0.25, 0.75]), rtol=1e-16)
+    row = outliers.iqr_summaries(df.select(F.lit("c").alias("g"), "v"), "v", ["g"]).first()
+    assert (row["outlier_count"], row["total_count"]) == (0, 1_000_000)
+
+
 def test_sums_do_not_depend_on_partitions(spark):
     from saleslode.functions.measures import stable_sum
 
