@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
-from saleslode.operators import series
+from saleslode.operators import kmeans, series
 from saleslode.operators.reshape import hashed_sample
 from saleslode.plans.serving import any_flag
 from saleslode.session import cut_lineage
@@ -95,7 +92,6 @@ def train_forecast(features: DataFrame, trees: int = TREES,
 
 # -- segmentation -------------------------------------------------------------------
 RESTARTS = 10
-CONCURRENT_FITS = 8
 
 
 def standardised(rfm: DataFrame) -> DataFrame:
@@ -122,70 +118,48 @@ def standardised(rfm: DataFrame) -> DataFrame:
     return held.select(*complete.columns, *[scaled(n) for n in names])
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return VectorAssembler(
-        inputCols=[f"z_{n}" for n in fixed.SEGMENT_FEATURES], outputCol="scaled"
-    ).transform(df)
+def _scaled_names() -> list[str]:
+    return [f"z_{n}" for n in fixed.SEGMENT_FEATURES]
 
 
-def fit_kmeans(vectors: DataFrame, ks: Sequence[int],
-               restarts: int = RESTARTS) -> dict[int, KMeansModel]:
-    """Lowest-cost model of several seeded starts for each k, fitted a few at a time.
+def fit_kmeans(scaled: DataFrame, ks: Sequence[int], restarts: int = RESTARTS,
+               scores: bool = False) -> dict[int, kmeans.Model]:
+    """Lowest-cost model of several seeded starts for each k, all fitted by the same scans.
 
-    ``vectors`` should be persisted: all fits then read that one copy and make none.
+    The scaled features are persisted meanwhile. ``scores`` adds the silhouettes.
     """
-    own_thread = inheritable_thread_target(vectors.sparkSession)
-
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, seed = task
-        model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(vectors)
-        return k, model
-
-    tasks = [(k, fixed.SEED + start) for k in ks for start in range(restarts)]
-    best: dict[int, KMeansModel] = {}
-    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        for k, model in pool.map(own_thread(fit), tasks):
-            if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = model
+    points = scaled.select(F.xxhash64("customer_id").alias("key"), *_scaled_names()).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    starts = [(k, fixed.SEED + start) for k in ks for start in range(restarts)]
+    fitted = kmeans.fit_many(points, starts)
+    best = {k: fitted.best(k) for k in ks}
+    if scores:
+        kmeans.score_silhouettes(points, list(best.values()))
+    points.unpersist()
     return best
 
 
-def mean_silhouette(labelled: DataFrame, cluster: str = "cluster",
-                    features: str = "scaled") -> float | None:
-    """Mean silhouette of all rows by squared Euclidean distance; NULL for one cluster.
-
-    A row's mean squared distance to a cluster follows from the cluster's count, sum and
-    square sum, so this is one aggregate and one pass, whatever the number of rows.
-    """
-    if labelled.select(cluster).distinct().limit(2).count() < 2:
-        return None
-    return ClusteringEvaluator(featuresCol=features, predictionCol=cluster,
-                               metricName="silhouette").evaluate(labelled)
-
-
 def choose_clusters(scaled: DataFrame, candidates: Sequence[int] = fixed.CLUSTER_RANGE,
-                    restarts: int = RESTARTS, sample: int | None = None) -> tuple[int, DataFrame]:
-    """Number of clusters with the best silhouette, and the score of every candidate.
+                    restarts: int = RESTARTS, sample: int | None = None
+                    ) -> tuple[int, DataFrame, dict[int, kmeans.Model]]:
+    """Number of clusters with the best silhouette, every candidate's score, and the models.
 
     All customers are scored; ``sample`` limits them to so many if it is given. Starts from
     the default and changes only on a strictly better score.
     """
     if sample is not None:
         scaled = hashed_sample(scaled, "customer_id", sample)
-    vectors = _vectors(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit_kmeans(vectors, candidates, restarts)
-    best, best_score, scores = fixed.CLUSTER_DEFAULT, -1.0, []
+    models = fit_kmeans(scaled, candidates, restarts, scores=True)
+    best, best_score = fixed.CLUSTER_DEFAULT, -1.0
     for k in candidates:
-        model = models[k]
-        score = mean_silhouette(model.transform(vectors))
-        scores.append((k, float(model.summary.trainingCost), score))
+        score = models[k].silhouette
         if score is not None and score > best_score:
             best, best_score = k, score
-    vectors.unpersist()
     frame = scaled.sparkSession.createDataFrame(
-        scores, "k int, inertia double, silhouette double"
+        [(k, models[k].cost, models[k].silhouette) for k in candidates],
+        "k int, inertia double, silhouette double"
     )
-    return best, frame
+    return best, frame, models
 
 
 def centroids(clustered: DataFrame) -> DataFrame:
@@ -238,11 +212,10 @@ def segment_customers(rfm: DataFrame, restarts: int = RESTARTS,
     Six centroids at most are broadcast to name the clusters.
     """
     scaled = cut_lineage(standardised(rfm))
-    chosen, scores = choose_clusters(scaled, restarts=restarts, sample=sample)
-    vectors = _vectors(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_kmeans(vectors, [chosen], restarts)[chosen]
-    clustered = model.transform(_vectors(scaled))
-    vectors.unpersist()
+    chosen, scores, models = choose_clusters(scaled, restarts=restarts, sample=sample)
+    if sample is not None or chosen not in models:
+        models = fit_kmeans(scaled, [chosen], restarts)
+    clustered = scaled.withColumn("cluster", kmeans.nearest(models[chosen], _scaled_names()))
     kept = clustered.select(*rfm.columns, "cluster")
     names = name_clusters(centroids(kept)).select("cluster", "ml_segment")
     return kept.join(F.broadcast(names), "cluster"), scores
@@ -415,7 +388,6 @@ def anomaly_counts(compared: DataFrame) -> DataFrame:
 
 __all__ = [
     "anomaly_counts", "centroids", "choose_clusters", "compare_anomaly_methods",
-    "error_metrics", "fit_kmeans", "forecast_rows", "grow_trees", "isolation_scores", "mean_silhouette",
-    "name_clusters", "ranked_centroids", "segment_counts", "segment_customers", "standardised",
+    "error_metrics", "fit_kmeans", "forecast_rows", "grow_trees", "isolation_scores", "name_clusters", "ranked_centroids", "segment_counts", "segment_customers", "standardised",
     "train_forecast",
 ]

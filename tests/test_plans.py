@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import compare
+from saleslode.operators import kmeans
 from saleslode.plans import analytics, gold, marts, ml, monitoring, rfm, serving, silver, suites
 from saleslode.plans import warehouse
 
@@ -362,13 +363,20 @@ def test_error_metrics_leave_out_zero_targets(spark):
     assert none["mape"] is None
 
 
+def _points(spark, points, partitions=5):
+    rows = [(i * 7919 + 1, *map(float, p)) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "key long, x double, y double, z double").repartition(
+        partitions)
+
+
 def test_silhouette_equals_the_definition(spark):
     import numpy as np
 
     random = np.random.default_rng(3)
     points = random.normal(size=(330, 3)) + np.repeat([[0.0], [4.0], [9.0]], 110, axis=0)
-    labels = np.repeat([0, 1, 2], 110)
-    labels[-1] = 3
+    points[-1] = 40.0
+    centres = np.array([[0.0] * 3, [4.0] * 3, [9.0] * 3, [40.0] * 3, [99.0] * 3])
+    labels = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
     widths = []
     for i in range(len(points)):
         d = ((points - points[i]) ** 2).sum(axis=1)
@@ -379,11 +387,64 @@ def test_silhouette_equals_the_definition(spark):
         a = d[labels == labels[i]].sum() / (own - 1)
         b = min(d[labels == c].mean() for c in set(labels.tolist()) - {labels[i]})
         widths.append((b - a) / max(a, b))
-    df = ml._vectors(spark.createDataFrame(
-        [(*map(float, p), int(c)) for p, c in zip(points, labels, strict=True)],
-        ", ".join(f"z_{n} double" for n in ml.fixed.SEGMENT_FEATURES) + ", cluster int"))
-    assert ml.mean_silhouette(df) == pytest.approx(np.mean(widths))
-    assert ml.mean_silhouette(df.where("cluster = 1")) is None
+    df = _points(spark, points)
+    models = [kmeans.Model(5, 0, centres), kmeans.Model(1, 0, centres[:1])]
+    for model, found in zip(models, kmeans.gather(df, [m.centres for m in models]), strict=True):
+        model.counts, model.sums, model.squares, model.cost = found
+    kmeans.score_silhouettes(df, models)
+    assert models[0].silhouette == pytest.approx(np.mean(widths))
+    assert models[1].silhouette is None
+
+
+def test_all_starts_are_fitted_by_the_same_scans(spark):
+    """Costs no higher than the library's best of as many starts; scans as of one model."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    random = np.random.default_rng(8)
+    points = random.normal(size=(600, 3)) * [1, 2, 0.5] + random.choice([0, 5, 11], (600, 1))
+    df = _points(spark, points).cache()
+    starts = [(k, seed) for k in (2, 3, 5) for seed in range(6)]
+    fitted = kmeans.fit_many(df, starts)
+    assert fitted.scans <= kmeans.ITERATIONS + kmeans.ROUNDS + 3
+    vectors = VectorAssembler(inputCols=["x", "y", "z"], outputCol="v").transform(df).cache()
+    for k in (2, 3, 5):
+        model = fitted.best(k)
+        near = ((points[:, None] - model.centres) ** 2).sum(axis=2)
+        assert model.cost == pytest.approx(near.min(axis=1).sum())
+        assert model.counts.tolist() == np.bincount(near.argmin(axis=1), minlength=k).tolist()
+        library = min(KMeans(k=k, seed=s, featuresCol="v").fit(vectors).summary.trainingCost
+                      for s in range(6))
+        assert model.cost <= library * 1.0001
+        labels = df.select("key", kmeans.nearest(model, ["x", "y", "z"]).alias("c")).collect()
+        assert {r["key"]: r["c"] for r in labels} == {
+            i * 7919 + 1: int(c) for i, c in enumerate(near.argmin(axis=1))}
+    again = kmeans.fit_many(_points(spark, points, 2), starts[:2])
+    for one, two in zip(fitted.models, again.models):
+        np.testing.assert_allclose(one.centres, two.centres)
+
+
+def test_fewer_rows_than_clusters_and_none(spark):
+    import numpy as np
+
+    same = _points(spark, np.array([[1.0, 2, 3]] * 9 + [[4.0, 4, 4]] * 3))
+    model = kmeans.fit_many(same, [(5, 1)]).models[0]
+    assert (len(model.centres), model.cost, sorted(model.counts)) == (2, 0.0, [3, 9])
+    empty = kmeans.fit_many(same.where("false"), [(3, 1), (2, 2)])
+    assert [len(m.centres) for m in empty.models] == [0, 0] and empty.scans == 1
+
+
+def test_draws_follow_the_squared_distance(spark):
+    """Of two rows drawn in 400 seeds, far rows come in proportion to their distance."""
+    import numpy as np
+
+    df = _points(spark, np.array([[0.0, 0, 0], [1, 0, 0], [2, 0, 0], [4, 0, 0]]), 2)
+    seeds = list(range(400))
+    drawn = kmeans.draw(df, [np.zeros((1, 3))] * 400, seeds, [1] * 400, 1)
+    found = [float(d[:, 0].max()) for d in drawn]
+    share = [found.count(v) / 400 for v in (1.0, 2.0, 4.0)]
+    np.testing.assert_allclose(share, [1 / 21, 4 / 21, 16 / 21], atol=0.07)
 
 
 def test_segmentation_finds_separated_groups(spark):
