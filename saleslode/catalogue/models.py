@@ -61,6 +61,15 @@ def _model_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _linear_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of the linear regression on the test days."""
+    linear = ml.forecast_predictions(_features(spark, folder)).where(
+        "model_name = 'linear_regression'")
+    return ml.error_metrics(linear, "gmv", "predicted").select(
+        F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"),
+        F.round("mape", 5).alias("mape"))
+
+
 def _score_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates, their inertia (falling) and silhouettes (between -1 and 1)."""
     rows = F.sort_array(F.collect_list(F.struct("k", "inertia")))
@@ -98,6 +107,7 @@ def _method_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "m1_linear_errors": _linear_errors,
     "m1_model_facts": _model_facts,
     "m4_score_facts": _score_facts,
     "m5_segment_facts": _segment_facts,
@@ -117,6 +127,43 @@ QUERIES = {
     "m7_anomaly_methods": _anomalies,
 }
 
+_WIDTH = len(fixed.FORECAST_FEATURES) + 1
+
+
+def _standard(name: str) -> str:
+    return (f"({name} - avg({name}) filter (where is_train) over ())"
+            f" / stddev_pop({name}) filter (where is_train) over ()")
+
+
+# Least squares by its normal equations: sums of products of the standardised training rows,
+# solved by Gauss-Jordan steps, one column each.
+_LINEAR_ERRORS = f"""
+    select * from (with recursive f as (
+      select *, isodow(date) - 1 as day_of_week, month(date) as month,
+             row_number() over (order by date) - 1 < floor(count(*) over () * 0.8) as is_train
+      from g_ml_features where sales_lag_7 is not null and sales_lag_1 is not null),
+    z as (
+      select is_train, cast(gmv as double) as y,
+             [1.0, {", ".join(_standard(n) for n in fixed.FORECAST_FEATURES)},
+              cast(gmv as double)]::double[] as v from f),
+    sums as (
+      select i, j, sum(v[i] * v[j]) as s from z, range(1, {_WIDTH + 1}) a(i),
+             range(1, {_WIDTH + 2}) b(j) where is_train group by i, j),
+    g(k, m) as (
+      select 0, list(line order by i)
+      from (select i, list(s order by j) as line from sums group by i)
+      union all
+      select k + 1,
+             [case when i = k + 1 then p
+                   else [m[i][j] - m[i][k + 1] * p[j] for j in range(1, {_WIDTH + 2})] end
+              for i in range(1, {_WIDTH + 1})]
+      from (select k, m, [x / m[k + 1][k + 1] for x in m[k + 1]] as p from g where k < {_WIDTH})),
+    e as (
+      select y, y - list_sum([v[i] * m[i][{_WIDTH + 1}] for i in range(1, {_WIDTH + 1})]) as e
+      from z, g where k = {_WIDTH} and not is_train)
+    select round(avg(abs(e)), 3) as mae, round(sqrt(avg(e * e)), 3) as rmse,
+           round(avg(case when y <> 0 then abs(e / y) end), 5) as mape from e) r"""
+
 _CENTROIDS = """
     select cast(frequency % 6 as int) as cluster,
            round(sum(recency_days), 4) / count(recency_days) as recency_days,
@@ -125,6 +172,7 @@ _CENTROIDS = """
     from g_rfm_base group by 1"""
 
 ORACLES = {
+    "m1_linear_errors": oracle(_LINEAR_ERRORS),
     "m1_model_facts": oracle("""
         select 'linear_regression,random_forest' as models,
                cast(floor(count(*) * 0.8) as bigint) as train_rows,

@@ -9,18 +9,19 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.operators import kmeans, series
+from saleslode.operators import trees as trees_of
 from saleslode.operators.reshape import hashed_sample
 from saleslode.plans.serving import any_flag
 from saleslode.session import cut_lineage
 
 # -- forecast -----------------------------------------------------------------------
-TREES, TREE_DEPTH, SPLIT_CANDIDATES = 100, 30, 32
+TREES = 100
 
 
 def forecast_rows(features: DataFrame) -> DataFrame:
@@ -48,45 +49,40 @@ def error_metrics(predictions: DataFrame, target: str, predicted: str,
     )
 
 
-def train_forecast(features: DataFrame, trees: int = TREES,
-                   depth: int = TREE_DEPTH, candidates: int = SPLIT_CANDIDATES) -> DataFrame:
-    """Linear regression against a random forest: one metric row per model.
+def forecast_predictions(features: DataFrame, trees: int = TREES,
+                         depth: int | None = None) -> DataFrame:
+    """(position, model_name, date, gmv, predicted) of the test days, one row per model.
 
-    A split is chosen among ``candidates`` quantiles of a feature; as many as there are
-    training days make splits exact.
+    Forest splits are exact: every midpoint between neighbouring values is tried.
     """
-    rows = forecast_rows(features).select("date", "gmv", "is_train", *fixed.FORECAST_FEATURES)
-    assembled = cut_lineage(
-        VectorAssembler(inputCols=list(fixed.FORECAST_FEATURES), outputCol="features")
-        .transform(rows)
-        .select("date", F.col("gmv").cast("double").alias("gmv"), "features", "is_train")
-    )
-    train, test = assembled.where("is_train"), assembled.where("not is_train")
-    models = {
-        "linear_regression": LinearRegression(
-            labelCol="gmv", solver="normal", regParam=0.0, predictionCol="predicted"
-        ),
-        "random_forest": RandomForestRegressor(
-            labelCol="gmv", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
-            maxBins=candidates, seed=fixed.SEED, predictionCol="predicted",
-            cacheNodeIds=True,
-        ),
-    }
-    parts = []
-    for position, (name, model) in enumerate(models.items()):
-        predicted = model.fit(train).transform(test)
-        parts.append(
-            predicted.select(
-                F.lit(position).alias("position"), F.lit(name).alias("model_name"), "gmv",
-                "predicted",
-            )
-        )
-    measured = error_metrics(
-        reduce(DataFrame.unionByName, parts), "gmv", "predicted", ("position", "model_name")
-    )
-    sizes = assembled.agg(
-        F.struct(F.count_if("is_train").alias("train"), F.count_if(~F.col("is_train")).alias("test"))
-    ).scalar()
+    rows = cut_lineage(forecast_rows(features).select(
+        "date", F.col("gmv").cast("double").alias("gmv"), "is_train",
+        *[F.col(n).cast("double").alias(n) for n in fixed.FORECAST_FEATURES]))
+    assembled = VectorAssembler(
+        inputCols=list(fixed.FORECAST_FEATURES), outputCol="features").transform(rows)
+    linear = LinearRegression(
+        labelCol="gmv", solver="normal", regParam=0.0, predictionCol="predicted"
+    ).fit(assembled.where("is_train")).transform(assembled.where("not is_train"))
+    forest = trees_of.forest_predictions(rows, "date", fixed.FORECAST_FEATURES, "gmv", "is_train",
+                                         trees, depth, fixed.SEED)
+    forest = rows.where("not is_train").select("date", "gmv").join(forest, "date")
+    parts = [
+        part.select(F.lit(position).alias("position"), F.lit(name).alias("model_name"), "date",
+                    "gmv", "predicted")
+        for position, (name, part) in enumerate(
+            {"linear_regression": linear, "random_forest": forest}.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def train_forecast(features: DataFrame, trees: int = TREES,
+                   depth: int | None = None) -> DataFrame:
+    """Linear regression against a random forest: one metric row per model."""
+    measured = error_metrics(forecast_predictions(features, trees, depth), "gmv", "predicted",
+                             ("position", "model_name"))
+    sizes = forecast_rows(features).agg(
+        F.struct(F.count_if("is_train").alias("train"),
+                 F.count_if(~F.col("is_train")).alias("test"))).scalar()
     return measured.withColumns({"train_rows": sizes["train"], "test_rows": sizes["test"]})
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import compare
-from saleslode.operators import kmeans
+from saleslode.operators import kmeans, trees
 from saleslode.plans import analytics, gold, marts, ml, monitoring, rfm, serving, silver, suites
 from saleslode.plans import warehouse
 
@@ -497,3 +497,65 @@ def test_forecast_reports_both_models(spark):
     assert set(got) == {"linear_regression", "random_forest"}
     assert got["linear_regression"]["mae"] < 1e-6
     assert (got["random_forest"]["train_rows"], got["random_forest"]["test_rows"]) == (42, 11)
+
+
+def _plain_tree(rows, target, weight):
+    """Best split by trying every midpoint of every feature, depth first."""
+    import numpy as np
+
+    mean = np.average(target, weights=weight)
+    best = (0.0, None)
+    for f in range(rows.shape[1]):
+        values = np.unique(rows[:, f])
+        for a, b in zip(values, values[1:], strict=False):
+            low = rows[:, f] <= (a + b) / 2
+            error = sum((weight[s] * (target[s] - np.average(target[s], weights=weight[s])) ** 2
+                         ).sum() for s in (low, ~low))
+            gain = (weight * (target - mean) ** 2).sum() - error
+            if gain > best[0] * (1 + 1e-9) and gain > 1e-12:
+                best = (gain, (f, (a + b) / 2, low))
+    if best[1] is None or len(set(target)) == 1:
+        return lambda x: mean
+    f, cut, low = best[1]
+    left = _plain_tree(rows[low], target[low], weight[low])
+    right = _plain_tree(rows[~low], target[~low], weight[~low])
+    return lambda x: left(x) if x[f] <= cut else right(x)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_trees_equal_a_search_of_all_midpoints(seed):
+    import numpy as np
+
+    random = np.random.default_rng(seed)
+    rows = np.column_stack([random.normal(size=70), random.integers(0, 4, 70),
+                            random.normal(size=70).round(1)])
+    target = 3 * rows[:, 0] + rows[:, 1] ** 2 + random.normal(size=70)
+    weight = trees.bootstrap_weights(70, 42, seed)
+    assert weight.sum() == 70
+    tree = trees.grow(rows, target, weight)
+    held = weight > 0
+    plain = _plain_tree(rows[held], target[held], weight[held].astype(float))
+    fresh = np.column_stack([random.normal(size=200), random.integers(0, 4, 200),
+                             random.normal(size=200)])
+    np.testing.assert_allclose(tree.predict(fresh), [plain(x) for x in fresh])
+    np.testing.assert_allclose(tree.predict(rows[held]), target[held])
+    stump = trees.grow(rows, target, weight, depth=1)
+    assert (stump.feature >= 0).sum() == 1 and len(stump.value) == 3
+    assert len(trees.grow(rows, np.ones(70)).value) == 1
+    assert len(trees.grow(np.ones((5, 2)), np.arange(5.0)).value) == 1
+
+
+def test_forest_is_the_mean_of_its_trees(spark):
+    import numpy as np
+
+    random = np.random.default_rng(2)
+    rows = [(i, *map(float, random.normal(size=2)), float(i % 7), i < 80) for i in range(100)]
+    df = spark.createDataFrame(rows, "day int, a double, b double, y double, t boolean")
+    got = {r["day"]: r["predicted"] for r in trees.forest_predictions(
+        df.repartition(4), "day", ["a", "b"], "y", "t", 7, None, 42).collect()}
+    x, y = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    want = np.mean([trees.grow(x[:80], y[:80], trees.bootstrap_weights(80, 42, n)).predict(x[80:])
+                    for n in range(7)], axis=0)
+    np.testing.assert_allclose([got[i] for i in range(80, 100)], want)
+    none = trees.forest_predictions(df.where("not t"), "day", ["a", "b"], "y", "t", 3, None, 1)
+    assert none.count() == 0
