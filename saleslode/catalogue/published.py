@@ -40,7 +40,7 @@ def _health(spark: SparkSession, folder: str) -> DataFrame:
     writers.append_batch(loaded, f"{layout.bronze}/olist/sellers", "olist_first")
     publish.publish_quality(spark, layout, silver, gold)
     publish.publish_analytics(layout, gold)
-    publish.publish_models(layout, gold, silver["order_reviews"], silver["orders"], restarts=2)
+    publish.publish_models(layout, gold, silver["order_reviews"], silver["orders"])
     checks = monitoring.health_checks(spark, layout)
     return checks.select("name", "status", F.col("details.rows").alias("rows"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from saleslode.catalogue.sqltext import oracle
 from saleslode.operators.rules import union_results
 from saleslode.plans import marts, suites, warehouse
 from saleslode.plans.gold import dim_date_of_sales
+from saleslode.session import scratch_path
+from saleslode.sinks import star
 
 
 def _lazy_gold(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -59,6 +62,40 @@ def _table_counts(spark: SparkSession, folder: str) -> DataFrame:
     return union_results(parts)
 
 
+def _loaded(spark: SparkSession, folder: str) -> tuple[str, dict[str, DataFrame], str]:
+    """A finished load under a name of its own: schema, its tables' plans, its folder."""
+    tables = _tables(spark, folder)
+    location = scratch_path(spark, "star")
+    schema = f"star_{uuid.uuid4().hex[:12]}"
+    star.load_star(spark, tables, schema, warehouse.check_constraints, location)
+    return schema, tables, location
+
+
+def _second_load_fails(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per table after a good load and one whose customers repeat a key."""
+    schema, tables, location = _loaded(spark, folder)
+    twice = tables["dim_customer"].unionByName(tables["dim_customer"])
+    try:
+        star.load_star(spark, {**tables, "dim_customer": twice}, schema,
+                       warehouse.check_constraints, location)
+    except warehouse.ConstraintViolation:
+        pass
+    return union_results([
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        for name, df in star.read_star(spark, schema).items()
+    ])
+
+
+def _in_second_session(model: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A model published over a stored load, as another session reads it."""
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        schema, _, location = _loaded(spark, folder)
+        marts.publish(spark, schema, f"{schema}_marts", f"{location}/marts")
+        return _money(spark.newSession().table(f"{schema}_marts.{model}"))
+
+    return read
+
+
 def _constraints(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.constraint_results(_tables(spark, folder)).drop("message", "severity")
 
@@ -107,6 +144,9 @@ def _staged_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "k6_table_counts": _table_counts,
+    "k6_reload_keeps_first": _second_load_fails,
+    "s13_second_session_mart": _in_second_session("mart_economic_analysis"),
+    "p17_second_session_calendar": _in_second_session("int_sales_calendar"),
     "k7_fact_sales_daily": _fact("fact_sales_daily"),
     "k6_fact_sales_monthly": _fact("fact_sales_monthly"),
     "k6_fact_category": _fact("fact_category_performance"),
@@ -230,3 +270,7 @@ ORACLES = {
         for test in tests
     ),
 }
+
+ORACLES["k6_reload_keeps_first"] = ORACLES["k6_table_counts"]
+ORACLES["s13_second_session_mart"] = ORACLES["p17_mart_economic_analysis"]
+ORACLES["p17_second_session_calendar"] = ORACLES["j10_sales_calendar"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +80,50 @@ def publish_models(models: Mapping[str, DataFrame], schema: str = "analytics_mar
             df.createOrReplaceTempView(name)
         published.append(name)
     return published
+
+
+def definitions(source: str = "analytics", schema: str = "analytics_marts"
+                ) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Each model's own models it reads, and its SQL over stored tables and views."""
+    def listed(columns, owner: str = "") -> str:
+        return ", ".join(f"{owner}{c}" for c in columns)
+
+    found = {model: ((), f"select {listed(TABLES[table].columns)} from {source}.{table}")
+             for model, table in STAGING.items()}
+    found["int_sales_calendar"] = (
+        ("stg_sales_daily", "stg_dim_date"),
+        f"select {listed(CALENDAR_COLUMNS, 'c.')}, {listed(DAILY_MEASURES, 's.')}"
+        f" from {schema}.stg_sales_daily s join {schema}.stg_dim_date c"
+        " on s.date_key = c.date_key")
+    found["int_sales_economic_monthly"] = (
+        ("stg_sales_monthly", "stg_economic_indicators"),
+        f"select {listed(MONTHLY_COLUMNS, 'm.')}, {listed(INDICATOR_COLUMNS, 'i.')}"
+        f" from {schema}.stg_sales_monthly m left join {schema}.stg_economic_indicators i"
+        " on m.month = i.reference_month")
+    for mart, model, columns in (
+            ("mart_sales", "stg_sales_monthly", MONTHLY_COLUMNS),
+            ("mart_category", "stg_category_performance",
+             TABLES["fact_category_performance"].columns),
+            ("mart_economic_analysis", "int_sales_economic_monthly",
+             (*MONTHLY_COLUMNS, *INDICATOR_COLUMNS))):
+        found[mart] = ((model,), f"select {listed(columns)} from {schema}.{model}")
+    return found
+
+
+def publish(spark: SparkSession, source: str = "analytics", schema: str = "analytics_marts",
+            location: str | None = None) -> list[str]:
+    """Publish all models so that every session sees them; returns their names in order.
+
+    Staging and intermediate models are catalogue views over the stored tables, marts are
+    tables. A model comes after those it reads.
+    """
+    place = f" location '{location}'" if location else ""
+    spark.sql(f"create schema if not exists {schema}{place}")
+    models = definitions(source, schema)
+    order = list(TopologicalSorter({m: set(d) for m, (d, _) in models.items()}).static_order())
+    for name in order:
+        if name in MARTS:
+            spark.sql(models[name][1]).write.mode("overwrite").saveAsTable(f"{schema}.{name}")
+        else:
+            spark.sql(f"create or replace view {schema}.{name} as {models[name][1]}")
+    return order

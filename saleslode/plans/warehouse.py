@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.functions import date_key
+from saleslode.operators.numbering import dense_numbers
 from saleslode.operators.rules import RelationRule, evaluate, not_null, union_results, unique_key
 
 MONEY = "decimal(18,2)"
@@ -122,14 +123,10 @@ def fact_sales_daily(daily: DataFrame) -> DataFrame:
 
 
 def dim_category(categories: DataFrame) -> DataFrame:
-    """Distinct categories numbered from 1 by falling gmv.
-
-    Numbering needs one ordered pass over all categories; they come aggregated, one
-    row per catalogue category.
-    """
+    """Distinct categories numbered from 1 by falling gmv, then by name."""
     distinct = categories.groupBy("category").agg(F.max("gmv").alias("gmv"))
-    ordered = Window.orderBy(F.col("gmv").desc_nulls_last(), "category")
-    return conform("dim_category", distinct.withColumn("category_key", F.row_number().over(ordered)))
+    order = (F.col("gmv").desc_nulls_last(), F.col("category").asc())
+    return conform("dim_category", dense_numbers(distinct, order, "category_key"))
 
 
 def dim_economic_indicator(spark: SparkSession) -> DataFrame:

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
+from saleslode.operators.numbering import dense_numbers
 from saleslode.plans import bronze, build, marts, monitoring, serving, warehouse
 from saleslode.settings import SERIES_INDICATORS
-from saleslode.sinks import writers
+from saleslode.sinks import star, writers
 from saleslode.sources import files, lake, landing, reports
 
 CUSTOMERS = ("customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,"
@@ -206,6 +207,65 @@ def test_landing_to_marts(spark, layout, tmp_path):
         spark.sql(f"drop schema {schema} cascade")
 
 
+def test_a_failed_load_leaves_the_star(spark, tmp_path):
+    """Readers, views and a second session see the last whole load; old versions go."""
+    place, good = str(tmp_path / "star"), {
+        "one": spark.createDataFrame([(1, "a")], "k int, v string"),
+        "two": spark.createDataFrame([(1,), (2,)], "k int")}
+
+    def no_repeats(tables):
+        assert set(tables) == {"one", "two"}
+        if tables["one"].count() != tables["one"].distinct().count():
+            raise ValueError("repeated")
+
+    with pytest.raises(star.NotLoaded):
+        star.current_version(spark, "star_case")
+    assert star.load_star(spark, good, "star_case", no_repeats, place) == {"one": 1, "two": 2}
+    first = star.current_version(spark, "star_case")
+    broken = {**good, "two": good["two"].limit(1), "one": good["one"].union(good["one"])}
+    with pytest.raises(ValueError):
+        star.load_star(spark, broken, "star_case", no_repeats, place)
+    failing = {**good, "two": good["two"].select(F.raise_error(F.lit("lost")).alias("k"))}
+    with pytest.raises(Exception, match="lost"):
+        star.load_star(spark, failing, "star_case", no_repeats, place)
+    assert star.current_version(spark, "star_case") == first
+    assert star.read_star(spark, "star_case")["two"].count() == 2
+    assert spark.newSession().table("star_case.two").count() == 2
+    versions = [first]
+    for rows in ([(7, "b")], [(8, "c")], [(9, "d")]):
+        star.load_star(spark, {**good, "one": spark.createDataFrame(rows, "k int, v string")},
+                       "star_case", no_repeats, place)
+        versions.append(star.current_version(spark, "star_case"))
+        assert [tuple(r) for r in spark.table("star_case.one").collect()] == rows
+    held = {d.name for d in spark.catalog.listDatabases()}
+    assert [v in held for v in versions] == [False, False, True, True]
+    star.drop_star(spark, "star_case")
+    assert not spark.catalog.databaseExists("star_case")
+
+
+def test_models_are_published_after_what_they_read():
+    found = marts.definitions("s", "m")
+    assert set(found) == {*marts.STAGING, "int_sales_calendar", "int_sales_economic_monthly",
+                          *marts.MARTS}
+    for _, (reads, sql) in found.items():
+        assert all(f"m.{r} " in f"{sql} " for r in reads) and set(reads) <= set(found)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_dense_numbers_follow_the_order(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("g"), "id")
+        got = dense_numbers(df, (F.col("g").desc_nulls_last(), F.col("id").asc()), "no")
+        rows = sorted(got.collect(), key=lambda r: (r["g"] is None, -(r["g"] or 0), r["id"]))
+        assert [r["no"] for r in rows] == list(range(1, 3001))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        assert dense_numbers(df.limit(0), (F.col("id").asc(),), "no").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_paths_list_only_one_level(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "deep").mkdir()
