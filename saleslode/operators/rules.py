@@ -1,14 +1,16 @@
 """Declarative data-quality rules.
 
 A rule yields (rule_name, severity, passed, failed_count, total_count, message). All
-row-level rules of a table are evaluated by one aggregation over one scan; key and
-relationship rules add one shuffle of counted keys each. A rule whose column does
-not exist fails on every row, and an empty table passes.
+row-level rules of a table are evaluated by one aggregation over one scan. Over several tables
+(``evaluate_tables``) the key and relationship rules of all of them share one shuffle: a
+second scan of each table deals a cell (rule, 128-bit hash of the key) per rule that reads it,
+as child or as parent, and cells are counted with map-side combine. A rule whose column
+does not exist fails on every row, and an empty table passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -131,6 +133,84 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return union_results(parts)
 
 
+def evaluate_tables(frames: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]],
+                    label: str = "dataset") -> DataFrame:
+    """Result rows of the rules of every table, its name first, from two scans of a table.
+
+    Relations to a table among ``frames`` (the same object) are met in its own scan.
+    """
+    parts, shared, cells = [], [], {}
+    scanned = dict(frames)
+
+    def deal(name: str, cell: Column) -> None:
+        cells.setdefault(name, []).append(cell)
+
+    for name, df in frames.items():
+        row_rules = [r for r in rules.get(name, ()) if isinstance(r, (RowRule, NotEmptyRule))]
+        if row_rules:
+            parts.append(_row_results(df, row_rules).withColumn(label, F.lit(name)))
+        for rule in rules.get(name, ()):
+            number = len(shared)
+            if isinstance(rule, KeyRule) and set(rule.columns) <= set(df.columns):
+                deal(name, _cell(number, df, rule.columns, child=True))
+                text = f" duplicate key rows found for {list(rule.columns)}"
+                shared.append((number, name, rule.rule_name, rule.severity, True, text))
+            elif isinstance(rule, RelationRule) and _same_kind(df, rule):
+                owner = next((n for n, f in scanned.items() if f is rule.parent), None)
+                if owner is None:
+                    owner = f"parent {number}"
+                    scanned[owner] = rule.parent
+                deal(name, _cell(number, df, [rule.child_column], child=True))
+                deal(owner, _cell(number, rule.parent, [rule.parent_column], child=False))
+                text = f" orphan rows found for {rule.child_column} -> {rule.parent_column}"
+                shared.append((number, name, rule.rule_name, rule.severity, False, text))
+            elif isinstance(rule, (KeyRule, RelationRule)):
+                parts.append(evaluate(df, [rule]).withColumn(label, F.lit(name)))
+    if shared:
+        parts.append(_shared_results(scanned, cells, shared, label))
+    columns = [label, "rule_name", "severity", "passed", "failed_count", "total_count", "message"]
+    return union_results([part.select(*columns) for part in parts])
+
+
+def _same_kind(child: DataFrame, rule: RelationRule) -> bool:
+    """Both columns are there and of one type, so that equal values have equal hashes."""
+    return (rule.child_column in child.columns and rule.parent_column in rule.parent.columns
+            and child.schema[rule.child_column].dataType
+            == rule.parent.schema[rule.parent_column].dataType)
+
+
+def _cell(number: int, df: DataFrame, columns: Sequence[str], child: bool) -> Column:
+    """A row's key for one rule; the key of a relation is NULL where its column is."""
+    parts = [p for c in columns for p in (df[c], df[c].isNull())]
+    known = F.lit(True) if len(columns) > 1 else df[columns[0]].isNotNull()
+    return F.struct(
+        F.lit(number).alias("rule"), known.alias("known"), F.xxhash64(*parts).alias("hash1"),
+        F.xxhash64(F.lit(number), F.lit("second"), *parts).alias("hash2"),
+        F.lit(int(child)).cast("bigint").alias("children"), F.lit(not child).alias("parent"))
+
+
+def _shared_results(frames: Mapping[str, DataFrame], cells: Mapping[str, Sequence[Column]],
+                    shared: Sequence[tuple], label: str) -> DataFrame:
+    spark = next(iter(frames.values())).sparkSession
+    dealt = union_results([frames[name].select(F.explode(F.array(*made)).alias("c")).select("c.*")
+                           for name, made in cells.items()])
+    keys = dealt.groupBy("rule", "known", "hash1", "hash2").agg(
+        F.sum("children").alias("n"), F.bool_or("parent").alias("has_parent"))
+    table = F.broadcast(spark.createDataFrame(
+        shared, f"rule int, {label} string, rule_name string, severity string, is_key boolean,"
+                " text string"))
+    failed = F.when(F.col("is_key"), F.when(F.col("n") > 1, F.col("n"))).otherwise(
+        F.when(F.col("known") & ~F.col("has_parent"), F.col("n")))
+    counted = keys.join(table.select("rule", "is_key"), "rule").groupBy("rule").agg(
+        F.sum(failed).alias("failed_count"), F.sum("n").alias("total_count"))
+    zero = F.lit(0).cast("bigint")
+    return table.join(counted, "rule", "left").select(
+        label, "rule_name", "severity", (F.coalesce("failed_count", zero) == 0).alias("passed"),
+        F.coalesce("failed_count", zero).alias("failed_count"),
+        F.coalesce("total_count", zero).alias("total_count"),
+        F.concat(F.coalesce("failed_count", zero).cast("string"), "text").alias("message"))
+
+
 def union_results(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

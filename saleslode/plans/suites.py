@@ -17,6 +17,7 @@ from saleslode.operators.rules import (
     accepted_values,
     between,
     evaluate,
+    evaluate_tables,
     false_flag,
     non_negative,
     not_null,
@@ -127,18 +128,11 @@ def relation_rules(frames: Mapping[str, DataFrame], child: str) -> list[Relation
     ]
 
 
-def _named(dataset: str, results: DataFrame) -> DataFrame:
-    return results.select(F.lit(dataset).alias("dataset"), *results.columns)
-
-
 def silver_results(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Result rows of every rule of every dataset given, with its dataset name."""
-    parts = []
-    for dataset, df in frames.items():
-        rules = [*silver_rules(dataset, df), *relation_rules(frames, dataset)]
-        if rules:
-            parts.append(_named(dataset, evaluate(df, rules)))
-    return union_results(parts)
+    return evaluate_tables(frames, {
+        name: [*silver_rules(name, df), *relation_rules(frames, name)]
+        for name, df in frames.items()})
 
 
 def gold_rules(dataset: str) -> tuple[Rule, ...]:
@@ -147,9 +141,7 @@ def gold_rules(dataset: str) -> tuple[Rule, ...]:
 
 def gold_results(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Result rows of the Gold suites of the datasets given."""
-    return union_results(
-        [_named(name, evaluate(df, gold_rules(name))) for name, df in sorted(frames.items())]
-    )
+    return evaluate_tables(dict(sorted(frames.items())), {n: gold_rules(n) for n in frames})
 
 
 def layer_verdict(results: DataFrame, missing: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from saleslode import settings as fixed
 from saleslode.functions import date_key
 from saleslode.operators.numbering import dense_numbers
-from saleslode.operators.rules import RelationRule, evaluate, not_null, union_results, unique_key
+from saleslode.operators.rules import RelationRule, evaluate_tables, not_null, unique_key
 
 MONEY = "decimal(18,2)"
 
@@ -157,19 +157,16 @@ def build_tables(gold: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 def constraint_results(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Key, mandatory-column and foreign-key checks, one result row each."""
-    parts = []
-    for name, df in tables.items():
+    checked = {}
+    for name in tables:
         spec = TABLES[name]
-        rules = [not_null(column) for column in spec.required]
-        rules += [unique_key(*key) for key in spec.unique]
-        rules += [
-            RelationRule(f"{column}_references_{parent}", column, tables[parent], column)
-            for column, parent in spec.foreign
-            if parent in tables
+        checked[name] = [
+            *[not_null(column) for column in spec.required],
+            *[unique_key(*key) for key in spec.unique],
+            *[RelationRule(f"{column}_references_{parent}", column, tables[parent], column)
+              for column, parent in spec.foreign if parent in tables],
         ]
-        results = evaluate(df, rules)
-        parts.append(results.select(F.lit(name).alias("table_name"), *results.columns))
-    return union_results(parts)
+    return evaluate_tables(tables, checked, "table_name")
 
 
 class ConstraintViolation(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,50 @@ def results(df, *checked):
     return {r["rule_name"]: r for r in rules.evaluate(df, list(checked)).collect()}
 
 
+def test_tables_share_one_evaluation(spark, tmp_path):
+    """As rule by rule: NULLs, repeats, other types, absent columns, empty and outside parents."""
+    def saved(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    frames = {
+        "items": saved("items", [(1, None, "a", 1.0), (1, None, "a", 2.0), (2, 5, "b", -0.0),
+                                 (None, 5, None, 0.0), (None, 2, "c", None), (9, 9, "a", 1.0)],
+                       "order_id int, line int, code string, price double"),
+        "orders": saved("orders", [(1, "x"), (2, None), (2, "y"), (None, "z")],
+                        "id int, code string"),
+        "empty": saved("empty", [], "id int, code string"),
+    }
+    wide = frames["orders"].select(F.col("id").cast("long").alias("id"))
+    outside = saved("outside", [("a",), (None,)], "code string")
+    checked = {
+        "items": [rules.not_null("code"), rules.unique_key("order_id", "line"),
+                  rules.unique_key("line", "order_id"), rules.unique_key("price"),
+                  rules.unique_key("absent"), rules.NotEmptyRule("items"),
+                  rules.RelationRule("same", "order_id", frames["orders"], "id"),
+                  rules.RelationRule("wide", "order_id", wide, "id", rules.WARNING),
+                  rules.RelationRule("code", "code", outside, "code"),
+                  rules.RelationRule("lost", "order_id", frames["orders"], "gone")],
+        "orders": [rules.unique_key("id"), rules.unique_key("id", "code", name="both"),
+                   rules.RelationRule("back", "id", frames["empty"], "id")],
+        "empty": [rules.unique_key("id"), rules.NotEmptyRule("empty"),
+                  rules.RelationRule("up", "id", frames["orders"], "id")],
+    }
+    together = rules.evaluate_tables(frames, checked)
+    got = {(r["dataset"], *[r[c] for c in RESULT]) for r in together.collect()}
+    alone = {(name, *[r[c] for c in RESULT]) for name, own in checked.items()
+             for r in rules.evaluate(frames[name], own).collect()}
+    assert got == alone and len(got) == 16
+    few = rules.evaluate_tables(
+        frames, {n: [r for r in own if r.rule_name not in ("wide", "lost", "absent_unique")]
+                 for n, own in checked.items()})
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < len(re.findall(r"Relation \[[^]]*\] parquet", plan)) <= 2 * len(frames) + 1
+
+
+RESULT = ("rule_name", "severity", "passed", "failed_count", "total_count", "message")
+
+
 def test_rules_on_items(spark):
     df = spark.createDataFrame(
         [("o1", "p1", 10.0, "ok", False), ("o2", None, -1.0, "bad", True),
