@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from saleslode.catalogue.silver import (
     raw_items,
     raw_orders,
     raw_reviews,
-    raw_series,
     raw_statistics,
 )
 from saleslode.catalogue.sqltext import oracle
@@ -74,43 +74,98 @@ def _bronze_items(spark: SparkSession, folder: str) -> DataFrame:
                         "has_invalid_price")
 
 
+def _land_series(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The three series as JSON lines in the landed layout, by indicator."""
+    t, base = ShippedTables(spark, folder), scratch_path(spark, "series-json")
+    for indicator in fixed.SERIES_INDICATORS:
+        t.one_series(indicator.name).select(
+            F.date_format("date", "dd/MM/yyyy").alias("data"),
+            F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("valor"),
+        ).write.json(f"{base}/{indicator.name}")
+    return {i.name: f"{base}/{i.name}" for i in fixed.SERIES_INDICATORS}
+
+
 def _series_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """A landed JSON series through Bronze and Silver."""
-    layout = _layout(spark, "series")
-    path = scratch_path(spark, "series-json")
-    raw_series(spark, folder).write.json(path)
-    code = fixed.SeriesIndicator("selic_target", 432)
-    rows = landing.typed_series(
-        spark.read.schema(landing.SERIES_SCHEMA).json(path), code.series_code,
-        "01/01/1996", "31/12/1996",
-    ).withColumn("indicator_name", F.lit(code.name))
-    batch = writers.new_batch_id("bcb")
-    loaded = bronze.with_load_metadata(rows, "bcb_sgs", batch, datetime.now(UTC))
-    target = f"{layout.bronze}/bcb/{code.name}"
-    writers.append_batch(loaded, target, batch)
-    typed = silver.flag_series(lake.read_latest(spark, target))
-    return typed.groupBy("indicator_name", "series_code", F.col("date").cast("date").alias("day")
-                         ).agg(F.count(F.lit(1)).alias("rows"),
-                               F.round(F.sum("value"), 6).alias("value_sum"))
+    """All landed series as one batch, then one of them again for a year, through Silver."""
+    layout, landed = _layout(spark, "series"), _land_series(spark, folder)
+    bronze.ingest_series(spark, landed, layout, lines=True)
+    first = fixed.SERIES_INDICATORS[0]
+    bronze.ingest_one_series(spark, landed[first.name], first, layout, "01/01/1996", "31/12/1996",
+                             lines=True)
+    build.build_silver(spark, layout)
+    current = lake.read_latest_below(spark, f"{layout.silver}/{fixed.SERIES_SOURCE}")
+    rows = reduce(DataFrame.unionByName, [
+        df.select("indicator_name", "series_code", "date", "value") for df in current.values()])
+    return rows.groupBy("indicator_name", "series_code", F.col("date").cast("date").alias("day")
+                        ).agg(F.count(F.lit(1)).alias("rows"),
+                              F.round(F.sum("value"), 6).alias("value_sum"))
+
+
+def _land_statistics(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "statistics-json")
+    raw_statistics(spark, folder).drop("indicator_name").write.json(path)
+    return path
 
 
 def _statistics_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """A landed JSON statistics table with its header record, through Bronze and Silver."""
     layout = _layout(spark, "statistics")
-    path = scratch_path(spark, "statistics-json")
-    raw_statistics(spark, folder).drop("indicator_name").coalesce(4).write.json(path)
-    schema = ", ".join(f"{name} string" for name in landing.STATISTICS_FIELDS)
-    rows = spark.read.schema(schema).json(path).withColumn("indicator_name", F.lit("ipca"))
-    batch = writers.new_batch_id("ibge")
-    loaded = bronze.with_load_metadata(rows, "ibge_sidra", batch, datetime.now(UTC))
-    target = f"{layout.bronze}/ibge/ipca"
-    writers.append_batch(loaded, target, batch)
-    typed = silver.transform_statistics(lake.read_latest(spark, target))
+    (indicator,) = fixed.STATISTICS_INDICATORS
+    bronze.ingest_one_statistics(spark, _land_statistics(spark, folder), indicator, layout,
+                                 lines=True)
+    build.build_silver(spark, layout)
+    typed = lake.read_latest(spark, f"{layout.silver}/{fixed.STATISTICS_SOURCE}/{indicator.name}")
     return typed.groupBy("reference_month").agg(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("values_present")
     )
 
 
+def _whole_silver(spark: SparkSession, folder: str) -> tuple[Layout, DataFrame]:
+    """Every source landed and ingested by its entry point, and Silver built over it."""
+    layout = _layout(spark, "layers")
+    bronze.ingest_sales_csvs(
+        spark, _landed_sales(spark, folder, scratch_path(spark, "landing")), layout)
+    bronze.ingest_series(spark, _land_series(spark, folder), layout, lines=True)
+    bronze.ingest_statistics(
+        spark, {i.name: _land_statistics(spark, folder) for i in fixed.STATISTICS_INDICATORS},
+        layout, lines=True)
+    return layout, build.build_silver(spark, layout)
+
+
+def _silver_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows of the Silver build, with the rows that its datasets hold when read back."""
+    layout, results = _whole_silver(spark, folder)
+    held = [
+        df.agg(F.count(F.lit(1)).alias("rows_read")).select(
+            F.lit(f"{source}.{name}").alias("dataset"), "rows_read")
+        for source in fixed.SOURCES
+        for name, df in lake.read_latest_below(spark, f"{layout.silver}/{source}").items()
+    ]
+    return results.join(reduce(DataFrame.unionByName, held), "dataset").select(
+        F.substring_index("dataset", ".", -1).alias("dataset"), "rows_input", "rows_output",
+        "rows_read")
+
+
+def _run_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A run of series ingestion and Silver, and a failed one, appended and read back."""
+    layout, started = _layout(spark, "runs"), datetime.now(UTC)
+    manifest = bronze.ingest_series(spark, _land_series(spark, folder), layout, lines=True)
+    built = build.build_silver(spark, layout).agg(F.sum("rows_output")).first()[0]
+    path, finished = f"{layout.silver}/_runs", datetime.now(UTC)
+    read = sum(t.rows_read for t in manifest.tables)
+    done = writers.RunLog("run_1", "series", started, finished,
+                          (finished - started).total_seconds(), read, built, read - built,
+                          manifest.source, layout.silver, "success")
+    writers.append_run(done, spark, path)
+    writers.append_run(writers.RunLog("run_2", "series", started, None, None, 0, 0, 0,
+                                      manifest.source, layout.silver, "failed", "stopped"),
+                       spark, path)
+    return spark.read.parquet(path).select(
+        "run_id", "pipeline_name", "records_read", "records_written", "records_rejected",
+        "status", "error_message",
+        F.coalesce(F.col("duration_seconds") > 0, F.lit(False)).alias("has_duration"))
+
+
 def _latest_wins(spark: SparkSession, folder: str) -> DataFrame:
     """Two batches of one dataset: the second replaces the first as a whole."""
     layout = _layout(spark, "batches")
@@ -218,6 +273,8 @@ QUERIES = {
     "k1_bronze_items": _bronze_items,
     "s5_series_ingest": _series_ingest,
     "s4_statistics_ingest": _statistics_ingest,
+    "k3_silver_build": _silver_build,
+    "k12_run_log": _run_log,
     "s7_latest_batch": _latest_wins,
     "s8_latest_by_leaf": _latest_below,
     "k4_k5_overwrite": _overwritten,
@@ -268,10 +325,36 @@ ORACLES = {
                     else price end as price,
                order_item_id in (6, 7) as has_invalid_price from lg_items"""),
     "s5_series_ingest": """
-        select 'selic_target' as indicator_name, cast(432 as bigint) as series_code,
+        select case l_returnflag when 'A' then 'selic_target' when 'N' then 'usd_brl'
+                    when 'R' then 'ibc_br' end as indicator_name,
+               cast(case l_returnflag when 'A' then 432 when 'N' then 1 when 'R' then 24363 end
+                    as bigint) as series_code,
                cast(l_shipdate as date) as day, count(*) as rows,
                round(sum(l_discount), 6) as value_sum
-        from lineitem where year(l_shipdate) = 1996 group by 3""",
+        from lineitem where l_returnflag <> 'A' or year(l_shipdate) = 1996 group by 1, 2, 3""",
+    "k3_silver_build": """
+        with t as (
+          select 'order_items' as dataset, count(*) as n, count(*) as read from lineitem
+          union all select 'orders', count(*), count(*) from orders
+          union all select 'order_reviews', count(*), count(*) from documents
+          union all select 'ipca', count(*) + 1, count(*) from lineitem
+          union all select 'order_payments', count(*), count(*) from orders
+          union all select 'products', count(*), count(*) from part
+          union all select 'customers', count(*), count(*) from customer
+          union all select 'sellers', count(*), count(*) from supplier
+          union all select 'geolocation', count(*), count(*) from nation
+          union all select 'product_category_name_translation', count(distinct p_type) - 1,
+                           count(distinct p_type) - 1 from part
+          union all select case l_returnflag when 'A' then 'selic_target' when 'N' then 'usd_brl'
+                                when 'R' then 'ibc_br' end, count(*), count(*)
+                    from lineitem group by l_returnflag)
+        select dataset, n as rows_input, read as rows_output, read as rows_read from t""",
+    "k12_run_log": """
+        select 'run_1' as run_id, 'series' as pipeline_name, count(*) as records_read,
+               count(*) as records_written, cast(0 as bigint) as records_rejected,
+               'success' as status, cast(null as varchar) as error_message, true as has_duration
+        from lineitem
+        union all select 'run_2', 'series', 0, 0, 0, 'failed', 'stopped', false""",
     "s4_statistics_ingest": """
         select case when l_linenumber <> 7 then cast(date_trunc('month', l_shipdate) as date) end
                    as reference_month,

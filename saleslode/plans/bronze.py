@@ -62,11 +62,12 @@ def ingest_sales_csvs(spark: SparkSession, source_dir: str, layout: Layout) -> B
 
 def ingest_series(spark: SparkSession, landed: Mapping[str, str], layout: Layout,
                   indicators: Sequence[SeriesIndicator] = fixed.SERIES_INDICATORS,
-                  start: str | None = None, end: str | None = None) -> BatchManifest:
+                  start: str | None = None, end: str | None = None,
+                  lines: bool = False) -> BatchManifest:
     """Load indicator series from landed JSON ({indicator name: path}), one batch."""
     frames = {
         i.name: (
-            landing.scan_series(spark, landed[i.name], i.series_code, start, end).withColumn(
+            landing.scan_series(spark, landed[i.name], i.series_code, start, end, lines).withColumn(
                 "indicator_name", F.lit(i.name)
             ),
             str(i.series_code), None,
@@ -78,11 +79,11 @@ def ingest_series(spark: SparkSession, landed: Mapping[str, str], layout: Layout
 
 def ingest_statistics(spark: SparkSession, landed: Mapping[str, str], layout: Layout,
                       indicators: Sequence[StatisticsIndicator] = fixed.STATISTICS_INDICATORS,
-                      ) -> BatchManifest:
+                      lines: bool = False) -> BatchManifest:
     """Load statistics tables from landed JSON ({indicator name: path}), one batch."""
     frames = {
         i.name: (
-            landing.scan_statistics(spark, landed[i.name]).withColumn(
+            landing.scan_statistics(spark, landed[i.name], lines).withColumn(
                 "indicator_name", F.lit(i.name)
             ),
             f"{i.table}/{i.path}", None,
@@ -93,14 +94,16 @@ def ingest_statistics(spark: SparkSession, landed: Mapping[str, str], layout: La
 
 
 def ingest_one_series(spark: SparkSession, path: str, indicator: SeriesIndicator,
-                      layout: Layout, start: str | None = None,
-                      end: str | None = None) -> BatchManifest:
-    return ingest_series(spark, {indicator.name: path}, layout, (indicator,), start, end)
+                      layout: Layout, start: str | None = None, end: str | None = None,
+                      lines: bool = False) -> BatchManifest:
+    """Load one series; its batch replaces that of an earlier load of several."""
+    return ingest_series(spark, {indicator.name: path}, layout, (indicator,), start, end, lines)
 
 
 def ingest_one_statistics(spark: SparkSession, path: str, indicator: StatisticsIndicator,
-                          layout: Layout) -> BatchManifest:
-    return ingest_statistics(spark, {indicator.name: path}, layout, (indicator,))
+                          layout: Layout, lines: bool = False) -> BatchManifest:
+    """Load one statistics table."""
+    return ingest_statistics(spark, {indicator.name: path}, layout, (indicator,), lines)
 
 
 CONCURRENT_CHECKS = 8

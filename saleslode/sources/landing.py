@@ -50,13 +50,14 @@ def scan_expected_csvs(spark: SparkSession,
 
 
 def scan_series(spark: SparkSession, path: str, series_code: int, start: str | None = None,
-                end: str | None = None) -> DataFrame:
+                end: str | None = None, lines: bool = False) -> DataFrame:
     """Indicator series (date dd/MM/yyyy, decimal comma) as (date, value, series_code).
 
-    ``start`` and ``end`` are dd/MM/yyyy and bound the dates, both included.
+    ``start`` and ``end`` are dd/MM/yyyy and bound the dates, both included. ``lines`` reads
+    one record a line, which splits; without it a file is one array and one task.
     """
     return typed_series(
-        spark.read.schema(SERIES_SCHEMA).option("multiLine", True).json(path),
+        spark.read.schema(SERIES_SCHEMA).option("multiLine", not lines).json(path),
         series_code, start, end,
     )
 
@@ -75,7 +76,7 @@ def typed_series(raw: DataFrame, series_code: int, start: str | None = None,
     return typed
 
 
-def scan_statistics(spark: SparkSession, path: str) -> DataFrame:
+def scan_statistics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Statistics table: every field a string, the header row still included."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in STATISTICS_FIELDS])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
