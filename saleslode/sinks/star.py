@@ -84,7 +84,9 @@ def current_version(spark: SparkSession, schema: str = "analytics") -> str:
 def read_star(spark: SparkSession, schema: str = "analytics") -> dict[str, DataFrame]:
     """All tables of the last finished load, of one version."""
     version = current_version(spark, schema)
-    return {t.name: spark.table(f"{version}.{t.name}") for t in spark.catalog.listTables(version)}
+    # a session's temporary views are listed under every schema
+    return {t.name: spark.table(f"{version}.{t.name}")
+            for t in spark.catalog.listTables(version) if not t.isTemporary}
 
 
 def drop_star(spark: SparkSession, schema: str) -> None:

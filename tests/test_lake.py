@@ -222,6 +222,8 @@ def test_a_failed_load_leaves_the_star(spark, tmp_path):
         star.current_version(spark, "star_case")
     assert star.load_star(spark, good, "star_case", no_repeats, place) == {"one": 1, "two": 2}
     first = star.current_version(spark, "star_case")
+    good["one"].createOrReplaceTempView("passing_view")
+    assert set(star.read_star(spark, "star_case")) == {"one", "two"}
     broken = {**good, "two": good["two"].limit(1), "one": good["one"].union(good["one"])}
     with pytest.raises(ValueError):
         star.load_star(spark, broken, "star_case", no_repeats, place)
