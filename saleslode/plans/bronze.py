@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
+from saleslode.session import cut_lineage
 from saleslode.settings import Layout, SeriesIndicator, StatisticsIndicator
-from saleslode.sources import files, lake, landing
+from saleslode.sources import files, footers, lake, landing
 from saleslode.sinks.writers import BatchManifest, TableManifest, append_batch, new_batch_id
 
 
@@ -106,43 +105,81 @@ def ingest_one_statistics(spark: SparkSession, path: str, indicator: StatisticsI
     return ingest_statistics(spark, {indicator.name: path}, layout, (indicator,), lines)
 
 
-CONCURRENT_CHECKS = 8
 CHECK_SCHEMA = (
     "path string, passed boolean, rows bigint, columns bigint, "
     "missing_columns array<string>, message string"
 )
+UNREADABLE = "Could not read parquet file: "
 
 
-def check_batch(spark: SparkSession, dataset_dir: str, batch: str) -> tuple:
-    """Required load columns and rows of one batch; an unreadable batch has failed.
+def check_batch(spark: SparkSession, path: str) -> tuple:
+    """Required load columns and rows of one batch, read by Spark itself.
 
-    The columns come from the schema and the count from Parquet footers.
+    For file systems that the workers' Parquet library cannot reach.
     """
-    path = f"{dataset_dir}/{batch}"
     try:
-        df = spark.read.option("basePath", dataset_dir).parquet(path)
+        df = spark.read.option("basePath", path.rsplit("/", 1)[0]).parquet(path)
         rows = df.count()
     except Exception as unreadable:  # noqa: BLE001 - any read error is a finding
         return (path, False, 0, 0, list(fixed.BRONZE_REQUIRED),
-                f"Could not read parquet file: {type(unreadable).__name__}")
+                UNREADABLE + type(unreadable).__name__)
     missing = sorted(set(fixed.BRONZE_REQUIRED).difference(df.columns))
     message = f"Missing required bronze columns: {missing}" if missing else "passed"
     return (path, not missing, rows, len(df.columns), missing, message)
 
 
+def check_batches(spark: SparkSession, root: str, batches: Sequence[str]) -> DataFrame:
+    """Checks of the batch folders below ``root``, from the footers of all their files at once.
+
+    A required column must be in every file of its batch; the folder's name gives ``batch_id``.
+    One unreadable file, or none at all, fails its batch. ``reached`` is false where a worker
+    could not open a file.
+    """
+    listed = spark.createDataFrame([(b,) for b in batches], "path string")
+    found = footers.folder_footers(footers.read_footers(footers.data_files(spark, root)))
+    own = F.array(F.lit(lake.BATCH_PREFIX.rstrip("=")))
+    required = F.array(*[F.lit(name) for name in sorted(fixed.BRONZE_REQUIRED)])
+    checks = listed.join(found, F.col("path") == F.col("folder"), "left").select(
+        "path", (F.coalesce("unreached", F.lit(0)) == 0).alias("reached"),
+        (F.coalesce("files", F.lit(0)) - F.coalesce("broken", F.lit(0)) > 0).alias("any"),
+        (F.coalesce("broken", F.lit(0)) == 0).alias("whole"),
+        F.coalesce("error", F.lit("no data file")).alias("error"), "rows",
+        F.size(F.array_union("names", own)).alias("columns"),
+        F.array_except(required, F.array_union("shared", own)).alias("absent"),
+    ).withColumn("readable", F.col("any") & F.col("whole"))
+    readable, complete = F.col("readable"), F.size("absent") == 0
+    lacking = F.concat(F.lit("Missing required bronze columns: ['"),
+                       F.concat_ws("', '", "absent"), F.lit("']"))
+    return checks.select(
+        "path", "reached", (readable & complete).alias("passed"),
+        F.when(readable, F.col("rows")).otherwise(0).alias("rows"),
+        F.when(readable, F.col("columns")).otherwise(0).cast("bigint").alias("columns"),
+        F.when(readable, F.col("absent")).otherwise(required).alias("missing_columns"),
+        F.when(~readable, F.concat(F.lit(UNREADABLE), F.col("error")))
+        .when(complete, "passed").otherwise(lacking).alias("message"),
+    )
+
+
 def validate_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
-    """One check row per batch of every dataset of every source, a few batches at a time."""
+    """One check row per batch of every dataset of every source; the jobs do not depend on
+    how many batches there are. The driver lists the names of batch folders only."""
     targets = [
-        (entry.path, batch.name)
+        batch.path
         for source in fixed.SOURCES
         for entry in files.entries(spark, f"{layout.bronze}/{source}")
         if entry.is_dir and not entry.name.startswith("_")
         for batch in lake.batches(spark, entry.path)
     ]
-    own_thread = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(CONCURRENT_CHECKS) as pool:
-        rows = list(pool.map(own_thread(lambda target: check_batch(spark, *target)), targets))
-    return spark.createDataFrame(rows, CHECK_SCHEMA)
+    if not targets:
+        return spark.createDataFrame([], CHECK_SCHEMA)
+    checks = cut_lineage(check_batches(spark, layout.bronze, targets))
+    apart = [row["path"] for row in checks.where("not reached").select("path").collect()]
+    by_footers = checks.where("reached").drop("reached")
+    if not apart:
+        return by_footers
+    return by_footers.union(
+        spark.createDataFrame([check_batch(spark, path) for path in apart], CHECK_SCHEMA)
+    )
 
 
 def bronze_verdict(checks: DataFrame) -> DataFrame:

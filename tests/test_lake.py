@@ -6,13 +6,15 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.operators.numbering import dense_numbers
 from saleslode.plans import bronze, build, marts, monitoring, serving, warehouse
-from saleslode.settings import SERIES_INDICATORS
+from saleslode.settings import SERIES_INDICATORS, Layout
 from saleslode.sinks import star, writers
 from saleslode.sources import files, lake, landing, reports
 
@@ -135,6 +137,50 @@ def test_bronze_checks(spark, layout):
     assert (verdict["files_checked"], verdict["files_failed"], verdict["passed"]) == (3, 2, False)
 
 
+def test_bronze_checks_of_many_batches(spark, layout, tmp_path):
+    """500 batches take as many jobs as 200; one broken file fails its batch."""
+    good = pa.table({"source": ["x"] * 3, "ingestion_timestamp": [datetime.now(UTC)] * 3})
+    part = good.drop_columns(["source"])
+
+    def jobs(name, batches):
+        bronze_dir = tmp_path / name / "bronze"
+        for i in range(batches):
+            folder = bronze_dir / f"olist/orders {i % 5}/batch_id=b{i}"
+            folder.mkdir(parents=True)
+            pq.write_table(good, folder / "a.parquet")
+            pq.write_table(part if i == 2 else good, folder / "b.parquet")
+        (bronze_dir / "olist/orders 1/batch_id=b1/b.parquet").write_bytes(b"PAR1 cut")
+        (bronze_dir / "olist/orders 1/batch_id=none").mkdir()
+        spark.sparkContext.setJobGroup(name, name)
+        rows = bronze.validate_bronze(spark, Layout(str(tmp_path / name), "unused")).collect()
+        spark.sparkContext.setJobGroup("tests", "tests")
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    (_, few), (rows, many) = jobs("few", 200), jobs("many", 500)
+    got = {r["path"].rsplit("=", 1)[1]: r for r in rows}
+    assert len(rows) == len(got) == 501
+    assert (got["b1"]["passed"], got["b1"]["rows"], got["b1"]["columns"]) == (False, 0, 0)
+    assert got["b1"]["message"].startswith("Could not read") and len(got["b1"][4]) == 3
+    assert got["none"]["message"].startswith("Could not read") and not got["none"]["passed"]
+    assert (got["b2"]["passed"], got["b2"]["missing_columns"]) == (False, ["source"])
+    assert got["b2"]["message"] == "Missing required bronze columns: ['source']"
+    rest = [r for name, r in got.items() if name not in ("b1", "b2", "none")]
+    assert all(r["passed"] and (r["rows"], r["columns"]) == (6, 3) for r in rest)
+    assert many == few
+
+
+def test_bronze_checks_without_the_footer_library(spark, layout, monkeypatch):
+    good = bronze.with_load_metadata(spark.range(2), "olist", "b", datetime.now(UTC))
+    writers.append_batch(good, f"{layout.bronze}/olist/orders", "b")
+    writers.append_batch(spark.range(1), f"{layout.bronze}/olist/items", "b")
+    by_footers = {tuple(map(str, r)) for r in bronze.validate_bronze(spark, layout).collect()}
+    real = bronze.check_batches
+    monkeypatch.setattr(bronze, "check_batches", lambda *args: real(*args).withColumn(
+        "reached", F.lit(False)))
+    assert {tuple(map(str, r))
+            for r in bronze.validate_bronze(spark, layout).collect()} == by_footers
+
+
 def test_reports_are_chosen_by_name(spark, layout):
     with pytest.raises(lake.DatasetNotFound):
         reports.latest_report(spark, layout, "kpis")
