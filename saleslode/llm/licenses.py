@@ -4,17 +4,20 @@ Templates are cut into shingles of two words. A text is read in overlapping wind
 template class's words (a power of two at least the template's own words), one every half
 class, so each occurrence lies whole in a window. Window and template then have a Jaccard
 similarity of at least about an eighth; ``BANDS`` bands of one MinHash row each meet with
-probability 1 - (1 - J) ** BANDS (over 0.999 for J of an eighth), and windows that share no
-shingle with any template cannot meet at all, so they are not hashed. Retrieved templates are
-verified exactly: the longest run of words that holds the template's shingles, and the
-share of them it contains, must reach ``CONTAINMENT``.
+probability 1 - (1 - J) ** BANDS (over 0.999 for J of an eighth). Windows with fewer places of
+the class's shingles than ``CONTAINMENT`` asks of its smallest template cannot pass the
+verification and are not hashed. Retrieved templates are verified exactly: some stretch of
+words, at most a quarter longer than the template, must hold ``CONTAINMENT`` of its shingles,
+and must have the template's ``MARKS``: words that tell sibling licenses apart. Of these, the
+stretch holds all that the template has and no other; version digits are compared only where
+the template has some.
 
 Templates are a bounded parameter and travel with the tasks. The fixed ones below are short
-public notices; longer texts can be passed.
+licenses as a whole, and the notices by which longer ones are applied; other texts can be passed.
 
 Edge cases: NULL, empty and short texts match nothing; a template found several times in a text
-is one row per place; overlapping hits of one template are one; repeated rows give repeated
-results; an empty table gives no rows; other columns are not read.
+is one row per place; overlapping hits are one, that which holds the most shingles; repeated
+rows give repeated results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,31 +35,114 @@ BANDS = 64
 CONTAINMENT = 0.8
 _U = np.uint64
 
-# Public license notices, by SPDX name.
+# Public licenses and license notices, by SPDX name.
+_NO_WARRANTY_BSD = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS "
+    "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+    "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED "
+    "OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are "
+             "permitted provided that the following conditions are met")
+# List numbers are left out, as copies differ in them.
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions "
+    "and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written "
+    "permission."
+)
+_NO_WARRANTY_ISC = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+    "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+    "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+    "OR PERFORMANCE OF THIS SOFTWARE."
+)
+_MIT_HEAD = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+    "software and associated documentation files (the \"Software\"), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, "
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_GNU = {
+    "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"),
+    "LGPL-2.0": ("Library General", "2"), "LGPL-2.1": ("Lesser General", "2.1"),
+    "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3"),
+}
+_CC_ELEMENTS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_VERSIONS = {"4.0": "International", "3.0": "Unported"}
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-            "software and associated documentation files (the \"Software\"), to deal in the "
-            "Software without restriction, including without limitation the rights to use, copy, "
-            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
-                "under the terms of the GNU General Public License as published by the Free "
-                "Software Foundation, either version 3 of the License, or (at your option) any "
-                "later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", _MIT_HEAD,
+            _MIT_HEAD + ", and to permit persons to whom the Software is furnished to do so, "
+            "subject to the following conditions: The above copyright notice and this permission "
+            "notice shall be included in all copies or substantial portions of the Software. THE "
+            "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+            "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+            "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+            "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+            "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+            "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not "
+                   "use this file except in compliance with the License. You may obtain a copy of "
+                   "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+                   "applicable law or agreed to in writing, software distributed under the License "
+                   "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+                   "KIND, either express or implied. See the License for the specific language "
+                   "governing permissions and limitations under the License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, "
-                "v. 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without "
-                     "modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.",
-                  "licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+                "v. 2.0.", "licensed under the Mozilla Public License, version 2.0."],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0",
+                "licensed under the Eclipse Public License, version 2.0."],
+    "EPL-1.0": ["made available under the terms of the Eclipse Public License v1.0",
+                "licensed under the Eclipse Public License, version 1.0."],
+    "BSD-2-Clause": ["licensed under the BSD 2-Clause License.",
+                     f"{_BSD_HEAD}: {_BSD_TWO} {_NO_WARRANTY_BSD}"],
+    "BSD": [_BSD_HEAD],     # which of the two the rest of the text would tell
+    "BSD-3-Clause": ["licensed under the BSD 3-Clause License.",
+                     f"{_BSD_HEAD}: {_BSD_TWO} {_BSD_THIRD} {_NO_WARRANTY_BSD}"],
+    "ISC": ["licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+            "or without fee is hereby granted, provided that the above copyright notice and this "
+            f"permission notice appear in all copies. {_NO_WARRANTY_ISC}"],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with "
+             f"or without fee is hereby granted. {_NO_WARRANTY_ISC}"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is "
+                  "free to copy, modify, publish, use, compile, sell, or distribute this software, "
+                  "either in source code form or as a compiled binary, for any purpose, commercial "
+                  "or non-commercial, and by any means."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
+    **{f"CC-{code}-{version}": [
+        f"Licensed under CC {code} {version}.",
+        f"licensed under a Creative Commons {name} {version} {scope} License."]
+       for code, name in _CC_ELEMENTS.items() for version, scope in _CC_VERSIONS.items()},
+    **{spdx: [
+        f"This work is licensed under the GNU {name} Public License, version {version}.",
+        f"licensed under the GNU {name} Public License, version {version}.",
+        f"under the terms of the GNU {name} Public License as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later "
+        "version."]
+       for spdx, (name, version) in _GNU.items()},
 }
+# Words that tell a license from its siblings, and digits of versions.
+MARKS = ("affero", "lesser", "library", "sharealike", "alike", "sa", "noncommercial", "commercial",
+         "nc", "noderivatives", "noderivs", "nd", "endorse", "appear")
+VERSION_MARKS = ("0", "1", "2", "3", "4", "5", "v1", "v2", "v3")
 
 # Words are runs of ASCII letters and digits and of bytes above 0x7F; case is ignored.
 BREAK = np.ones(256, bool)
@@ -70,7 +156,40 @@ class Library:
     shingles: list[np.ndarray]   # distinct shingles of each template
     words: list[int]
     classes: list[int]           # power of two of each template's words
+    marks: list[int]             # bits of the marks each template has
     minima: np.ndarray           # BANDS x templates
+    known: np.ndarray            # all shingles, sorted
+    member: np.ndarray           # bits of the classes that have each known shingle
+    least: dict[int, int]        # shingles that a hit of a class has at least
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block of documents, and each document's first word."""
+    words = Words(LOWER[data], offsets, BREAK)
+    return words.hashes(), words.first
+
+
+def _hashes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return word_hashes(data, np.array([0, len(data)]))[0]
+
+
+_MARK_HASHES = np.concatenate([_hashes(word) for word in MARKS + VERSION_MARKS])
+_MARK_ORDER = np.argsort(_MARK_HASHES)
+NAMED = (1 << len(MARKS)) - 1
+VERSIONS = ((1 << len(VERSION_MARKS)) - 1) << len(MARKS)
+
+
+def mark_bits(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each word that is a mark."""
+    ordered = _MARK_HASHES[_MARK_ORDER]
+    at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+    return np.where(ordered[at] == hashes, np.int64(1) << _MARK_ORDER[at], 0)
+
+
+def same_marks(bits: int, own: int) -> bool:
+    compared = NAMED | (VERSIONS if own & VERSIONS else 0)
+    return bits & compared == own
 
 
 def band_values(shingles: np.ndarray) -> np.ndarray:
@@ -79,12 +198,16 @@ def band_values(shingles: np.ndarray) -> np.ndarray:
     return mix(shingles[None, :] ^ seeds[:, None])
 
 
+def needed(shingles: int) -> int:
+    """Fewest of so many shingles that reach ``CONTAINMENT``."""
+    return next(n for n in range(shingles + 1) if n / shingles >= CONTAINMENT)
+
+
 def build_library(templates: dict[str, list[str]]) -> Library:
-    names, shingles, words, classes, minima = [], [], [], [], []
+    names, shingles, words, classes, marks, minima = [], [], [], [], [], []
     for name, texts in templates.items():
         for text in texts:
-            data = np.frombuffer(text.encode(), np.uint8)
-            hashes = Words(LOWER[data], np.array([0, len(data)]), BREAK).hashes()
+            hashes = _hashes(text)
             grams = np.unique(gram_hashes(hashes, GRAM))
             if not len(grams):
                 raise ValueError(f"a template needs {GRAM} words: {text!r}")
@@ -92,71 +215,103 @@ def build_library(templates: dict[str, list[str]]) -> Library:
             shingles.append(grams)
             words.append(len(hashes))
             classes.append(1 << (len(hashes) - 1).bit_length())
+            marks.append(int(np.bitwise_or.reduce(mark_bits(hashes))))
             minima.append(band_values(grams).min(1))
-    return Library(names, shingles, words, classes, np.stack(minima, 1))
+    known = np.unique(np.concatenate(shingles))
+    member = np.zeros(len(known), np.int64)
+    least: dict[int, int] = {}
+    for grams, width in zip(shingles, classes, strict=True):
+        member[np.searchsorted(known, grams)] |= width
+        least[width] = min(least.get(width, len(grams)), needed(len(grams)))
+    return Library(names, shingles, words, classes, marks, np.stack(minima, 1), known, member,
+                   least)
+
 
+def retrieve(grams: np.ndarray, bounds: np.ndarray, library: Library) -> list[tuple]:
+    """(document, template, first gram, end gram) of the windows whose bands meet a template.
 
-def scan(grams: np.ndarray, size: int, known: np.ndarray, library: Library):
-    """(template, first word, words, containment) of the licenses in one text of ``size`` words."""
-    position = np.searchsorted(known, grams)
-    hit = known[np.minimum(position, len(known) - 1)] == grams
-    if not hit.any():
-        return []
-    retrieved = set()
-    for width in sorted(set(library.classes)):
+    ``grams`` are those of a block of documents, whose first words are ``bounds``.
+    """
+    lengths = np.maximum(np.diff(bounds) - GRAM + 1, 0)
+    first, end = bounds[:-1], bounds[:-1] + lengths
+    at = np.minimum(np.searchsorted(library.known, grams), len(library.known) - 1)
+    member = np.where(library.known[at] == grams, library.member[at], 0)
+    found = []
+    for width in sorted(library.least):
         of = [t for t, c in enumerate(library.classes) if c == width]
         step = max(1, width // 2)
-        places = np.flatnonzero(hit)
-        first = np.unique(np.concatenate([np.maximum(places // step - k, 0) for k in range(5)]))
-        for start in (first * step).tolist():
-            window = grams[start:start + 2 * width - GRAM + 1]
-            if hit[start:start + 2 * width - GRAM + 1].any():
-                lowest = band_values(window).min(1)
-                for t in of:
-                    if (lowest == library.minima[:, t]).any():
-                        retrieved.add((t, start))
-    found = []
-    for t, start in sorted(retrieved):
-        span = 2 * library.classes[t] - GRAM + 1
-        inside = start + np.flatnonzero(np.isin(grams[start:start + span], library.shingles[t]))
-        if not len(inside):
+        places = np.zeros(len(grams) + 1, np.int64)
+        np.cumsum(member & width != 0, out=places[1:])
+        windows = -(-lengths // step)
+        doc = np.repeat(np.arange(len(lengths)), windows)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+        low = first[doc] + number * step
+        high = np.minimum(low + 2 * width - GRAM + 1, end[doc])
+        for i in np.flatnonzero(places[high] - places[low] >= library.least[width]).tolist():
+            lowest = band_values(grams[low[i]:high[i]]).min(1)
+            for t in of:
+                if (lowest == library.minima[:, t]).any():
+                    found.append((int(doc[i]), t, int(low[i]), int(high[i])))
+    return found
+
+
+def verify(grams: np.ndarray, marks: np.ndarray, t: int, low: int, high: int,
+           library: Library) -> tuple | None:
+    """(first word, words, containment) of the window's fullest stretch with the template's marks.
+
+    Of equally full stretches the shortest, then the first.
+    """
+    own = library.shingles[t]
+    inside = low + np.flatnonzero(np.isin(grams[low:high], own))
+    most = library.words[t] + max(1, library.words[t] // 4) - GRAM + 1
+    best = None
+    for i, start in enumerate(inside.tolist()):
+        stop = int(np.searchsorted(inside, start + most))
+        if (stop - i) / len(own) < CONTAINMENT:
+            continue
+        _, new = np.unique(grams[inside[i:stop]], return_index=True)
+        share = len(new) / len(own)
+        words = int(inside[i + new.max()]) - start + GRAM
+        if share < CONTAINMENT or best is not None and (-share, words, start) >= best:
             continue
-        # The best stretch no longer than a quarter more than the template.
-        most = library.words[t] + max(1, library.words[t] // 4) - GRAM + 1
-        best = (0.0, 0, 0)
-        for i, low in enumerate(inside.tolist()):
-            j = int(np.searchsorted(inside, low + most)) - 1
-            share = len(np.unique(grams[inside[i:j + 1]])) / len(library.shingles[t])
-            best = max(best, (share, -low, int(inside[j]) - low + GRAM))
-        if best[0] >= CONTAINMENT:
-            found.append((t, -best[1], best[2], best[0]))
-    # One row for overlapping hits: of all templates the fullest, then the longest.
-    kept: list[tuple] = []
-    for t, low, count, share in sorted(found, key=lambda x: (-x[3], -library.words[x[0]], x[1])):
-        if all(low >= a + n or low + count <= a for _, a, n, _ in kept):
-            kept.append((t, low, count, share))
-    return sorted(kept, key=lambda x: x[1])
+        if same_marks(int(np.bitwise_or.reduce(marks[start:start + words])), library.marks[t]):
+            best = (-share, words, start)
+    return best and (best[2], best[1], -best[0])
+
+
+def scan(hashes: np.ndarray, bounds: np.ndarray, library: Library) -> list[tuple]:
+    """(document, template, first word, words, containment) of the licenses in a block."""
+    grams, marks = gram_hashes(hashes, GRAM), mark_bits(hashes)
+    hits: dict[int, set] = {}
+    for doc, t, low, high in retrieve(grams, bounds, library):
+        place = verify(grams, marks, t, low, high, library)
+        if place:
+            hits.setdefault(doc, set()).add((t, *place))
+    rows = []
+    for doc in sorted(hits):
+        kept: list[tuple] = []
+        for t, low, count, share in sorted(hits[doc],
+                                           key=lambda x: (-round(x[3] * len(library.shingles[x[0]])),
+                                                          -x[3], x[1], x[0])):
+            if all(low >= a + n or low + count <= a for _, a, n, _ in kept):
+                kept.append((t, low, count, share))
+        rows += [(doc, t, low - int(bounds[doc]), count, share)
+                 for t, low, count, share in sorted(kept, key=lambda x: x[1])]
+    return rows
 
 
 def license_hits(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, license, first_word, n_words, containment) of every license notice found."""
     library = build_library(templates or TEMPLATES)
-    known = np.unique(np.concatenate(library.shingles))
 
     def run(batch):
         rows = {n: [] for n in ("doc", "license", "first_word", "n_words", "containment")}
         for low, _, block, offsets in byte_blocks(batch["text"]):
-            words = Words(LOWER[block], offsets, BREAK)
-            grams = gram_hashes(words.hashes(), GRAM)
-            bounds = words.first.tolist()
-            for i in range(len(offsets) - 1):
-                a, b = bounds[i], bounds[i + 1]
-                if b - a < GRAM:
-                    continue
-                for t, first, count, share in scan(grams[a:b - GRAM + 1], b - a, known, library):
-                    for column, value in zip(rows.values(), (low + i, library.names[t], first,
-                                                             count, share), strict=True):
-                        column.append(value)
+            hashes, bounds = word_hashes(block, offsets)
+            for doc, t, first, count, share in scan(hashes, bounds, library):
+                for column, value in zip(rows.values(), (low + doc, library.names[t], first,
+                                                         count, share), strict=True):
+                    column.append(value)
         taken = batch["doc_id"].take(pa.array(rows.pop("doc"), pa.int64()))
         yield {"doc_id": taken} | rows
 

@@ -582,3 +582,90 @@ def test_licenses(spark, odd, nothing):
     assert [x[0] for x in got[2]] == ["MIT"] and len(got[5]) == 2
     assert licenses.license_hits(id_and_text(odd)).count() == 0
     assert licenses.license_hits(id_and_text(nothing)).count() == 0
+
+
+def word_list(text):
+    return re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+
+
+def test_licenses_tell_siblings_apart(spark):
+    """Every template, in filler and with one word changed, gives its own license or none."""
+    r = random.Random(3)
+    filler = " ".join("w%d" % r.randrange(90) for _ in range(200))
+    texts, expected = [], []
+    for name, variants in licenses.TEMPLATES.items():
+        for text in variants:
+            texts.append(f"{filler} {text} {filler}")
+            expected.append({name})
+            words = text.split(" ")
+            if len(words) > 30:
+                i = r.randrange(len(words) - 2) + 1
+                if not set(word_list(words[i])) & set(licenses.MARKS + licenses.VERSION_MARKS):
+                    texts.append(" ".join([filler, *words[:i], "changed", *words[i + 1:], filler]))
+                    expected.append({name})
+    for text in ("licensed under a Creative Commons Attribution-ShareAlike 5.0 International License",
+                 "licensed under the GNU General Public License, version 4",
+                 "licensed under the GNU Greater Affero Library Public License, version 3",
+                 "Licensed under the Apache License, Version 1.1."):
+        texts.append(f"{filler} {text} {filler}")
+        expected.append(set())
+    got = collections.defaultdict(list)
+    for row in licenses.license_hits(id_and_text(frame(spark, texts))).collect():
+        got[row.doc_id].append(row.license)
+    wrong = [(texts[i][len(filler):][:90], names, got[i]) for i, names in enumerate(expected)
+             if sorted(names) != sorted(got[i])]
+    assert not wrong
+
+
+def test_licenses_against_brute_force(spark):
+    """Every stretch of a text compared with every template; notices stand apart or together."""
+    r = random.Random(11)
+    pool = ["the", "of", "license", "under", "licensed", "copy", "software", "version", "2", "0"]
+    notices = [t for v in licenses.TEMPLATES.values() for t in v if len(word_list(t)) <= 24]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randrange(4)):
+            words = r.choice(notices).split(" ")
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = r.choice(pool)
+            parts += words + [r.choice(pool) for _ in range(r.choice([0, 1, 30]))]
+        texts.append(" ".join(parts))
+    templates = [(n, word_list(t)) for n, v in licenses.TEMPLATES.items() for t in v]
+    tell = set(licenses.MARKS)
+    versions = set(licenses.VERSION_MARKS)
+
+    def passes(part, own, words):
+        kinds = tell | versions if set(words) & versions else tell
+        share = len(set(zip(part, part[1:])) & own) / len(own)
+        return share >= licenses.CONTAINMENT and set(part) & kinds == set(words) & kinds
+
+    exact = collections.defaultdict(set)
+    for i, text in enumerate(texts):
+        mine = word_list(text)
+        for name, words in templates:
+            own = set(zip(words, words[1:]))
+            longest = len(words) + max(1, len(words) // 4)
+            exact[i] |= {(name, a) for a in range(len(mine)) for n in range(2, longest + 1)
+                         if a + n <= len(mine) and passes(mine[a:a + n], own, words)}
+    got = collections.defaultdict(set)
+    for row in licenses.license_hits(id_and_text(frame(spark, texts))).collect():
+        got[row.doc_id].add((row.license, row.first_word))
+    for i in range(len(texts)):
+        assert got[i] <= exact[i]
+        assert bool(got[i]) == bool(exact[i])
+
+
+def test_license_queries_of_repeats_ties_and_long_texts(spark):
+    whole = licenses.TEMPLATES["BSD-2-Clause"][1]
+    numbered = whole.replace("Redistributions of source", "1. Redistributions of source").replace(
+        "Redistributions in binary", "2. Redistributions in binary")
+    long = " ".join("w%d" % (i % 97) for i in range(60000))
+    texts = [numbered, numbered, f"{long} {licenses.TEMPLATES['ISC'][1]} {long}",
+             "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0."]
+    got = collections.defaultdict(list)
+    for row in licenses.license_hits(id_and_text(frame(spark, texts))).collect():
+        got[row.doc_id].append((row.license, row.first_word))
+    assert got[0] == got[1] == [("BSD-2-Clause", 0)]
+    assert got[2] == [("ISC", 60000)]
+    assert got[3] == [("CC-BY-4.0", 0), ("CC-BY-SA-4.0", 6), ("CC-BY-4.0", 13)]
