@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
 from saleslode.catalogue.sqltext import oracle
 from saleslode.functions import day_distance, line_total, stable_sum
-from saleslode.operators import series
+from saleslode.operators import ranges, series
 from saleslode.operators.reshape import pivot_mean
 from saleslode.plans import build, gold, rfm
 from saleslode.session import cut_lineage
@@ -261,6 +263,25 @@ def _differences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """All series operators over single events, in ranges of consecutive rows."""
+    events = ShippedTables(spark, folder).raw("events").select(
+        "event_id", "ts", "value", F.when(F.col("event_type") != "error", F.col("value"))
+        .alias("seen"))
+    numbered = ranges.numbered_series(events, [F.col("ts"), F.col("event_id")])
+
+    def windows(rows: DataFrame, order: str, within: Sequence[str]) -> DataFrame:
+        rows = series.row_lags(rows, order, "value", {"lag_1": 1, "lag_30": 30}, within)
+        rows = series.rolling_means(rows, order, "value", {"mean_30": 30}, within)
+        rows = series.rolling_deviations(rows, order, "value", {"std_30": 30}, within)
+        return series.first_differences(rows, order, {"change": "value"}, within)
+
+    rows = ranges.range_growth(numbered, {"growth": "seen"})
+    rows = ranges.over_ranges(rows, 30, windows)
+    split = ranges.range_split(rows, 0.8).drop("row_number", "ts")
+    return _rounded(split, "std_30", "change", "growth", digits=4)
+
+
 def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
@@ -313,6 +334,7 @@ QUERIES = {
     "w3_rolling_deviations": _rolling_deviations,
     "w4_growth": _growth,
     "w5_first_differences": _differences,
+    "w1_w11_event_windows": _event_windows,
     "w8_anomaly_metrics": lambda s, d: gold.anomaly_metrics(_daily(s, d)),
     "t7_sales_economic_features": _features_rounded,
     "t7_ml_features": _ml_features_rounded,
@@ -392,6 +414,27 @@ ORACLES = {
     "w1_row_lags": oracle(
         "select date, gmv, sales_lag_1, sales_lag_7, sales_lag_30 from g_ml_features"
     ),
+    "w1_w11_event_windows": """
+        with numbered as (
+            select event_id, value, row_number() over w - 1 as row_index,
+                   case when event_type <> 'error' then value end as seen
+            from events window w as (order by ts, event_id)
+        ), filled as (
+            select *, last_value(seen ignore nulls) over (
+                order by row_index rows between unbounded preceding and current row) as held
+            from numbered
+        )
+        select event_id, value, seen, row_index,
+               lag(value, 1) over o as lag_1, lag(value, 30) over o as lag_30,
+               round(sum(value) over p, 4) / count(value) over p as mean_30,
+               round(stddev_samp(value) over p, 4) as std_30,
+               round(value - lag(value) over o, 4) as change,
+               round(held / nullif(lag(held) over o, 0) - 1, 4) as growth,
+               row_index < floor(count(*) over () * 0.8) as is_train
+        from filled
+        window o as (order by row_index),
+               p as (order by row_index rows between 29 preceding and current row)
+    """,
     "w2_rolling_means": oracle(
         "select date, gmv, rolling_mean_7, rolling_mean_30 from g_ml_features"
     ),

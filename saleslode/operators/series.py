@@ -1,10 +1,10 @@
-"""Operators over a day or month series.
+"""Operators over ordered rows: lags, rolling statistics, growth, differences.
 
-These windows have no partition key, so each runs in one task. That is safe only
-because a series is aggregated to one row per calendar day or month beforehand: a
-century is 36,525 rows, and the whole date range 0001-9999 is 3.65 million, however
-many source rows there are. Customer- or order-grain data must not come here; the
-rank operators in ``ranking`` serve those.
+Without a partition key each runs in one task. That is meant for a series aggregated to one
+row per calendar day or month: a century is 36,525 rows, and the whole date range 0001-9999
+is 3.65 million, however many source rows there are. Longer series (events, orders) go
+through ``ranges``, which gives the same results on many ranges of consecutive rows.
+``within`` names the partition columns there.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from saleslode.functions import MONEY_DIGITS
 
 
-def row_lags(df: DataFrame, order: str, value: str, lags: Mapping[str, int]) -> DataFrame:
+def row_lags(df: DataFrame, order: str, value: str, lags: Mapping[str, int],
+             within: Sequence[str] = ()) -> DataFrame:
     """Value n rows earlier. Counts rows, not calendar days: gaps are skipped."""
-    by_order = Window.orderBy(order)
+    by_order = Window.partitionBy(*within).orderBy(order)
     return df.withColumns({name: F.lag(value, n).over(by_order) for name, n in lags.items()})
 
 
-def rolling_means(df: DataFrame, order: str, value: str, spans: Mapping[str, int]) -> DataFrame:
+def rolling_means(df: DataFrame, order: str, value: str, spans: Mapping[str, int],
+                  within: Sequence[str] = ()) -> DataFrame:
     """Mean of the last n rows; the first rows use what there is."""
-    by_order = Window.orderBy(order)
+    by_order = Window.partitionBy(*within).orderBy(order)
 
     def mean(n: int) -> Column:
         last_n = by_order.rowsBetween(1 - n, 0)
@@ -36,9 +38,10 @@ def rolling_means(df: DataFrame, order: str, value: str, spans: Mapping[str, int
 
 
 def rolling_deviations(df: DataFrame, order: str, value: str,
-                       spans: Mapping[str, int]) -> DataFrame:
+                       spans: Mapping[str, int],
+                       within: Sequence[str] = ()) -> DataFrame:
     """Sample standard deviation of the last n rows; NULL below two values."""
-    by_order = Window.orderBy(order)
+    by_order = Window.partitionBy(*within).orderBy(order)
     return df.withColumns(
         {
             name: F.stddev_samp(value).over(by_order.rowsBetween(1 - n, 0))
@@ -65,9 +68,10 @@ def growth(df: DataFrame, order: str, columns: Mapping[str, str]) -> DataFrame:
     return held.withColumns(ratios).drop(*filled)
 
 
-def first_differences(df: DataFrame, order: str, columns: Mapping[str, str]) -> DataFrame:
+def first_differences(df: DataFrame, order: str, columns: Mapping[str, str],
+                      within: Sequence[str] = ()) -> DataFrame:
     """Value minus the previous row's value, for the {output: input} columns present."""
-    by_order = Window.orderBy(order)
+    by_order = Window.partitionBy(*within).orderBy(order)
     present = {out: src for out, src in columns.items() if src in df.columns}
     return df.withColumns(
         {out: F.col(src) - F.lag(src).over(by_order) for out, src in present.items()}
