@@ -39,16 +39,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, BREAK), "")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Stored table, marked for broadcast only if it has few rows."""
     df = kept(df)
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def postings(words: DataFrame, terms: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(k_id, k_tx, term, position) of the given terms; ``words`` has keys and ``words``."""
     flat = words.select("k_id", "k_tx", F.posexplode("words").alias("position", "term"))
-    return flat.join(small(terms.select("term").distinct(), limit), "term")
+    return flat.join(small(terms.select("term").distinct()), "term")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -80,6 +80,31 @@ def rarest_places(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame
     return rated.drop("documents", "rank").join(places, ["item_id", "text_no", "position"])
 
 
+def places_with_words(docs_words: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+    """(k_id, k_tx, term, at, here): places of the terms, with the words within a window of them.
+
+    Terms that can be broadcast meet the words of a document where they are read. More terms
+    meet the bare postings; their positions go back to the documents as one list each, so a
+    document's words are shuffled once and not once for each of its words.
+    """
+    def around(at: Column) -> Column:
+        return F.slice("words", F.greatest(at - window + 2, F.lit(1)),
+                       F.least(at, F.lit(window - 1)) + window)
+
+    terms = kept(terms.select("term").distinct())
+    if terms.count() <= BROADCAST_ROWS:
+        flat = docs_words.select("k_id", "k_tx", "words", F.posexplode("words").alias("at", "term"))
+        found = flat.join(F.broadcast(terms), "term")
+    else:
+        lists = (postings(docs_words, terms).groupBy("k_id", "k_tx")
+                 .agg(F.collect_set(F.struct("position", "term")).alias("places")))
+        found = (docs_words.join(lists, ["k_id", "k_tx"])
+                 .select("k_id", "k_tx", "words", F.explode("places").alias("place"))
+                 .select("k_id", "k_tx", "words", F.col("place.position").alias("at"),
+                         F.col("place.term").alias("term")))
+    return found.select("k_id", "k_tx", "term", "at", around(F.col("at")).alias("here"))
+
+
 def exact_matches(docs_words: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k_id, k_tx, item_id, first, last): stretches of document words that are in matches."""
     terms = kept(item_terms(items))
@@ -89,13 +114,7 @@ def exact_matches(docs_words: DataFrame, items: DataFrame, window: int = WINDOW)
                                                             F.lit(1)),
                                         F.least(F.col("position"), F.lit(window - 1)) + window)
                                 .alias("around")))
-    rare = small(seeds.select("term").distinct())
-    flat = docs_words.select("k_id", "k_tx", "words",
-                             F.posexplode("words").alias("at", "term"))
-    found = flat.join(rare, "term").select(
-        "k_id", "k_tx", "term", "at",
-        F.slice("words", F.greatest(F.col("at") - window + 2, F.lit(1)),
-                F.least(F.col("at"), F.lit(window - 1)) + window).alias("here"))
+    found = places_with_words(docs_words, seeds, window)
     pairs = found.join(seeds, "term")
     mine = F.least("at", F.lit(window - 1))
     its = F.least("position", F.lit(window - 1))

@@ -313,10 +313,33 @@ def test_contamination_equals_brute_force(spark):
 
 
 def test_shuffled_joins_give_the_same_matches(spark, monkeypatch):
-    monkeypatch.setattr(decontamination.small, "__defaults__", (0,))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     test_contamination_equals_brute_force(spark)
 
 
+def test_shuffled_places_carry_words_once_a_document(spark, monkeypatch):
+    """Both joins give the same places; the shuffled one explodes words without their document."""
+    r = random.Random(4)
+    texts = [" ".join("t%d" % r.randrange(50) for _ in range(n)) for n in (20000, 40, 0, 40)]
+    docs = frame(spark, [*texts, texts[1]])
+    words = docs.select(*decontamination.row_key(),
+                        decontamination.words_of(F.col("text")).alias("words"))
+    words = words.union(words.where("k_id = 1"))
+    terms = spark.createDataFrame([("t7",), ("t8",), ("t7",), ("absent",)], "term string")
+
+    def places():
+        return decontamination.places_with_words(words, terms, 13)
+
+    near = sorted(map(tuple, places().collect()), key=repr)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "kept", lambda df: df)
+    assert sorted(map(tuple, places().collect()), key=repr) == near and len(near) > 500
+    plan = places()._jdf.queryExecution().optimizedPlan().toString()
+    exploded = re.findall(r"Generate posexplode.*", plan)
+    # The third column, the document's words, is not required above the explosion.
+    assert exploded and all("), [2], " in line for line in exploded)
+
+
 def test_proximity(spark):
     docs = frame(spark, ["alpha x x beta gamma", "gamma beta alpha", "alpha " + "x " * 20 + "beta",
                          "alpha beta"])
