@@ -23,6 +23,7 @@ from saleslode.functions.flags import (
     truthy,
 )
 from saleslode.functions.measures import (
+    EXACT,
     MONEY_DIGITS,
     RATE_DIGITS,
     line_total,
@@ -41,8 +42,8 @@ from saleslode.functions.text import (
 )
 
 __all__ = [
-    "MONEY_DIGITS", "RATE_DIGITS", "after", "area_of_check", "before", "calendar_columns",
-    "date_key", "day_distance", "decimal_comma_number", "fixed_date", "forward_slashes",
+    "EXACT", "MONEY_DIGITS", "RATE_DIGITS", "after", "area_of_check", "before",
+    "calendar_columns", "date_key", "day_distance", "decimal_comma_number", "fixed_date", "forward_slashes",
     "has_text", "is_finite", "label_or_self", "line_total", "mean_from",
     "missing_or_negative", "month_of", "normalised_text", "not_accepted", "stable_mean",
     "stable_sum", "sum_when", "title_words", "to_day", "to_integer", "to_number",

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslode import settings as fixed
-from saleslode.functions import label_or_self, line_total, stable_sum, title_words
+from saleslode.functions import (
+    EXACT,
+    MONEY_DIGITS,
+    label_or_self,
+    line_total,
+    stable_sum,
+    title_words,
+)
 from saleslode.operators.reshape import checked_limit, melt, top_rows
 from saleslode.settings import Layout
 from saleslode.sources import files, lake, reports
@@ -21,6 +28,8 @@ CATEGORY_NAMES = {
     "average_ticket": "Ticket médio",
 }
 ZSCORE_SUFFIX = "_zscore_anomaly"
+# Items that one task holds in a hash table or sorts.
+ROWS_A_TASK = 1 << 20
 
 
 def latest_sales(sales: DataFrame, period: str, limit: int) -> DataFrame:
@@ -81,22 +90,31 @@ def segment_categories(segments: DataFrame, orders: DataFrame, items: DataFrame,
 
     Items get their category and are summed per order and category, with map-side combine;
     only these sums meet the segmented orders, so a hot order or bestseller is a few rows.
+    Both sides of that join are unique, so its rows are counted without a set of orders.
+    Items are dealt out by their content and sums by their order, ``ROWS_A_TASK`` a task, so
+    that no hash table or sort grows with the files or with merged partitions.
     """
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                items.count() // ROWS_A_TASK + 1)
     owned = orders.select("order_id", "customer_id").join(
         segments.select("customer_id", "ml_segment"), "customer_id"
-    )
+    ).groupBy("order_id", "ml_segment").agg(F.count(F.lit(1)).alias("copies"))
     known = F.coalesce("category", F.lit(fixed.UNKNOWN_CATEGORY)).alias("category")
     sold = items.select("order_id", "product_id", "price", "freight_value").join(
         categorised, "product_id", "left"
-    ).groupBy("order_id", known).agg(
+    ).select("order_id", known, "price", "freight_value").repartition(
+        tasks, "order_id", "category", "price", "freight_value"
+    ).groupBy("order_id", "category").agg(
         stable_sum(line_total()).alias("gmv"), F.count(F.lit(1)).alias("items")
     )
-    return sold.join(owned.select("order_id", "ml_segment"), "order_id").groupBy(
-        "ml_segment", "category"
-    ).agg(
-        stable_sum(F.col("gmv")).alias("gmv"),
-        F.countDistinct("order_id").alias("orders"),
-        F.sum("items").alias("items"),
+    # Totals have four places, so the product with a count is exact.
+    repeated = F.col("gmv").try_cast(EXACT) * F.col("copies")
+    return sold.repartition(tasks, "order_id").join(
+        owned.repartition(tasks, "order_id"), "order_id"
+    ).groupBy("ml_segment", "category").agg(
+        F.round(F.sum(repeated).cast("double"), MONEY_DIGITS).alias("gmv"),
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(F.col("items") * F.col("copies")).alias("items"),
     )
 
 
