@@ -9,15 +9,21 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saleslode.session import cut_lineage
+
+BROADCAST_KEYS = 200_000
+
 
 def flag_duplicate_keys(df: DataFrame, keys: Sequence[str],
-                        out: str = "is_duplicate_key") -> DataFrame:
+                        out: str = "is_duplicate_key", stored: bool = False) -> DataFrame:
     """Mark every member of a key that occurs more than once; NULL keys equal each other.
 
     A count window would hold a whole key group in one task. The repeated keys are
     counted with map-side combine instead and joined back, so a key owning a third of
     the rows is one row on the small side and a splittable skewed partition on the
-    other; when repeats are few the runtime turns the join into a broadcast.
+    other; when repeats are few the runtime turns the join into a broadcast, though it may
+    have shuffled the rows by then. With ``stored`` the repeated keys are stored and counted
+    first, and up to ``BROADCAST_KEYS`` of them are broadcast: the rows are not shuffled.
     Absent key columns mean no flag can be raised.
     """
     if not keys or any(key not in df.columns for key in keys):
@@ -29,6 +35,10 @@ def flag_duplicate_keys(df: DataFrame, keys: Sequence[str],
         .select(*[F.col(key).alias(f"_key_{i}") for i, key in enumerate(keys)],
                 F.lit(True).alias("_repeated"))
     )
+    if stored:
+        repeated = cut_lineage(repeated)
+        if repeated.count() <= BROADCAST_KEYS:
+            repeated = F.broadcast(repeated)
     same = reduce(
         and_, [F.col(key).eqNullSafe(F.col(f"_key_{i}")) for i, key in enumerate(keys)]
     )

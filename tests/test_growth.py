@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saleslode.functions import line_total, stable_sum
+from saleslode.operators.keys import flag_duplicate_keys
 from saleslode.plans import serving
 
 
@@ -38,3 +39,13 @@ def test_segment_categories_counts_orders_without_a_set(spark):
     assert rows(found) == rows(plain) and found.dtypes == plain.dtypes
     assert "distinct" not in plan_of(found) and "REPARTITION_BY_NUM" in plan_of(found)
     assert plan_of(found).count("REPARTITION_BY_NUM") == 3
+
+
+def test_rows_are_not_shuffled_for_few_repeated_keys(spark):
+    rows = spark.createDataFrame(
+        [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (3, "f")],
+        "k int, text string")
+    flagged = flag_duplicate_keys(rows, ["k"], stored=True)
+    assert "Exchange hashpartitioning" not in plan_of(flagged)
+    assert {r["text"]: r["is_duplicate_key"] for r in flagged.collect()} == {
+        "a": True, "b": True, "c": False, "d": True, "e": True, "f": False}
