@@ -66,13 +66,14 @@ def gold_frames(sources: Mapping[str, DataFrame], series_rows: DataFrame,
                 statistics: DataFrame) -> dict[str, DataFrame]:
     """All 13 datasets as lazy frames over a shared, stored orders-with-items fact.
 
-    Daily and monthly sales are stored as well: both are read several times, hold one
-    row per day or month, and would otherwise repeat the fact's aggregation.
+    Daily and monthly sales and the indicators are stored as well: they are read several
+    times, hold one row per day or month, and would otherwise repeat their aggregation.
     """
-    sales = cut_lineage(gold.order_sales(sources["orders"], sources["order_items"]))
+    facts = cut_lineage(gold.order_facts(sources["orders"], sources["order_items"]))
+    sales = gold.sales_of_facts(facts)
     daily = cut_lineage(gold.sales_daily(sales))
     monthly = cut_lineage(gold.sales_monthly(sales))
-    indicators = gold.economic_indicators(series_rows, statistics)
+    indicators = cut_lineage(gold.economic_indicators(series_rows, statistics))
     return {
         "sales_daily": daily,
         "sales_monthly": monthly,
@@ -80,9 +81,7 @@ def gold_frames(sources: Mapping[str, DataFrame], series_rows: DataFrame,
             sources["order_items"], sources["products"],
             sources["product_category_name_translation"],
         ),
-        "customer_metrics": gold.customer_metrics(
-            sources["customers"], sources["orders"], sources["order_items"]
-        ),
+        "customer_metrics": gold.customer_metrics_of_facts(sources["customers"], facts),
         "seller_metrics": gold.seller_metrics(sources["sellers"], sources["order_items"]),
         "delivery_metrics": gold.delivery_metrics(sources["orders"]),
         "review_metrics": gold.review_metrics(sources["order_reviews"]),

@@ -43,6 +43,21 @@ def item_totals(items: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def order_facts(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Every order row with its item totals, NULL without items."""
+    return orders.select("order_id", "customer_id", "order_purchase_timestamp").join(
+        item_totals(items, "order_id"), "order_id", "left"
+    )
+
+
+def sales_of_facts(facts: DataFrame) -> DataFrame:
+    """``order_sales`` from ``order_facts``."""
+    purchase = F.col("order_purchase_timestamp")
+    return facts.where(purchase.isNotNull() & F.col("items_sold").isNotNull()).select(
+        "order_id", "customer_id", to_day(purchase).alias("date"), *ITEM_TOTALS
+    )
+
+
 def order_sales(orders: DataFrame, items: DataFrame) -> DataFrame:
     """One row per dated order row that has items, with its item totals."""
     dated = orders.where(F.col("order_purchase_timestamp").isNotNull()).select(
@@ -137,11 +152,12 @@ def customer_metrics(customers: DataFrame, orders: DataFrame, items: DataFrame)
     orders joins as one row. Repeated customer rows multiply sums, as they would in
     the joined form.
     """
-    per_order = orders.select("order_id", "customer_id", "order_purchase_timestamp").join(
-        item_totals(items, "order_id").select("order_id", "gmv", "priced_items"),
-        "order_id", "left",
-    )
-    per_customer = per_order.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+    return customer_metrics_of_facts(customers, order_facts(orders, items))
+
+
+def customer_metrics_of_facts(customers: DataFrame, facts: DataFrame) -> DataFrame:
+    """``customer_metrics`` from ``order_facts``."""
+    per_customer = facts.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.countDistinct("order_id").alias("orders"),
         F.sum("gmv").alias("gmv"),
         F.sum("priced_items").alias("priced_items"),

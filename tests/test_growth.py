@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saleslode.functions import line_total, stable_sum
 from saleslode.operators.keys import flag_duplicate_keys
-from saleslode.plans import serving
+from saleslode.plans import build, gold, serving
 
 
 def plan_of(df) -> str:
@@ -49,3 +49,52 @@ def test_rows_are_not_shuffled_for_few_repeated_keys(spark):
     assert "Exchange hashpartitioning" not in plan_of(flagged)
     assert {r["text"]: r["is_duplicate_key"] for r in flagged.collect()} == {
         "a": True, "b": True, "c": False, "d": True, "e": True, "f": False}
+
+
+def test_gold_frames_read_items_of_orders_once(spark):
+    """Customers and sales come from one stored fact; indicators are stored."""
+    orders = spark.createDataFrame(
+        [("o1", "c1", 1), ("o2", "c1", None), ("o3", "c2", 2), (None, "c2", 3), ("o1", "c1", 1)],
+        "order_id string, customer_id string, day int").select(
+        "order_id", "customer_id",
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, day)").alias(
+            "order_purchase_timestamp"),
+        F.lit(None).cast("timestamp_ntz").alias("order_delivered_customer_date"),
+        F.lit(None).cast("timestamp_ntz").alias("order_estimated_delivery_date"))
+    items = spark.createDataFrame(
+        [("o1", "p1", "s1", 1.5, 0.5), ("o1", "p1", "s1", None, 0.5), ("o2", "p1", "s1", 2.0, 1.0),
+         (None, "p1", "s1", 5.0, 1.0)],
+        "order_id string, product_id string, seller_id string, price double, freight_value double")
+    customers = spark.createDataFrame(
+        [("c1", "u", "SP", "sp"), ("c2", "v", "RJ", "rio")],
+        "customer_id string, customer_unique_id string, customer_state string,"
+        " customer_city string")
+    facts = gold.order_facts(orders, items)
+    expected = gold.order_sales(orders, items)
+    assert gold.sales_of_facts(facts).columns == expected.columns
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(gold.sales_of_facts(facts)) == rows(expected)
+    statistics = spark.createDataFrame(
+        [("2024-01-01", "ipca", 1.0)], "d string, indicator_name string, value double").select(
+        F.to_date("d").alias("reference_month"), "indicator_name", "value")
+    series = statistics.select(F.col("reference_month").alias("date"),
+                               F.lit("usd_brl").alias("indicator_name"), "value")
+    sources = {
+        "orders": orders, "order_items": items, "customers": customers,
+        "products": spark.createDataFrame([("p1", "x")],
+                                          "product_id string, product_category_name string"),
+        "product_category_name_translation": spark.createDataFrame(
+            [("x", "y")],
+            "product_category_name string, product_category_name_english string"),
+        "sellers": spark.createDataFrame(
+            [("s1", "SP", "sp")], "seller_id string, seller_state string, seller_city string"),
+        "order_reviews": spark.createDataFrame(
+            [("r", 5)], "review_id string, review_score bigint").select(
+            "*", F.lit(None).cast("timestamp_ntz").alias("review_creation_date")),
+    }
+    frames = build.gold_frames(sources, series, statistics)
+    # Without the stored frames, both would read and group their sources again.
+    assert "sum(price#" not in plan_of(frames["customer_metrics"])
+    assert "indicator_name" not in plan_of(frames["sales_economic_features"])
+    assert rows(frames["customer_metrics"]) == rows(
+        gold.customer_metrics(customers, orders, items))
