@@ -264,6 +264,23 @@ def test_transform_merge_finds_common_prefixes():
     assert found[0] == found[1] == found[2] and found[0]
 
 
+def test_transforms_sort_only_windows_that_can_repeat(monkeypatch):
+    """Suffixes of windows with a symbol that stands once are not sorted."""
+    import numpy as np
+
+    r = random.Random(9)
+    shared = r.randbytes(420)
+    segments = [np.frombuffer(r.randbytes(900) + (shared if i < 2 else b""), np.uint8)
+                for i in range(8)]
+    sizes, transform = [], bwtmerge.transform
+    monkeypatch.setattr(bwtmerge, "transform",
+                        lambda symbols, places, *more: sizes.append(len(places)) or
+                        transform(symbols, places, *more))
+    found = {i: w.tolist() for i, w in bwtmerge.match_bytes(segments)}
+    assert found == {i: list(range(900, 921)) for i in (0, 1)}
+    assert sum(sizes) == 2 * 4 * 21
+
+
 # ---- decontamination -------------------------------------------------------------------------
 
 def brute_contamination(texts, items, window=13):
