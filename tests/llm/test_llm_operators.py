@@ -243,6 +243,35 @@ def test_repeats_equal_brute_force(spark, monkeypatch, operator, hot):
     assert [(r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == want
 
 
+@pytest.mark.parametrize("operator", [fmindex, bwtmerge])
+def test_hot_anchors_are_searched_by_the_index(spark, monkeypatch, operator):
+    """Windows of a passage in many unlike texts come from the matcher; in too many, by hash."""
+    from saleslode.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", 3)
+    words = operator is fmindex
+    unit, matcher = ((fmindex.WORD_UNIT, fmindex.match_words) if words
+                     else (bwtmerge.BYTE_UNIT, bwtmerge.match_bytes))
+    r = random.Random(5)
+
+    def fresh(n):
+        return " ".join("%06x" % r.randrange(1 << 24) for _ in range(n))
+
+    shared = fresh(36 if words else 58)
+    texts = [f"{fresh(60)} {shared} {fresh(60)}" for _ in range(12)] + ["go " * 300, fresh(90)]
+    docs = id_and_text(frame(spark, texts))
+
+    def rows(matcher, shard):
+        found = repeats.removed(docs, unit, matcher, shard).orderBy("doc_id").collect()
+        return [(x.n_units, x.n_removed, x.n_spans, x.kept_sha256) for x in found]
+
+    want = brute_removed(texts, 35 if words else 400, words)
+    assert [x[1] > 0 for x in want] == [True] * 13 + [False]
+    assert rows(matcher, 1 << 19) == want
+    assert rows(matcher, 1) == want
+    assert sum(x[1] for x in rows(lambda segments: iter(()), 1 << 19)) == 0
+
+
 @pytest.mark.parametrize("operator", [fmindex, bwtmerge])
 def test_repeats_of_nothing(nothing, operator):
     assert operator.without_repeats(id_and_text(nothing)).count() == 0
