@@ -272,6 +272,40 @@ def test_hot_anchors_are_searched_by_the_index(spark, monkeypatch, operator):
     assert sum(x[1] for x in rows(lambda segments: iter(()), 1 << 19)) == 0
 
 
+def test_hot_texts_are_dealt_over_all_tasks(spark, monkeypatch):
+    """Few bytes of hot anchors are not left to one task."""
+    from saleslode.llm import repeats
+
+    calls, matched = [], repeats.matched
+
+    def seen(*args):
+        calls.append(matched(*args))
+        return calls[-1]
+
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "matched", seen)
+    docs = id_and_text(frame(spark, ["%05d " % i * 200 for i in (1, 1, 2, 2, 3, 3)]))
+    assert bwtmerge.without_repeats(docs).where("n_removed = n_units").count() == 6
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert calls[1].rdd.getNumPartitions() == want > 1
+
+
+def test_planted_passages_go_by_bytes(spark):
+    """A passage of over 50 words is cut from 400 bytes on, and stays below."""
+    r = random.Random(11)
+
+    def planted(size):
+        words = "".join(r.choice("abcdefgh") * 6 + " " for _ in range(70))[:size - 2]
+        return "#" + words + "#"
+
+    short, long = planted(399), planted(400)
+    assert min(len(short.split()), len(long.split())) > 50
+    texts = [f"{i}{x}{9 - i}" for i, x in enumerate([short, short, long, long])]
+    rows = bwtmerge.without_repeats(id_and_text(frame(spark, texts))).orderBy("doc_id").collect()
+    assert [x.n_removed for x in rows] == [0, 0, 400, 400]
+    assert [x.n_removed for x in rows] == [x[1] for x in brute_removed(texts, 400, False)]
+
+
 @pytest.mark.parametrize("operator", [fmindex, bwtmerge])
 def test_repeats_of_nothing(nothing, operator):
     assert operator.without_repeats(id_and_text(nothing)).count() == 0
