@@ -45,23 +45,14 @@ COMMON = (
 ).split()
 
 
-def one_of(words: set[str]) -> str:
-    """Pattern for the words that tries each beginning once; the longest word wins."""
-    heads: dict[str, set[str]] = {}
-    for w in words - {""}:
-        heads.setdefault(w[0], set()).add(w[1:])
-    ways = "|".join(c + (one_of(rest) if rest != {""} else "") for c, rest in sorted(heads.items()))
-    return f"(?:{ways})" + ("?+" if "" in words else "")
+MARK = "\u0001"
+SPOT = f"{MARK}([^ ]+ (?:[^ {MARK}]+ ){{1,{CHAIN}}})"
 
 
-ANCHOR = one_of(set(COMMON))
-SPOT = f"{ANCHOR} (?:(?!{ANCHOR} )[^ ]+ ){{1,{CHAIN}}}"
-
-
-def plain_words(text: Column) -> Column:
-    """Words in lower case, each followed by one blank."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    return F.concat(F.ltrim(F.rtrim(cleaned)), F.lit(" "))
+def words_of(text: Column) -> Column:
+    """Words in lower case: runs of letters and digits."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_remove(F.split(lower, r"[^\p{L}\p{N}]+"), "")
 
 
 def hashed(values: Column) -> Column:
@@ -72,29 +63,38 @@ CHAINS, SINGLES, TRIPLES = 0, 1, 2
 
 
 def spots_of(words: Column) -> Column:
-    """Anchors with their chains, in order."""
-    return F.regexp_extract_all(words, F.lit("(?<![^ ])(" + SPOT + ")"), 1)
+    """Anchors with their chains, in order, a blank after each word.
 
+    Words are looked up in a hash set and the anchors marked with a character that no word
+    holds, so the pattern only walks from mark to mark.
+    """
+    marked = F.transform(words, lambda w: F.when(w.isin(*COMMON), F.concat(F.lit(MARK), w))
+                         .otherwise(w))
+    return F.regexp_extract_all(F.concat(F.array_join(marked, " "), F.lit(" ")), F.lit(SPOT), 1)
 
-def singles_of(words: Column) -> Column:
-    return F.array_remove(F.split(words, " "), "")
+
+def triples_of(text: Column) -> Column:
+    """Every three characters in a row, or a shorter text as a whole; one walk over the text."""
+    def runs(chars):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 2, F.lit(1))),
+                           lambda i: F.array_join(F.slice(chars, i, 3), ""))
+
+    letters = F.coalesce(text, F.lit(""))
+    triples = F.transform(F.array(F.split(letters, "")), runs)[0]
+    return F.when(F.length(letters) > 0, triples).otherwise(F.array().cast("array<string>"))
 
 
 def signature_kind(spots: Column, words: Column) -> Column:
     """The first of the three kinds that a text has enough signatures of."""
-    count = F.size(singles_of(words))
+    count = F.size(words)
     return (F.when((F.size(spots) >= FEW) & (F.size(spots) * SPARSE >= count), CHAINS)
             .when(count >= FEW, SINGLES).otherwise(TRIPLES))
 
 
 def signature_set(kind: Column, spots: Column, words: Column, text: Column) -> Column:
     """Sorted distinct signatures of one kind of a text."""
-    letters = F.coalesce(text, F.lit(""))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 2, F.lit(1))),
-                          lambda i: F.substring(letters, i, F.lit(3)))
-    triples = F.when(F.length(letters) > 0, triples).otherwise(F.array().cast("array<string>"))
-    return hashed(F.when(kind == CHAINS, spots).when(kind == SINGLES, singles_of(words))
-                  .otherwise(triples))
+    return hashed(F.when(kind == CHAINS, spots).when(kind == SINGLES, words)
+                  .otherwise(triples_of(text)))
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -118,29 +118,34 @@ def likeness(a: Column, b: Column, degree: float = DEGREE) -> Column:
 
 
 def with_parts(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Plain words, chains, kind and signatures of a text, in columns that begin with ``name``."""
+    """Kind and signatures of a text, in ``{name}_kind`` and ``{name}``."""
     words, spots, kind = (F.col(f"{name}_{part}") for part in ("words", "spots", "kind"))
-    return (docs.withColumn(f"{name}_words", plain_words(F.col(text)))
+    return (docs.withColumn(f"{name}_words", words_of(F.col(text)))
             .withColumn(f"{name}_spots", spots_of(words))
             .withColumn(f"{name}_kind", signature_kind(spots, words))
-            .withColumn(name, signature_set(kind, spots, words, F.col(text))))
+            .withColumn(name, signature_set(kind, spots, words, F.col(text)))
+            .drop(f"{name}_words", f"{name}_spots"))
 
 
 def with_signatures(docs: DataFrame, text: str = "text", name: str = "signatures") -> DataFrame:
-    return with_parts(docs, text, name).drop(*(f"{name}_{p}" for p in ("words", "spots", "kind")))
+    return with_parts(docs, text, name).drop(f"{name}_kind")
 
 
-def pair_likeness(a: str, a_text: str, b: str, b_text: str, degree: float = DEGREE) -> Column:
-    """Likeness of two texts of ``with_parts`` by the kind that either of them falls back to."""
-    kind = F.greatest(F.col(f"{a}_kind"), F.col(f"{b}_kind"))
+def with_pair(docs: DataFrame, a: str, a_text: str, b: str, b_text: str, out: str,
+              degree: float = DEGREE) -> DataFrame:
+    """Likeness of two texts of ``with_parts`` by the kind that either of them falls back to.
+
+    A set of the other's kind is made once a row, and only where the kinds differ.
+    """
+    kind, sets = F.greatest(F.col(f"{a}_kind"), F.col(f"{b}_kind")), (f"_{out}_a", f"_{out}_b")
 
     def by_kind(name, text):
-        other = signature_set(kind, F.col(f"{name}_spots"), F.col(f"{name}_words"), F.col(text))
+        other = hashed(F.when(kind == SINGLES, words_of(F.col(text)))
+                       .otherwise(triples_of(F.col(text))))
         return F.when(F.col(f"{name}_kind") == kind, F.col(name)).otherwise(other)
 
-    same = F.col(f"{a}_kind") == F.col(f"{b}_kind")
-    return F.when(same, likeness(F.col(a), F.col(b), degree)).otherwise(
-        likeness(by_kind(a, a_text), by_kind(b, b_text), degree))
+    return (docs.withColumns(dict(zip(sets, (by_kind(a, a_text), by_kind(b, b_text)), strict=True)))
+            .withColumn(out, likeness(F.col(sets[0]), F.col(sets[1]), degree)).drop(*sets))
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -168,47 +173,63 @@ def next_ids(docs: DataFrame) -> DataFrame:
     return known
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``next_text``, the text of the next document by falling id.
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """The rows with ``at``, their id or the value of none, and their bucket of ids."""
+    shift = BUCKET.bit_length() - 1
+    return docs.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).withColumn(
+        "bucket", F.shiftright("at", shift))
+
+
+def with_next(docs: DataFrame, text: str = "text", parts=None) -> DataFrame:
+    """The rows and ``next_text``, the text of the next document by falling id.
 
     Rows lie in buckets of ``BUCKET`` neighbouring ids. Within one the next row is a window
     function; the last row of a bucket gets the first text of the next bucket, and the last of
-    all the first of all.
+    all the first of all. ``parts`` adds columns made from a row's text: they are made once a
+    row, after the rows are in order, and the next row's come along as ``next_{column}``.
     """
-    shift = BUCKET.bit_length() - 1
-    rows = docs.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).withColumn(
-        "bucket", F.shiftright("at", shift))
-    order = [F.desc("at"), F.col("text").asc_nulls_first()]
+    parts = parts or (lambda df: df)
+    order = [F.desc("at"), F.col(text).asc_nulls_first()]
     inside = Window.partitionBy("bucket").orderBy(*order)
-    placed = (rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(inside))
-              .withColumn("last", F.lead(F.lit(True)).over(inside).isNull()))
-    numbered = rows.select("bucket", "text", F.row_number().over(inside).alias("no"))
-    heads = numbered.where("no = 1").select(
-        F.col("bucket").alias("follower"), F.coalesce("text", F.lit("")).alias("head"))
+    rows = placed_rows(docs)
+    known = {*rows.columns} - {text}
+
+    def of_next(df):
+        # NULL is empty, so that only a missing row is NULL.
+        return F.struct(*[(F.coalesce(c, F.lit("")) if c == text else F.col(c)).alias(c)
+                          for c in df.columns if c not in known])
+
+    numbered = rows.withColumn("no", F.row_number().over(inside)).where("no = 1")
+    heads = parts(numbered.select(F.col("bucket").alias("follower"), text))
+    heads = heads.select("follower", of_next(heads.drop("follower")).alias("head"))
     links = next_ids(rows)
     first = links.agg(F.max("bucket").alias("first"))
     links = links.join(F.broadcast(first), F.lit(True)).select(
         "bucket", F.coalesce("follower", "first").alias("follower"))
+    ordered = parts(rows.repartition("bucket").sortWithinPartitions(F.asc("bucket"), *order))
+    placed = ordered.withColumn("following", F.lead(of_next(ordered)).over(inside))
     joined = placed.join(links.join(heads, "follower").select("bucket", "head"), "bucket", "left")
-    return joined.select("doc_id", "text",
-                         F.when(F.col("last"), F.col("head")).otherwise(F.col("next_text"))
-                         .alias("next_text"))
+    following = F.coalesce("following", "head")
+    own = [c for c in ordered.columns if c not in ("at", "bucket")]
+    return joined.withColumn("following", following).select(
+        *own, *[F.col(f"following.{c}").alias(f"next_{c}")
+                for c in ordered.columns if c not in known])
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_next(id_and_text(table(spark, sf_dir, "documents")))
+    docs = with_next(id_and_text(table(spark, sf_dir, "documents")),
+                     parts=lambda df: with_parts(df, "text", "own"))
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn("text", text).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut),
                       F.substring("next_text", F.lit(1), cut))
-    rows = docs.withColumn("edited", edited)
-    for name, own in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
-        rows = with_parts(rows, name, own)
+    rows = with_parts(docs.withColumn("edited", edited), "edited", "changed")
+    rows = with_pair(rows, "own", "text", "changed", "edited", "near_edited")
+    rows = with_pair(rows, "own", "text", "next_own", "next_text", "near_next")
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        pair_likeness("own", "text", "changed", "edited").alias("near_edited"),
-        pair_likeness("own", "text", "following", "next_text").alias("near_next"))
+        "near_edited", "near_next")

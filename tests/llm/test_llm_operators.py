@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -550,6 +551,37 @@ def test_pairs_of_different_kinds_are_compared(spark, tmp_path):
     assert rows[3].near_next == 0 and rows[4].near_next < 0.05
 
 
+def test_long_texts_beside_short_ones(spark, tmp_path):
+    """A text's parts are made once, its triples in one walk however long it is."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdeé😀") for _ in range(r.randrange(3, 9)))
+                    for _ in range(60_000))
+    texts = ["ab", "abc de", long, "of é😀x", None, "the stone river the cloud of mast"]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    started = time.monotonic()
+    rows = {r.doc_id: r for r in spotsigs.op3_fingerprints(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - started < 90
+
+    def triples(text):
+        return {text[i:i + 3] for i in range(max(1, len(text) - 2))} if text else set()
+
+    def alike(a, b):
+        both = len(triples(a) & triples(b))
+        return both / (len(triples(a)) + len(triples(b)) - both)
+
+    assert rows[3].near_next == pytest.approx(alike(texts[3], long))
+    assert rows[2].near_next == pytest.approx(alike(long, texts[1]))
+    assert rows[2].near_next > 0 and rows[1].near_next == pytest.approx(alike("abc de", "ab"))
+    assert rows[0].near_next == 0 and rows[4].near_next == 0 and rows[4].fingerprint == ""
+    docs = id_and_text(frame(spark, texts))
+    pairs = {r.doc_id: r for r in spotsigs.with_next(
+        docs, parts=lambda df: spotsigs.with_parts(df, "text", "own")).collect()}
+    for i in pairs:
+        after = pairs[i - 1 if i else len(texts) - 1]
+        assert (pairs[i].next_own_kind, pairs[i].next_own) == (after.own_kind, after.own)
+        assert pairs[i].next_text == (after.text or "")
+
+
 def spread_card(digits):
     """A card number with a separator between all digits."""
     return " ".join(digits + str(pseudonyms.luhn_digit(digits)))
