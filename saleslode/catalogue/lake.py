@@ -17,7 +17,7 @@ from saleslode.catalogue.silver import (
 )
 from saleslode.catalogue.sqltext import oracle
 from saleslode.plans import bronze, build, monitoring, serving, silver
-from saleslode.session import scratch_path
+from saleslode.session import collect_garbage, scratch_path
 from saleslode.settings import Layout
 from saleslode.sinks import writers
 from saleslode.sources import lake, landing, reports
@@ -29,8 +29,12 @@ def _layout(spark: SparkSession, label: str) -> Layout:
     return Layout(f"{base}/data", f"{base}/models")
 
 
+# Landed text is compressed. Such a file does not split, so it holds so many rows at most.
+LANDED = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
+
+
 def _land_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+    df.write.options(header=True, escape='"', **LANDED).csv(path)
 
 
 def _landed_sales(spark: SparkSession, folder: str, base: str) -> str:
@@ -43,6 +47,7 @@ def _landed_sales(spark: SparkSession, folder: str, base: str) -> str:
               "product_category_name_translation": t.translation()}
     for name, df in tables.items():
         _land_csv(df, f"{base}/{fixed.EXPECTED_FILES[name]}")
+        collect_garbage(spark)
     return base
 
 
@@ -81,7 +86,7 @@ def _land_series(spark: SparkSession, folder: str) -> dict[str, str]:
         t.one_series(indicator.name).select(
             F.date_format("date", "dd/MM/yyyy").alias("data"),
             F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("valor"),
-        ).write.json(f"{base}/{indicator.name}")
+        ).write.options(**LANDED).json(f"{base}/{indicator.name}")
     return {i.name: f"{base}/{i.name}" for i in fixed.SERIES_INDICATORS}
 
 
@@ -103,7 +108,7 @@ def _series_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _land_statistics(spark: SparkSession, folder: str) -> str:
     path = scratch_path(spark, "statistics-json")
-    raw_statistics(spark, folder).drop("indicator_name").write.json(path)
+    raw_statistics(spark, folder).drop("indicator_name").write.options(**LANDED).json(path)
     return path
 
 

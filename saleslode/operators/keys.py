@@ -9,11 +9,43 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslode.session import cut_lineage
+from saleslode.session import collect_garbage, cut_lineage
 
 BROADCAST_KEYS = 200_000
 
 
+def _repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, as ``_key_0`` and on, with ``_repeated``."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1)
+        .select(*[F.col(key).alias(f"_key_{i}") for i, key in enumerate(keys)],
+                F.lit(True).alias("_repeated"))
+    )
+
+
+def _stored_repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """``_repeats``, stored, with a broadcast hint where they are few; None if there are none.
+
+    A repeated key has a repeated hash, so only rows of such hashes are grouped by their keys.
+    """
+    digest = F.xxhash64(*keys)
+    hashes = cut_lineage(
+        df.groupBy(digest.alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1).select("_hash")
+    )
+    collect_garbage(df.sparkSession)
+    found, rows = hashes.count(), df
+    if not found:
+        return None
+    if found <= BROADCAST_KEYS:
+        rows = df.join(F.broadcast(hashes), digest == F.col("_hash"), "left_semi")
+    repeated = cut_lineage(_repeats(rows, keys))
+    collect_garbage(df.sparkSession)
+    return F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+
+
 def flag_duplicate_keys(df: DataFrame, keys: Sequence[str],
                         out: str = "is_duplicate_key", stored: bool = False) -> DataFrame:
     """Mark every member of a key that occurs more than once; NULL keys equal each other.
@@ -23,22 +55,18 @@ def flag_duplicate_keys(df: DataFrame, keys: Sequence[str],
     the rows is one row on the small side and a splittable skewed partition on the
     other; when repeats are few the runtime turns the join into a broadcast, though it may
     have shuffled the rows by then. With ``stored`` the repeated keys are stored and counted
-    first, and up to ``BROADCAST_KEYS`` of them are broadcast: the rows are not shuffled.
+    first, and up to ``BROADCAST_KEYS`` of them are broadcast: the rows are not shuffled. Hashes
+    of the keys are counted before them, so that keys whose hash stands once are not shuffled.
     Absent key columns mean no flag can be raised.
     """
     if not keys or any(key not in df.columns for key in keys):
         return df.withColumn(out, F.lit(False))
-    repeated = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
-        .select(*[F.col(key).alias(f"_key_{i}") for i, key in enumerate(keys)],
-                F.lit(True).alias("_repeated"))
-    )
     if stored:
-        repeated = cut_lineage(repeated)
-        if repeated.count() <= BROADCAST_KEYS:
-            repeated = F.broadcast(repeated)
+        repeated = _stored_repeats(df, keys)
+        if repeated is None:
+            return df.withColumn(out, F.lit(False))
+    else:
+        repeated = _repeats(df, keys)
     same = reduce(
         and_, [F.col(key).eqNullSafe(F.col(f"_key_{i}")) for i, key in enumerate(keys)]
     )

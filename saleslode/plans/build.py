@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saleslode import settings as fixed
 from saleslode.operators import outliers, profile
 from saleslode.plans import gold, rfm, silver, suites
-from saleslode.session import cut_lineage
+from saleslode.session import collect_garbage, cut_lineage
 from saleslode.settings import Layout
 from saleslode.sinks import writers
 from saleslode.sources import lake
@@ -21,6 +21,18 @@ SILVER_SCHEMA = (
 )
 
 
+def _build_dataset(spark: SparkSession, layout: Layout, source: str, dataset: str) -> tuple:
+    """Write the Silver batch of one dataset; its result row."""
+    source_dir = f"{layout.bronze}/{source}/{dataset}"
+    batch = lake.latest_batch(spark, source_dir)
+    raw = lake.read_latest(spark, source_dir)
+    typed, notes = silver.transform(source, dataset, raw)
+    target = f"{layout.silver}/{source}/{dataset}"
+    written = writers.append_batch(typed, target, batch)
+    return (f"{source}.{dataset}", f"{source_dir}/batch_id={batch}",
+            f"{target}/batch_id={batch}", raw.count(), written, len(typed.columns), list(notes))
+
+
 def build_silver(spark: SparkSession, layout: Layout, with_profiles: bool = False) -> DataFrame:
     """Transform the newest batch of every dataset; the batch keeps its id.
 
@@ -30,19 +42,12 @@ def build_silver(spark: SparkSession, layout: Layout, with_profiles: bool = Fals
     rows, profiles = [], {}
     for source in fixed.SOURCES:
         for dataset in lake.datasets_below(spark, f"{layout.bronze}/{source}"):
-            source_dir = f"{layout.bronze}/{source}/{dataset}"
-            batch = lake.latest_batch(spark, source_dir)
-            raw = lake.read_latest(spark, source_dir)
-            typed, notes = silver.transform(source, dataset, raw)
-            target = f"{layout.silver}/{source}/{dataset}"
-            written = writers.append_batch(typed, target, batch)
-            rows.append((f"{source}.{dataset}", f"{source_dir}/batch_id={batch}",
-                         f"{target}/batch_id={batch}", raw.count(), written,
-                         len(typed.columns), list(notes)))
+            rows.append(_build_dataset(spark, layout, source, dataset))
+            collect_garbage(spark)
             if with_profiles:
-                profiles[f"{source}.{dataset}"] = (
-                    profile.profile_record(lake.read_latest(spark, source_dir)),
-                    profile.profile_record(lake.read_latest(spark, target)),
+                profiles[f"{source}.{dataset}"] = tuple(
+                    profile.profile_record(lake.read_latest(spark, f"{layer}/{source}/{dataset}"))
+                    for layer in (layout.bronze, layout.silver)
                 )
     results = spark.createDataFrame(rows, SILVER_SCHEMA)
     report = _with_profiles(results, profiles) if profiles else results

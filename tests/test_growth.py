@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
+from saleslode.catalogue import lake as catalogue_lake
 from saleslode.functions import line_total, stable_sum
+from saleslode.operators import keys
 from saleslode.operators.keys import flag_duplicate_keys
 from saleslode.plans import build, gold, serving
+from saleslode.session import collect_garbage
+from saleslode.sinks import writers
+from saleslode.sources import landing
 
 
 def plan_of(df) -> str:
@@ -98,3 +105,55 @@ def test_gold_frames_read_items_of_orders_once(spark):
     assert "indicator_name" not in plan_of(frames["sales_economic_features"])
     assert rows(frames["customer_metrics"]) == rows(
         gold.customer_metrics(customers, orders, items))
+
+
+def test_keys_of_one_hash_are_told_apart(spark, monkeypatch):
+    """NULL moves between columns without a change of the hash; few and many repeats agree."""
+    rows = [("a", None, 1), (None, "a", 2), ("b", "c", 3), ("b", "c", 4), (None, None, 5),
+            (None, None, 6), ("d", None, 7)]
+    df = spark.createDataFrame(rows, "k string, l string, i int")
+    assert df.select(F.xxhash64("k", "l").alias("h")).distinct().count() < 5
+    for most in (keys.BROADCAST_KEYS, 1, 0):
+        monkeypatch.setattr(keys, "BROADCAST_KEYS", most)
+        flagged = flag_duplicate_keys(df, ["k", "l"], stored=True)
+        assert flagged.columns == ["k", "l", "i", "is_duplicate_key"]
+        assert {r.i: r.is_duplicate_key for r in flagged.collect()} == {
+            i: 3 <= i <= 6 for *_, i in rows}
+    alone = flag_duplicate_keys(df.where("i in (1, 3, 7)"), ["k", "l"], stored=True)
+    assert alone.where("not is_duplicate_key").count() == 3
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landed_text_is_compressed_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(catalogue_lake.LANDED, "maxRecordsPerFile", 40)
+    df = spark.range(0, 100, 1, 1).select(F.col("id").cast("string").alias("a"),
+                                          F.lit('two\nlines, "quoted"').alias("b"))
+    catalogue_lake._land_csv(df, f"{tmp_path}/x.csv")
+    parts = [p.name for p in (tmp_path / "x.csv").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 3 and all(p.endswith(".csv.gz") for p in parts)
+    back = landing.scan_csv(spark, f"{tmp_path}/x.csv", True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_silver_build_leaves_no_shuffle_files(spark, layout):
+    """Shuffles of one dataset go before the next, not when the driver's heap is full."""
+    def files():
+        manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+        found = manager.getAllFiles()
+        return {found.apply(i).toString() for i in range(found.size())
+                if found.apply(i).getName().startswith("shuffle_")}
+
+    collect_garbage(spark)
+    before = files()
+    rows = spark.range(2000).select((F.col("id") % 1500).cast("string").alias("order_id"),
+                                    F.lit("1").alias("order_item_id"))
+    for name in ("order_items", "orders"):
+        writers.append_batch(rows, f"{layout.bronze}/olist/{name}", "olist_1")
+    built = build.build_silver(spark, layout)
+    assert [r.rows_output for r in built.collect()] == [2000, 2000]
+    for _ in range(40):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
